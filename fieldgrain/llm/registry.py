@@ -1,7 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
+from . import url_filters
 from .packing import op4_best_fit_packing
+from .simhash import op1_simhash_near_dedup
 from .token_counts import op10_token_counts
+from .url_filters import op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op4_best_fit_packing, op10_token_counts)}
+#: Only the rules and links can be put in SQL; the other operators are tested against brute force.
+ORACLES: dict[str, str] = {"op2_url_filters": url_filters.oracle()}
