@@ -2,11 +2,12 @@
 
 from . import url_filters
 from .decontaminate import op5_benchmark_decontamination
+from .embedding_links import op9_embedding_near_dedup
 from .packing import op4_best_fit_packing
 from .simhash import op1_simhash_near_dedup
 from .token_counts import op10_token_counts
 from .url_filters import op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op4_best_fit_packing, op5_benchmark_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op4_best_fit_packing, op5_benchmark_decontamination, op9_embedding_near_dedup, op10_token_counts)}
 #: Only the rules and links can be put in SQL; the other operators are tested against brute force.
 ORACLES: dict[str, str] = {"op2_url_filters": url_filters.oracle()}
