@@ -4,8 +4,8 @@ Confirmed toxic documents and unlabelled ones (documents without that confirmati
 learn from: the risk of calling a document clean is estimated from the unlabelled ones and corrected for the share of
 toxic ones among them, and held at zero from below so that the classifier can't gain by it:
     prior * E+[loss(x, 1)] + max(0, E_u[loss(x, 0)] - prior * E+[loss(x, 0)]).
-The prior is the share of toxic documents among the labels of the training folds. Features are the presence of words and
-word beginnings; those that tell most are chosen by counts over the bounded sample, on the executors, and weights are fitted in
+The prior follows from the share of toxic documents among the labels of the training folds, less the confirmed ones. Features are words and word
+beginnings, by how many distinct words of the text show them, up to MOST; those that tell most are chosen by counts over the bounded sample, on the executors, and weights are fitted in
 numpy. Only the text is an input of a score.
 
 null text: as the empty text, whose score is that of no feature. Without confirmed documents every score is 0. Repeated
@@ -25,16 +25,17 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import cut, drop, fold, some_ids, table
 
+MOST = 5
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def features_of_word(raw: str, start: int = 5) -> tuple[int, ...]:
-    """Hashed whole word and, of longer ones, its beginning."""
+def features_of_word(raw: str, starts: tuple[int, ...] = (4, 5, 7)) -> tuple[int, ...]:
+    """Hashed whole word and, of longer ones, its beginnings."""
     w = EDGE.sub("", raw)
     if not w:
         return ()
     whole = zlib.crc32(b"w" + w.encode())
-    return (whole, zlib.crc32(b"b" + w[:start].encode())) if len(w) > start else (whole,)
+    return (whole, *(zlib.crc32(b"b" + w[:n].encode()) for n in starts if len(w) > n))
 
 
 class Chosen(dict):
@@ -51,16 +52,16 @@ class Chosen(dict):
         return found
 
     def of(self, text: str | None) -> list[int]:
-        return sorted({i for found in map(self.__getitem__, set(text.lower().split())) if found for i in found}) if text else []
+        return [i for found in map(self.__getitem__, set(text.lower().split())) if found for i in found] if text else []
 
 
 class NonNegativePU:
-    """Logistic model on chosen features; rows are lists of places."""
+    """Logistic model on chosen features; rows are lists of places, one for each word that shows the feature."""
 
-    def __init__(self, rows: list[list[int]], confirmed: np.ndarray, size: int, prior: float, steps: int = 250, rate: float = 0.05, l2: float = 1e-4):
+    def __init__(self, rows: list[list[int]], confirmed: np.ndarray, size: int, prior: float, steps: int = 400, rate: float = 0.03, l2: float = 1e-4):
         x = np.zeros((len(rows), size), np.float32)
         for i, r in enumerate(rows):
-            x[i, r] = 1
+            x[i] = np.minimum(np.bincount(np.array(r, int), minlength=size), MOST) if r else 0
         pos, free = x[confirmed], x[~confirmed]
         w, b = np.zeros(size, np.float32), np.float32(np.log(prior / (1 - prior)))
         m, v = np.zeros(size + 1), np.zeros(size + 1)
@@ -77,21 +78,24 @@ class NonNegativePU:
             g = np.concatenate([pos.T @ gp + free.T @ gu + l2 * w, [gp.sum() + gu.sum()]])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1].astype(np.float32), np.float32(b - step[-1])
+            w, b = np.maximum(0, w - step[:-1].astype(np.float32)), np.float32(b - step[-1])  # a chosen feature never speaks for a text
         self.w, self.b = w.astype(float), float(b)
 
     def score(self, places: list[int]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.w[places].sum() + self.b, -30, 30))))
+        at, n = np.unique(np.array(places, int), return_counts=True) if places else ([], 0)
+        return float(1 / (1 + np.exp(-np.clip((self.w[at] * np.minimum(n, MOST)).sum() + self.b, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000, chosen: int = 1024, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2) -> tuple[dict[int, int], NonNegativePU] | None:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000, chosen: int = 256, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2) -> tuple[dict[int, int], NonNegativePU] | None:
     """Learns from at most `most` confirmed and `most` other documents outside the held-out fold, on at most `chosen` features."""
     train = (fold("id", folds) != held) & F.col("id").isNotNull()
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(train & F.col("y").isin(0, 1)).distinct()
     toxic, all_known = known.agg(F.sum("y"), F.count("*")).first()
     if not toxic:
         return None
-    prior = min(0.5, max(1e-3, toxic / all_known))
+    total = docs.select(F.col(key).alias("id")).where(train).count()
+    # Among the unlabelled: the expected toxic documents but those that are confirmed.
+    prior = min(0.5, max(1e-3, (toxic / all_known * total - toxic) / max(1, total - toxic)))
     confirmed = some_ids(known.where("y = 1").select("id"), most, "id").withColumn("confirmed", F.lit(True))
     others = docs.select(F.col(key).alias("id")).where(train).join(F.broadcast(confirmed.select("id")), "id", "left_anti")
     others = some_ids(others, most, "id").distinct().withColumn("confirmed", F.lit(False))
@@ -99,17 +103,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000, chosen: int = 102
 
     def featurize(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "confirmed": b["confirmed"], "found": [sorted({f for w in set((t or "").lower().split()) for f in features_of_word(w)}) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "confirmed": b["confirmed"], "found": [[f for w in set((t or "").lower().split()) for f in features_of_word(w)] for t in b["text"]]})
 
+    # Exact copies count once.
     kind = docs.schema[key].dataType.simpleString()
-    rows = cut(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").limit(2 * most).mapInPandas(featurize, f"id {kind}, confirmed boolean, found array<long>"), "features")
+    rows = cut(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").dropDuplicates(["text", "confirmed"]).limit(2 * most).mapInPandas(featurize, f"id {kind}, confirmed boolean, found array<long>"), "features")
     n_pos, n_all = rows.agg(F.count_if("confirmed"), F.count("*")).first()
-    counts = rows.select("confirmed", F.explode("found").alias("f")).groupBy("f").agg(F.count_if("confirmed").alias("pos"), F.count("*").alias("all"))
+    counts = rows.select("confirmed", F.explode(F.array_distinct("found")).alias("f")).groupBy("f").agg(F.count_if("confirmed").alias("pos"), F.count("*").alias("all"))
     # How much more often in confirmed documents than in others, for features that are not chance finds.
     others_share = (F.col("all") - F.col("pos") + 1) / F.lit(n_all - n_pos + 2)
-    # Unlabelled documents hold toxic ones too, so a telling feature is at most 1 / prior as frequent in confirmed ones; chance finds are near 1.
-    lift = (F.col("pos") + 1) / F.lit(n_pos + 2) / others_share
-    places = {r.f: i for i, r in enumerate(counts.where((F.col("pos") >= max(3, n_pos // 200)) & (lift >= 1 + (1 / prior - 1) / 3)).orderBy((F.col("pos") * F.log(lift)).desc(), "f").limit(chosen).collect())}
+    # Unlabelled documents hold toxic ones too, so a telling feature is at most 1 / prior as frequent in confirmed ones;
+    # what chance may bring among so many features is kept out by its standard score.
+    expected = others_share * n_pos
+    score, lift = (F.col("pos") - expected) / F.sqrt(expected), F.col("pos") / expected
+    places = {r.f: i for i, r in enumerate(counts.where((F.col("pos") >= max(5, n_pos // 200)) & (lift >= 1 + (1 / prior - 1) / 3) & (score >= 6)).orderBy(score.desc(), "f").limit(chosen).collect())}
 
     def reduced(batches):
         for b in batches:
