@@ -274,23 +274,12 @@ def distance(mask: np.ndarray) -> np.ndarray:
     for y in range(h - 2, -1, -1):
         rows[y] = np.minimum(rows[y], rows[y + 1] + 1)
     squared = rows * rows
-    out = np.empty_like(squared)
-    for y in range(h):  # lower envelope of the parabolas (x - q)^2 + f(q)
-        f = squared[y]
-        site, edge, k = np.zeros(w, int), np.full(w + 1, np.inf), 0
-        edge[0] = -np.inf
-        for q in range(1, w):
-            while True:
-                p = site[k]
-                s = ((f[q] + q * q) - (f[p] + p * p)) / (2 * (q - p))
-                if s > edge[k]:
-                    break
-                k -= 1
-            k += 1
-            site[k], edge[k], edge[k + 1] = q, s, np.inf
-        xs = np.arange(w)
-        p = site[np.searchsorted(edge[1 : k + 1], xs, side="left")]
-        out[y] = (xs - p) ** 2 + f[p]
+    out = squared.copy()
+    for d in range(1, w):  # a column d away adds d^2: none helps once that reaches the greatest value left
+        if d * d >= out.max():
+            break
+        np.minimum(out[:, d:], squared[:, :-d] + d * d, out=out[:, d:])
+        np.minimum(out[:, :-d], squared[:, d:] + d * d, out=out[:, :-d])
     return np.sqrt(out)
 
 
@@ -301,7 +290,13 @@ def reconstruct(seed: np.ndarray, under: np.ndarray) -> np.ndarray:
     """Grayscale reconstruction by dilation with a 3 x 3 square."""
     now = np.minimum(seed, under)
     while True:
-        new = np.minimum(dilate(now, SQUARE), under)
+        wide = now.copy()  # the square's maximum is that of rows, then of columns
+        wide[1:] = np.maximum(wide[1:], now[:-1])
+        wide[:-1] = np.maximum(wide[:-1], now[1:])
+        new = wide.copy()
+        new[:, 1:] = np.maximum(new[:, 1:], wide[:, :-1])
+        new[:, :-1] = np.maximum(new[:, :-1], wide[:, 1:])
+        np.minimum(new, under, out=new)
         if (new == now).all():
             return now
         now = new

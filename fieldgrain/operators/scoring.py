@@ -15,24 +15,24 @@ PERCENTS, CLAIM = tuple(range(50, 100, 5)), 0.25
 
 
 def overlaps(px: DataFrame) -> DataFrame:
-    """(image, pred, true) labels per pixel to (image, pred, true, n), background left out: sparse, however many objects."""
-    return px.where("pred > 0 and true > 0").groupBy("image", "pred", "true").agg(F.count("*").alias("n"))
+    """(image, pred, truth) labels per pixel to (image, pred, truth, n), background left out: sparse, however many objects."""
+    return px.where("pred > 0 and truth > 0").groupBy("image", "pred", "truth").agg(F.count("*").alias("n"))
 
 
 def ious(px: DataFrame) -> DataFrame:
-    """(image, pred, true, n, pred_area, true_area, iou) of every overlapping pair."""
+    """(image, pred, truth, n, pred_area, truth_area, iou) of every overlapping pair."""
     area = lambda c: px.where(F.col(c) > 0).groupBy("image", c).agg(F.count("*").alias(f"{c}_area"))
-    joined = overlaps(px).join(area("pred"), ["image", "pred"]).join(area("true"), ["image", "true"])
-    return joined.withColumn("iou", F.col("n") / (F.col("pred_area") + F.col("true_area") - F.col("n")))
+    joined = overlaps(px).join(area("pred"), ["image", "pred"]).join(area("truth"), ["image", "truth"])
+    return joined.withColumn("iou", F.col("n") / (F.col("pred_area") + F.col("truth_area") - F.col("n")))
 
 
 def matched(pairs: DataFrame, image: str = "image") -> DataFrame:
-    """(image, pred, true, iou): the pairs of greatest total IoU. Pairs that don't overlap add nothing, so only overlapping ones are dealt with, and each connected part of them apart."""
+    """(image, pred, truth, iou): the pairs of greatest total IoU. Pairs that don't overlap add nothing, so only overlapping ones are dealt with, and each connected part of them apart."""
     kind = pairs.schema[image].dataType.simpleString()
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["pred", "true"])
-        (pred, p), (true, t) = (np.unique(frame[c], return_inverse=True) for c in ("pred", "true"))
+        frame = frame.sort_values(["pred", "truth"])
+        (pred, p), (true, t) = (np.unique(frame[c], return_inverse=True) for c in ("pred", "truth"))
         part = np.arange(len(pred))
         while True:  # the least row index that each part reaches
             low = np.full(len(true), len(pred))
@@ -49,23 +49,23 @@ def matched(pairs: DataFrame, image: str = "image") -> DataFrame:
             gain = np.zeros((len(a), len(b)))
             gain[i, j] = iou[own]
             rows += [(pred[a[x]], true[b[y]], gain[x, y]) for x, y in kernels.assign(gain) if gain[x, y] > 0]
-        out = pd.DataFrame(rows, columns=["pred", "true", "iou"])
+        out = pd.DataFrame(rows, columns=["pred", "truth", "iou"])
         out.insert(0, image, frame[image].iloc[0])
         return out
 
-    return pairs.select(image, "pred", "true", "iou").groupBy(image).applyInPandas(solve, f"`{image}` {kind}, pred int, true int, iou double")
+    return pairs.select(image, "pred", "truth", "iou").groupBy(image).applyInPandas(solve, f"`{image}` {kind}, pred int, truth int, iou double")
 
 
 def object_counts(px: DataFrame) -> DataFrame:
     """(image, n_pred, n_true), also of images without objects."""
-    return px.groupBy("image").agg(F.count_distinct(F.when(F.col("pred") > 0, F.col("pred"))).alias("n_pred"), F.count_distinct(F.when(F.col("true") > 0, F.col("true"))).alias("n_true"))
+    return px.groupBy("image").agg(F.count_distinct(F.when(F.col("pred") > 0, F.col("pred"))).alias("n_pred"), F.count_distinct(F.when(F.col("truth") > 0, F.col("truth"))).alias("n_true"))
 
 
 def split_merge(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """(image, split, merge): true objects claimed twice or more, predictions that claim two or more."""
-    claims = pairs.where(F.col("n") >= CLAIM * F.col("true_area"))
+    claims = pairs.where(F.col("n") >= CLAIM * F.col("truth_area"))
     many = lambda c, name: claims.groupBy("image", c).agg(F.count("*").alias("k")).where("k >= 2").groupBy("image").agg(F.count("*").alias(name))
-    return counts.select("image").join(many("true", "split"), "image", "left").join(many("pred", "merge"), "image", "left").fillna(0, ["split", "merge"])
+    return counts.select("image").join(many("truth", "split"), "image", "left").join(many("pred", "merge"), "image", "left").fillna(0, ["split", "merge"])
 
 
 def by_threshold(matches: DataFrame, counts: DataFrame, image: str = "image") -> DataFrame:

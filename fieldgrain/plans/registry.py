@@ -1,4 +1,6 @@
-"""All queries over the relational and kernel operators."""
+"""All registered queries over the engine's own operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import images, objects, populations, scores  # noqa: F401  they register
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
