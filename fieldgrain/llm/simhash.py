@@ -1,9 +1,9 @@
 """Near-duplicates by SimHash with a segment-popcount grid (operator 1).
 
 A 64-bit fingerprint is cut into 32 segments of 2 bits, and mapped to its 32 bit counts. The Manhattan distance of two
-count vectors never exceeds the Hamming distance of the fingerprints. For distance d the segments are dealt to d + 3
-blocks: two vectors within d agree in all counts of at least three blocks, so a range join of that radius is an
-equi-join over the C(d + 3, 3) grids spanned by three blocks each. It is exact: every pair within d meets in some cell.
+count vectors never exceeds the Hamming distance of the fingerprints. For distance d the segments are dealt to d + k
+blocks, k = 4: two vectors within d agree in all counts of at least k blocks, so a range join of that radius is an
+equi-join over the C(d + k, k) grids spanned by k blocks each. It is exact: every pair within d meets in some cell.
 
 Only distinct fingerprints enter the grid, so exact copies cost one row. In a crowded cell not all pairs are made:
 first each fingerprint is tried against the cell's least one, and the components of those links are taken; afterwards
@@ -62,11 +62,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def grids(distance: int) -> list[int]:
-    """For each set of three blocks the mask of their bits."""
-    blocks = distance + 3
+def grids(distance: int, equal: int = 4) -> list[int]:
+    """For each set of `equal` blocks the mask of their bits. More of them make cells rarer met by chance, and rows more."""
+    blocks = distance + equal
     bits = [sum(3 << 2 * s for s in range(32) if s * blocks // 32 == b) for b in range(blocks)]
-    return [_signed(sum(c)) for c in combinations(bits, 3)]
+    return [_signed(sum(c)) for c in combinations(bits, equal)]
 
 
 def counts_in_unary(fp: Column) -> Column:
