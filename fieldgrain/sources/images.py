@@ -32,7 +32,7 @@ def pair_with_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
 def platemap(spark: SparkSession, path: str, columns: int = 12, rows: int = 8) -> DataFrame:
     """well_row, well_col, dose from a text file with one value a line, row by row, after a header line."""
     lines = spark.read.option("wholetext", "true").text(path)
-    values = lines.select(F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != ""))).where("pos between 1 and " + str(rows * columns))
+    values = lines.select(F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""))).where("pos between 1 and " + str(rows * columns))
     n = F.col("pos") - 1
     return values.select(F.char(F.lit(65) + F.floor(n / columns)).alias("well_row"), (n % columns + 1).cast("int").alias("well_col"), F.col("col").cast("double").alias("dose"))
 
