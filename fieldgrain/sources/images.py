@@ -31,8 +31,9 @@ def pair_with_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
 
 def platemap(spark: SparkSession, path: str, columns: int = 12, rows: int = 8) -> DataFrame:
     """well_row, well_col, dose from a text file with one value a line, row by row, after a header line."""
-    lines = spark.read.option("wholetext", "true").text(path)
-    values = lines.select(F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""))).where("pos between 1 and " + str(rows * columns))
+    lines = spark.read.text(path, wholetext=True)
+    cells = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.replace(x, F.lit("\r"), F.lit("")))), lambda x: x != "")
+    values = lines.select(F.posexplode(cells)).where(f"pos between 1 and {rows * columns}")
     n = F.col("pos") - 1
     return values.select(F.char(F.lit(65) + F.floor(n / columns)).alias("well_row"), (n % columns + 1).cast("int").alias("well_col"), F.col("col").cast("double").alias("dose"))
 
@@ -55,7 +56,7 @@ def well_channels(files: DataFrame, doses: DataFrame) -> DataFrame:
 
 def truth_counts(spark: SparkSession, path: str) -> DataFrame:
     """file, truth (JSON text of its value) from a JSON object by file name."""
-    return spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("file", "truth"))
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("file", "truth"))
 
 
 SAMPLES = (
