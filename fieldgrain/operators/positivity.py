@@ -236,3 +236,16 @@ def head_to_head(df: DataFrame, by: str, value: str, truth: DataFrame) -> DataFr
         out = one if out is None else out.unionByName(one)
     joined = out.join(truth, "g")
     return joined.groupBy("method").agg(F.avg(F.when(F.col("truth") > 0, F.abs(F.col("percent") - F.col("truth")))).alias("mean_error"), F.avg(F.when(F.col("truth") == 0, F.col("percent"))).alias("on_negative"))
+
+
+def dose_response(objects: DataFrame, drug: str, well: str, dose: str, value: str, percentile: float = 99.0) -> DataFrame:
+    """(drug, method, dose, percent, wells): mean percent positive per dose, by mixture per well, and anchored to the drug's own untreated wells (dose 0), which is missing for a drug without any."""
+    d, w, z = F.col(drug), F.col(well), F.col(dose)
+    wells = objects.groupBy(d.alias("drug"), w.alias("well"), z.alias("dose")).agg(F.count("*").alias("n"))
+    mixed = mixture_calls(objects.withColumn("_well", F.struct(d.alias("d"), w.alias("w"))), "_well", value)
+    mixed = mixed.select(F.col("g.d").alias("drug"), F.col("g.w").alias("well"), "percent_positive").join(wells, ["drug", "well"]).withColumn("method", F.lit("mixture"))
+    control = objects.where(z == 0).groupBy(d.alias("drug")).agg(F.percentile(value, F.lit(percentile / 100)).alias("threshold"))
+    anchored = objects.select(d.alias("drug"), w.alias("well"), z.alias("dose"), F.col(value).alias("v")).join(control, "drug")
+    anchored = anchored.groupBy("drug", "well", "dose").agg((100 * F.count_if(F.col("v") >= F.col("threshold")) / F.count("*")).alias("percent_positive")).withColumn("method", F.lit("control"))
+    both = mixed.select("drug", "method", "dose", "percent_positive").union(anchored.select("drug", "method", "dose", "percent_positive"))
+    return both.groupBy("drug", "method", "dose").agg(F.avg("percent_positive").alias("percent"), F.count("*").alias("wells"))

@@ -189,3 +189,48 @@ def grid(**choices) -> dict[str, SegmentParams]:
     for k, values in choices.items():
         out = [replace(p, **{k: v}) for p in out for v in values]
     return {",".join(f"{k}={asdict(p)[k]}" for k in choices): p for p in out}
+
+
+MARKED = "object_id:bigint,area_pixels:double,touches_border:boolean,marker_mean:double,marker_max:double"
+
+
+def analyze_pair(files: DataFrame, nuclear: SegmentParams | None = None, marker: SegmentParams | None = None, keep: str = "path", content: str = "content", most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """A row per two-channel image: keep, error, n_objects, objects with their marker means. Objects come from the nuclear channel alone, so that it sets the denominator."""
+    nuclear, marker = nuclear or SegmentParams(channel="blue"), marker or SegmentParams(channel="green")
+    kind = files.schema[keep].dataType.simpleString()
+
+    def one(raw: bytes) -> tuple:
+        width, height = codecs.size_of(raw)
+        if width * height > most_pixels:
+            raise codecs.ImageLoadError(f"{width} x {height} pixels are too many")
+        image = load_image(raw)
+        analysis, intensity = prepare(image, nuclear)
+        found, plane = segment(analysis, nuclear), prepare(image, marker)[1].astype(np.float64) * 255
+        shape = [dict(zip(OBJECT_COLUMNS, o, strict=True)) for o in measure(found.labels, intensity)]
+        inside = found.labels > 0
+        n = np.bincount(found.labels[inside], minlength=found.n_objects + 1)
+        total, peak = np.bincount(found.labels[inside], plane[inside], minlength=found.n_objects + 1), np.zeros(found.n_objects + 1)
+        np.maximum.at(peak, found.labels[inside], plane[inside])
+        return found.n_objects, [{k: o[k] for k in ("object_id", "area_pixels", "touches_border")} | {"marker_mean": float(total[i] / n[i]), "marker_max": float(peak[i])} for o in shape for i in (o["object_id"],)]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, raw in zip(b["keep"], b["content"], strict=True):
+                try:
+                    rows.append((key, None, *one(bytes(raw or b""))))
+                except (ValueError, MemoryError) as e:
+                    rows.append((key, str(e) or type(e).__name__, None, None))
+            frame = pd.DataFrame(rows, columns=[keep, "error", "n_objects", "objects"]).astype(object)
+            yield frame.where(frame.notna(), None)
+
+    return files.select(F.col(keep).alias("keep"), F.col(content).alias("content")).mapInPandas(run, f"`{keep}` {kind}, error string, n_objects long, objects array<struct<{MARKED}>>")
+
+
+def percent_positive(files: DataFrame, keep: str = "path", **how) -> DataFrame:
+    """A row per image, failed and empty ones too: error, n_objects, and the mixture call over its objects' marker means."""
+    from .positivity import mixture_calls
+
+    found = analyze_pair(files, keep=keep, **how)
+    each = found.select(keep, F.explode("objects").alias("o")).select(keep, "o.marker_mean")
+    return found.drop("objects").join(mixture_calls(each, keep, "marker_mean").withColumnRenamed("g", keep), keep, "left")

@@ -128,3 +128,36 @@ def test_readers(spark, tmp_path):
     wells = spark.createDataFrame([("f/Channel1-01-A-03.BMP", b"1"), ("f/Channel2-01-A-03.BMP", b"2"), ("f/other.BMP", b"3")], "path string, content binary")
     (r,) = images.well_channels(wells, images.platemap(spark, str(tmp_path / "plate.txt"))).collect()
     assert (r.well_row, r.well_col, r.dose, bytes(r.channel_1), bytes(r.channel_2)) == ("A", 3, 2.0, b"1", b"2")
+
+
+def test_two_channels(spark):
+    from fieldgrain.sources import synthetic
+
+    rows = synthetic.rows(("marker_pair", "marker_none"))
+    files = spark.createDataFrame([*((p, bytearray(c)) for p, c, *_ in rows), ("bad.png", bytearray(b"no"))], "path string, content binary")
+    got = {r.path: r for r in segment.percent_positive(files).collect()}
+    assert (got["marker_pair.png"].n_objects, got["marker_pair.png"].n_positive) == (44, 13)
+    assert got["marker_none.png"].n_objects == 48 and not got["marker_none.png"].bimodal and got["marker_none.png"].n_positive == 0
+    assert got["bad.png"].error and got["bad.png"].n_positive is None
+
+
+def test_counts_of_generated_fields(spark):
+    from fieldgrain.sources import synthetic
+
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c, *_ in synthetic.rows(("easy", "moderate", "difficult"))], "path string, content binary")
+    n = {r.path: r.n_objects for r in segment.analyze(files, segment.SegmentParams(channel="blue")).collect()}
+    assert n["easy.png"] == 32 and n["moderate.png"] == 34 and 0.4 * 110 <= n["difficult.png"] <= 0.9 * 110
+
+
+def test_pictures():
+    from fieldgrain.operators import render
+
+    labels = np.zeros((20, 20), int)
+    labels[3:8, 3:8], labels[10:16, 10:16] = 1, 2
+    plane = labels.astype(np.float32) / 2
+    assert render.display_rgb(plane).shape == (20, 20, 3) and render.mask_picture(labels).sum() == 255 * 61
+    assert tuple(render.outlined(plane, labels)[2, 4]) == render.OUTLINE
+    picture = render.marker_picture(plane, labels, [2])
+    assert tuple(picture[9, 12]) == render.POSITIVE and tuple(picture[2, 4]) == render.NEGATIVE
+    colours = render.label_colours(labels)
+    assert (colours[0, 0] == 0).all() and (colours[4, 4] != colours[12, 12]).any()
