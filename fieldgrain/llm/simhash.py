@@ -86,10 +86,13 @@ def link(prints: DataFrame, distance: int = 4) -> DataFrame:
         "fp", "u", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("grid"), F.col("u").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(grids(distance))])).alias("at")
     ).select("fp", "u", "at.grid", "at.cell")
     crowded = cells.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
-    rows = cut(cells.join(crowded.drop("n"), ["grid", "cell"]), "cells")
-    first = components(rows.where((F.col("fp") != F.col("least")) & (_apart("fp", "least") <= distance)).select(F.col("fp").alias("a"), F.col("least").alias("b")))
+    # In a cell of two the least one is tried against the only other: such a row is needed no more unless they link.
+    c, w = cells.alias("c"), crowded.alias("w")
+    linked = (F.col("fp") != F.col("least")) & (_apart("fp", "least") <= distance)
+    rows = cut(c.join(w, (F.col("c.grid") == F.col("w.grid")) & (F.col("c.cell") == F.col("w.cell")) & ((F.col("n") > 2) | linked)).select("fp", "u", "c.grid", "c.cell", "n", "least"), "cells")
+    first = components(rows.where(linked).select(F.col("fp").alias("a"), F.col("least").alias("b")))
     first = cut(first, "first")
-    owned = rows.drop("least").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    owned = rows.where("n > 2").drop("least", "n").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     groups = owned.groupBy("grid", "cell", "component").agg(F.count("*").alias("n")).groupBy("grid", "cell").agg(F.count("*").alias("groups"), F.max_by("component", "n").alias("main")).where("groups > 1")
     mixed = cut(owned.join(groups.drop("groups"), ["grid", "cell"]), "mixed")
     x = mixed.where("component <> main").select("grid", "cell", F.col("fp").alias("xf"), F.col("u").alias("xu"), F.col("component").alias("a"))
