@@ -131,6 +131,7 @@ def report(calls: DataFrame, method: str, source: str = "image", control: str |
     line = lambda name, value: F.concat(F.rpad(F.lit(name), 24, " "), F.lit(": "), value)
     shown = lambda f, *c: F.format_string(f, *c)
     threshold = F.when(F.col("threshold") == INF, "inf").otherwise(shown("%.3f", "threshold"))
+    # The report's lines, their names and formats.
     lines = [
         F.lit("MARKER POSITIVITY — REPRODUCIBILITY REPORT"), F.lit("=" * 44), line(source, F.col("g").cast("string")), line("method", F.lit(method)), line("objects measured", F.col("n_total").cast("string")),
         line("marker-positive", F.col("n_positive").cast("string")), line("percent positive", shown("%.2f%%", "percent_positive")), line("threshold (0-255)", threshold), line("distinct populations", F.when(F.col("bimodal"), "yes").otherwise("no")),

@@ -103,7 +103,7 @@ ENGINES = {"classical": classical}
 def engine_reason(name: str) -> str | None:
     if name in ENGINES:
         return None
-    return "the learned engine's libraries are not installed" if name == "cellpose" else f"unknown engine {name!r}"
+    return "the learned engine's libraries are not installed" if name == "learned" else f"unknown engine {name!r}"
 
 
 def segment(plane: np.ndarray, p: SegmentParams) -> Segmentation:
