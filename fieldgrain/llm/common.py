@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that all executors see: the cluster's spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark, "_fieldgrain_shared", None) or tempfile.mkdtemp(prefix="fieldgrain-")
         spark._fieldgrain_shared = base
     return base.rstrip("/")

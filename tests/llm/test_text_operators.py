@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from fieldgrain.llm import common, decontaminate, language, packing, quality, secrets_scan, simhash, token_counts, toxicity
@@ -97,6 +97,9 @@ def test_links_of_crowded_fingerprints(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(TEXTS)
+@example("a<|endoftext|>b <|endoftext|>")
+@example("one  two\n\n three \u00a0\u3000 x\x00 y  ")
+@example("It's 12,345.67 naïve — “quotes” 日本語 😀")
 def test_ids_are_the_library_s(text):
     from tokenizers import Tokenizer
 
@@ -148,6 +151,8 @@ def test_packing(spark, corpus):
 
 @settings(max_examples=200, deadline=None)
 @given(TEXTS)
+@example("<s> a </s><unk> b  ")
+@example("日本語 😀 \x00 é e\u0301 ﬁ Ａ\t\r\n")
 def test_counts_are_the_library_s(text):
     import sentencepiece
 
