@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs, kernels
+from . import render
 
 
 @dataclass(frozen=True)
@@ -140,14 +141,14 @@ def measure(labels: np.ndarray, plane: np.ndarray) -> list[tuple]:
 
 
 def analyze(files: DataFrame, params: SegmentParams | dict[str, SegmentParams] | None = None, keep: str = "path", content: str = "content", planes: bool = False, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """A row per image and named parameter set: keep, params, width, height, error, n_objects, threshold, objects, and with `planes` label_plane (int32 bytes) and mask_png.
+    """A row per image and named parameter set: keep, params, width, height, error, n_objects, threshold, objects, and with `planes` label_plane (int32 bytes), mask_png and annotated_png.
 
     The image is decoded once for all parameter sets; sizes are judged from the header before any pixel is read. A bad
     image gives an error row, never a failed job. Carry no more columns than these through Python: join others back by `keep`.
     """
     named = params if isinstance(params, dict) else {"default": params or SegmentParams()}
     kind = files.schema[keep].dataType.simpleString()
-    schema = f"`{keep}` {kind}, params string, width int, height int, error string, n_objects long, threshold double, objects array<struct<{OBJECT.replace(' ', ':', 0)}>>, label_plane binary, mask_png binary"
+    schema = f"`{keep}` {kind}, params string, width int, height int, error string, n_objects long, threshold double, objects array<struct<{OBJECT.replace(' ', ':', 0)}>>, label_plane binary, mask_png binary, annotated_png binary"
     schema = schema.replace(OBJECT, ", ".join(c.replace(" ", ": ", 1) for c in OBJECT.split(", ")))
 
     def run(batches):
@@ -161,18 +162,18 @@ def analyze(files: DataFrame, params: SegmentParams | dict[str, SegmentParams] |
                         raise codecs.ImageLoadError(f"{width} x {height} pixels are too many")
                     image = load_image(bytes(raw))
                 except codecs.ImageLoadError as e:
-                    rows += [(key, n, width, height, str(e), None, None, None, None, None) for n in named]
+                    rows += [(key, n, width, height, str(e), None, None, None, None, None, None) for n in named]
                     continue
                 for n, p in named.items():
                     try:
                         analysis, intensity = prepare(image, p)
                         found = segment(analysis, p)
                         objects = [dict(zip(OBJECT_COLUMNS, o, strict=True)) for o in measure(found.labels, intensity)]
-                        extra = (found.labels.astype("<i4").tobytes(), codecs.to_png(found.mask.astype(np.uint8) * 255)) if planes else (None, None)
+                        extra = (found.labels.astype("<i4").tobytes(), codecs.to_png(render.mask_picture(found.labels)), codecs.to_png(render.outlined(intensity, found.labels))) if planes else (None,) * 3
                         rows.append((key, n, width, height, None, found.n_objects, found.threshold, objects, *extra))
                     except (ValueError, MemoryError) as e:
-                        rows.append((key, n, width, height, str(e) or type(e).__name__, None, None, None, None, None))
-            frame = pd.DataFrame(rows, columns=[keep, "params", "width", "height", "error", "n_objects", "threshold", "objects", "label_plane", "mask_png"]).astype(object)
+                        rows.append((key, n, width, height, str(e) or type(e).__name__, None, None, None, None, None, None))
+            frame = pd.DataFrame(rows, columns=[keep, "params", "width", "height", "error", "n_objects", "threshold", "objects", "label_plane", "mask_png", "annotated_png"]).astype(object)
             yield frame.where(frame.notna(), None)
 
     return files.select(F.col(keep).alias("keep"), F.col(content).alias("content")).mapInPandas(run, schema)

@@ -47,3 +47,34 @@ def plate_spearman(spark, sf_dir):
 def plate_mixture(spark, sf_dir):
     got = positivity.dose_response(_plate(spark, sf_dir), "drug", "well", "dose", "v").where("method = 'mixture'")
     return got.select("drug", "dose", R("percent"), "wells")
+
+
+def _drawn(spark, names):
+    return spark.createDataFrame([(p, bytearray(c), n, k) for p, c, n, k in synthetic.rows(names)], "path string, content binary, drawn int, drawn_positive int").repartition(spark.sparkContext.defaultParallelism, "path")
+
+
+@query()
+def count_error_grid(spark, sf_dir):
+    """Parameter sets by mean relative count error on drawn images, the best first: all sets in one job, each image decoded once."""
+    files = _drawn(spark, ("easy", "moderate"))
+    grid = segment.grid(channel=["blue"], seed_depth=[0.5, 1.0, 2.0], min_size=[40, 60])
+    found = segment.analyze(files, grid).join(files.drop("content"), "path")
+    errors = found.groupBy("params").agg(F.round(F.avg(F.abs(F.col("n_objects") - F.col("drawn")) / F.col("drawn")), 6).alias("count_error"), F.sum("n_objects").alias("objects"))
+    return errors.orderBy("count_error", "params").limit(5)
+
+
+@query()
+def positivity_study(spark, sf_dir):
+    """Error in points of the called percentage on drawn two-channel images with none to seventy percent positive."""
+    files = _drawn(spark, ("marker_none", "marker_10", "marker_30", "marker_50", "marker_70"))
+    got = segment.percent_positive(files).join(files.drop("content"), "path")
+    truth = 100 * F.col("drawn_positive") / F.col("drawn")
+    return got.select("path", F.round(truth, 4).alias("truth"), R("percent_positive", 4), F.round(F.abs(F.col("percent_positive") - truth), 4).alias("error_points"), "bimodal")
+
+
+@query("WITH s AS (SELECT event_type, k, count(*) FILTER (value >= 25 * k) AS n FROM events, (SELECT CAST(unnest(range(1, 9)) AS INT) AS k) GROUP BY ALL) SELECT event_type, k AS variant FROM s QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY abs(n - 100), k) = 1")
+def best_variant(spark, sf_dir):
+    """Of eight cut-offs the one that calls nearest to a hundred objects; of equal ones the first."""
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.count_if(F.col("value") >= 25 * k).alias(f"n{k}") for k in range(1, 9)])
+    tried = F.array(*[F.struct(F.abs(F.col(f"n{k}") - 100).alias("off"), F.lit(k).alias("variant")) for k in range(1, 9)])
+    return e.select("event_type", F.array_min(tried)["variant"].alias("variant"))

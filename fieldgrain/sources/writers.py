@@ -49,3 +49,13 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> None:
 def report_text(df: DataFrame, by: str, lines: list[tuple[str, str]]) -> DataFrame:
     """(by, report): one line per (name, column), names padded to 24 characters; null columns leave their line out."""
     return df.select(by, F.concat_ws("\n", *[F.when(F.col(c).isNotNull(), F.concat(F.rpad(F.lit(n), 24, " "), F.col(c).cast("string"))) for n, c in lines]).alias("report"))
+
+
+def save_outputs(analyzed: DataFrame, folder: str, keep: str = "path") -> None:
+    """Of each analysed image (with planes) three files named after it: measurements, annotated picture, mask."""
+    name = F.regexp_extract(keep, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    good = analyzed.where("error is null and mask_png is not null")
+    objects = good.select(name.alias("stem"), F.explode("objects").alias("o")).select("stem", "o.*")
+    parts = [csv_text(objects, "stem").select(F.concat("stem", F.lit("_measurements.csv")).alias("name"), F.encode("csv", "UTF-8").alias("content"))]
+    parts += [good.select(F.concat(name, F.lit(f"_{kind}.png")).alias("name"), F.col(f"{kind}_png").alias("content")) for kind in ("annotated", "mask")]
+    write_files(parts[0].union(parts[1]).union(parts[2]), folder, "name", "content")

@@ -158,3 +158,12 @@ def test_thresholds_separate_two_levels():
     for name in kernels.THRESHOLDS:
         assert 0.05 < kernels.threshold_of(a, name) < 0.8
     assert kernels.threshold_of(np.ones((3, 3))) == float("inf")
+
+
+def test_variants_kept_for_comparison():
+    mask = disks(100, [(50, 30), (50, 64)], 16) > 0
+    assert kernels.separate(mask, "adaptive").max() >= 2
+    a = disks(100, [(50, 50)], 16)
+    assert (kernels.refine((a > 0).astype(np.int32), a) > 0).sum() == (a > 0).sum()
+    with pytest.raises(ValueError):
+        kernels.separate(mask, "stars")

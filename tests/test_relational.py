@@ -161,3 +161,11 @@ def test_pictures():
     assert tuple(picture[9, 12]) == render.POSITIVE and tuple(picture[2, 4]) == render.NEGATIVE
     colours = render.label_colours(labels)
     assert (colours[0, 0] == 0).all() and (colours[4, 4] != colours[12, 12]).any()
+
+
+def test_saved_outputs(spark, tmp_path):
+    files = spark.createDataFrame([("f/one.png", bytearray(codecs.to_png(disks(100, [(30, 30), (70, 70)], 12)))), ("f/bad.png", bytearray(b"x"))], "path string, content binary")
+    writers.save_outputs(segment.analyze(files, planes=True), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one_annotated.png", "one_mask.png", "one_measurements.csv"]
+    lines = (tmp_path / "out" / "one_measurements.csv").read_text().split("\n")
+    assert lines[0].startswith("object_id,centroid_x") and len(lines) == 3 and lines[1].split(",")[1] == "30.000"
