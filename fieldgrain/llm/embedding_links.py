@@ -80,23 +80,26 @@ class Node:
     __slots__ = ("centre", "children", "members", "radius", "weight")
 
     def __init__(self, x: np.ndarray, members: np.ndarray, weights: np.ndarray, scale: float, leaf: int, centre: int):
-        self.members, self.centre = members, centre
-        far = chords(x[members], x[[centre]])[:, 0]
-        self.radius, self.weight = float(far.max()) * (1 + EPS) + (EPS if len(members) > 1 else 0), int(weights[members].sum())
-        self.children: list[Node] = []
+        self.members, self.centre, self.weight = members, centre, int(weights[members].sum())
+        self.radius, self.children = 0.0, []
+        if len(members) == 1:
+            return
+        self.radius = float(chords(x[members], x[[centre]]).max()) * (1 + EPS) + EPS
         if len(members) <= leaf or self.radius <= 2 * EPS:
             return
         while scale > self.radius / 2:
             scale /= 2
-        near = chords(x[members], x[members]) <= scale
+        # Who is near whom shapes the tree only, radii are taken from the members: single precision will do.
+        own = x[members].astype(np.float32)
+        near = np.concatenate([own[i : i + 1024] @ own.T >= 1 - scale * scale / 2 for i in range(0, len(own), 1024)])
         left = np.ones(len(members), bool)
         first = int(np.flatnonzero(members == centre)[0])  # nested: a node's centre is a child's centre
         for i in (first, *range(len(members))):
             if left[i]:
-                own = near[i] & left
-                own[i] = True
-                left &= ~own
-                self.children.append(Node(x, members[own], weights, scale, leaf, int(members[i])))
+                mine = near[i] & left
+                mine[i] = True
+                left &= ~mine
+                self.children.append(Node(x, members[mine], weights, scale, leaf, int(members[i])))
 
 
 class Links:
@@ -156,21 +159,28 @@ class Links:
                 continue
             left, right = a.children or [a], b.children or [b]
             ra, rb = np.array([n.radius for n in left]), np.array([n.radius for n in right])
+            ca, cb = self.x[[n.centre for n in left]], self.x[[n.centre for n in right]]
+            low, span = cb.astype(np.float32).T, self.reach + rb.max()
             for at in range(0, len(left), 1024):
-                rows = left[at : at + 1024]
-                apart = chords(self.x[[n.centre for n in rows]], self.x[[n.centre for n in right]])
-                both = ra[at : at + 1024, None] + rb
-                maybe = apart - both <= self.reach + EPS
+                # A first look in single precision with the largest radii, then bounds of each pair that is left.
+                least = 1 - (span + ra[at : at + 1024].max()) ** 2 / 2 - 1e-5
+                i, j = np.nonzero(ca[at : at + 1024].astype(np.float32) @ low >= least)
+                i += at
                 if a is b:
-                    maybe &= np.arange(at, at + len(rows))[:, None] <= np.arange(len(right))
-                for i, j in np.argwhere(maybe).tolist():
-                    if rows[i] is not right[j] and apart[i, j] + both[i, j] <= self.reach - EPS:
-                        self.all_linked(rows[i], right[j])
-                    else:
-                        stack.append((rows[i], right[j]))
-
-
-def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, block: int = 3000, sample: int = 4000, most_cells: int = 256) -> DataFrame:
+                    i, j = i[i <= j], j[i <= j]
+                for k in range(0, len(i), 1 << 16):
+                    ik, jk = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    apart, both = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("nd,nd->n", ca[ik], cb[jk]))), ra[ik] + rb[jk]
+                    maybe = apart - both <= self.reach + EPS
+                    whole = apart + both <= self.reach - EPS
+                    for m, n, all_of in zip(ik[maybe].tolist(), jk[maybe].tolist(), whole[maybe].tolist(), strict=True):
+                        if all_of and left[m] is not right[n]:
+                            self.all_linked(left[m], right[n])
+                        elif left[m] is not right[n] or len(left[m].members) > 1:
+                            stack.append((left[m], right[n]))
+
+
+def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, block: int = 6000, sample: int = 4000, most_cells: int = 256) -> DataFrame:
     """A row per vector: key, n_links, component_id, kept. sample, most_cells: bounds of what the driver holds."""
     kind = df.schema[key].dataType.simpleString()
     own = cut(packed(df, key, vector), "vectors")
