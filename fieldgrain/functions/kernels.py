@@ -417,7 +417,9 @@ def crofton(mask: np.ndarray) -> float:
 def convex_area(mask: np.ndarray) -> int:
     """Pixels whose centres lie in the hull of the pixels' edge midpoints."""
     ys, xs = np.nonzero(mask)
-    points = sorted({(float(y) + dy, float(x) + dx) for y, x in zip(ys, xs, strict=True) for dy, dx in ((-0.5, 0), (0.5, 0), (0, -0.5), (0, 0.5))})
+    rows = np.unique(ys)  # only a row's outermost pixels can be corners
+    ends = [(int(y), int(x)) for y, a, b in zip(rows, mask[rows].argmax(axis=1), mask.shape[1] - 1 - mask[rows][:, ::-1].argmax(axis=1), strict=True) for x in {int(a), int(b)}]
+    points = sorted({(y + dy, x + dx) for y, x in ends for dy, dx in ((-0.5, 0), (0.5, 0), (0, -0.5), (0, 0.5))})
     turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
     def chain(ps):

@@ -167,3 +167,12 @@ def test_variants_kept_for_comparison():
     assert (kernels.refine((a > 0).astype(np.int32), a) > 0).sum() == (a > 0).sum()
     with pytest.raises(ValueError):
         kernels.separate(mask, "stars")
+
+
+@settings(max_examples=60, deadline=None)
+@given(masks.filter(lambda m: m.any()))
+def test_convex_area_covers_the_mask(mask):
+    n = kernels.convex_area(mask)
+    assert mask.sum() <= n <= mask.size and (kernels.convex_area(np.ones_like(mask)) == mask.size)
+    ys, xs = np.nonzero(mask)
+    assert n <= (np.ptp(ys) + 1) * (np.ptp(xs) + 1)
