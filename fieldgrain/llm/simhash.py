@@ -82,7 +82,9 @@ def _apart(a: str, b: str) -> Column:
 
 def link(prints: DataFrame, distance: int = 4) -> DataFrame:
     """From distinct fingerprints (fp) those that have a link: (fp, root), root being the same for all that are connected."""
-    cells = prints.select("fp", counts_in_unary(F.col("fp")).alias("u")).select(
+    # Every row becomes one row a grid: deal the few rows out to all cores first.
+    spread = prints.select("fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = spread.select("fp", counts_in_unary(F.col("fp")).alias("u")).select(
         "fp", "u", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("grid"), F.col("u").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(grids(distance))])).alias("at")
     ).select("fp", "u", "at.grid", "at.cell")
     crowded = cells.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
