@@ -84,14 +84,19 @@ class Node:
         self.radius, self.children = 0.0, []
         if len(members) == 1:
             return
-        self.radius = float(chords(x[members], x[[centre]]).max()) * (1 + EPS) + EPS
-        if len(members) <= leaf or self.radius <= 2 * EPS:
+        own = x[members] - x[centre]
+        far = float(np.sqrt(np.einsum("nd,nd->n", own, own).max()))
+        self.radius = far * (1 + EPS) + EPS
+        if len(members) <= leaf or far <= EPS:
             return
-        while scale > self.radius / 2:
+        while scale > far / 2:
             scale /= 2
-        # Who is near whom shapes the tree only, radii are taken from the members: single precision will do.
-        own = x[members].astype(np.float32)
-        near = np.concatenate([own[i : i + 1024] @ own.T >= 1 - scale * scale / 2 for i in range(0, len(own), 1024)])
+        # Who is near whom shapes the tree only, radii are taken from the members: single precision will do, of differences
+        # from the centre in units of the largest one, as products of the vectors themselves round to 1 in a tight cluster.
+        own = (own / far).astype(np.float32)
+        half, ones = np.einsum("nd,nd->n", own, own)[:, None] / 2, np.ones((len(own), 1), np.float32)
+        one, other = np.concatenate([own, -half, ones], axis=1), np.concatenate([own, ones, -half], axis=1)
+        near = np.concatenate([one[i : i + 1024] @ other.T >= -((scale / far) ** 2) / 2 for i in range(0, len(own), 1024)])
         left = np.ones(len(members), bool)
         first = int(np.flatnonzero(members == centre)[0])  # nested: a node's centre is a child's centre
         for i in (first, *range(len(members))):

@@ -101,6 +101,17 @@ def test_links_along_chains_and_at_one_point(spark):
     check_links(spark, [*np.stack([np.cos(angles), np.sin(angles)], axis=1), *[[1.0, 0.0]] * 20], block=16)
 
 
+@pytest.mark.parametrize("noise", [1e-3, 1e-5, 1e-8, 1e-12])
+def test_links_of_tight_clusters(spark, noise):
+    """Copies that differ by numeric noise: single precision can't tell their cosines from 1."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(3, 64))
+    check_links(spark, [*(c + rng.normal(scale=noise, size=64) for c in centres for _ in range(50)), *rng.normal(size=(20, 64))])
+    x = centres[0] + rng.normal(scale=noise, size=(50, 64))
+    tree = embedding_links.Links(x / np.linalg.norm(x, axis=1, keepdims=True), np.ones(50, int), 0.95).tree(np.arange(50))
+    assert tree.weight == 50 and sorted(i for n in tree.children or [tree] for i in n.members) == list(range(50))
+
+
 def test_no_vectors(spark):
     check_links(spark, [None, [0.0, 0.0]])
 
