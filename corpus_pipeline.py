@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgrain.llm import common, decontaminate, packing, quality, secrets_scan, simhash
+from fieldgrain.llm import common, decontaminate, packing, quality, secrets_scan, shingle_links
 
 
 def quality_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def quality_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least id of each component. Rows that repeat that id are thinned to one."""
-    found = simhash.near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id")
+    """Keeps the row with the least id of each component: five-word shingles, similarity of 0.8 or more, decided exactly. Rows that repeat that id are thinned to one."""
+    found = shingle_links.similar_documents(docs.where("doc_id is not null")).where("doc_id = component_id")
     first = found.select("doc_id").distinct()
     kept = docs.join(first, "doc_id").select(docs.columns)
     again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -48,7 +48,7 @@ def packing_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality classifier", quality_step),
-    ("SimHash near-dedup", dedup_step),
+    ("near-dedup by shingles", dedup_step),
     ("benchmark decontamination", decontamination_step),
     ("secret scans", secrets_step),
     ("best-fit packing", packing_step),

@@ -149,6 +149,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert again.columns == packed.columns and again.count() > 0
 
 
+def test_dedup_step_by_brute_force(spark):
+    """Chains of edited copies, crowded cells, a common line, short and empty texts: components of all pairs of similarity 0.8."""
+    import corpus_pipeline as p
+    from .conftest import frame, prose
+
+    rng = np.random.default_rng(8)
+    line, texts = prose(rng, 12), [None, "", "one", "ONE", "a b c", "a b c d e", "a b c d e f"]
+    for n, copies in ((60, 40), (120, 10), (300, 6), (25, 8)):
+        base = prose(rng, n).split()
+        for k in range(copies):
+            words = list(base)
+            for at in rng.choice(n, int(n * rng.uniform(0, 0.04)), replace=False):
+                words[at] = f"w{rng.integers(99)}"
+            texts.append(" ".join(words) + f" {line}" * (k % 2))
+    texts += [f"{prose(rng, 30)} {line}" for _ in range(30)]
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    roots = brute([(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
+    want = [i for i in range(len(sets)) if roots.get(i, i) == i]
+    kept = p.dedup_step(spark, frame(spark, list(enumerate(texts))), DATA)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == want and len(want) < len(texts) - 30
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_run(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0 or name.startswith("op5_")
