@@ -7,8 +7,11 @@ Index: from every offset of an item a CGK walk reads the words onwards; step j e
 random bit of (j, word) says so. The walk turns edits into few differing emissions, as two walks fall into step again
 after an edit. A repetition samples some of the steps, and the emitted words at these are the window's key. A document is
 walked from every word in the same way, all documents of a batch at once in numpy, and equal keys propose an alignment
-of the whole item-sized window. Repetitions are added until, on items edited to the limit by a seeded simulation, the
-share found reaches `recall`. Each proposal is verified by the exact edit distance of the item to the best stretch of
+of the whole item-sized window. Each class of items is walked once, and a seeded simulation edits items of every length
+to the limit, at distinct words, drawn at random or evenly spread, by substitutions alone or mixed with deletions and
+insertions. A walk keeps the lengths whose least share found is at least `recall`. Items of all other lengths, and those
+beyond the simulation's bound, are searched exactly: an item of n words within d edits is cut into d + 1 pieces, one of
+which stands unedited in the document and proposes the window. Each proposal is verified by the exact edit distance of the item to the best stretch of
 its window's surroundings, so nothing below the similarity is reported.
 
 The benchmark is held in blocks of at most `block_words` words, one pass over the documents a block; documents are read
@@ -63,6 +66,7 @@ class Walk:
     items: np.ndarray = field(default=None)
     offsets: np.ndarray = field(default=None)
     sieve: np.ndarray = field(default=None)
+    first: np.ndarray = field(default=None)  # by word, whether a key begins with it
 
     def keys(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the walks from positions `at` those that emit a benchmark word at all sampled steps, with their keys. ids ends in enough zeros."""
@@ -77,11 +81,13 @@ class Walk:
             cur = cur + self.bits[j][w]
         return at, key
 
-    def index(self, docs: list[np.ndarray], which: list[int]) -> None:
-        hashes, items, offsets = [], [], []
-        for i, ids in zip(which, docs, strict=True):
+    def index(self, docs: list[np.ndarray], which: list[int], starts: list[list[int]] | None = None) -> None:
+        """starts: for each of docs the offsets that are walked from; all if not given."""
+        hashes, items, offsets, self.first = [], [], [], np.zeros(self.bits.shape[1], bool)
+        for n, (i, ids) in enumerate(zip(which, docs, strict=True)):
             padded = np.concatenate([ids, np.zeros(len(self.bits) + 1, ids.dtype)])
-            at, key = self.keys(padded, np.arange(len(ids)))
+            at, key = self.keys(padded, np.array(starts[n], np.int64) if starts else np.arange(len(ids)))
+            self.first[padded[at]] = True
             hashes.append(key)
             items.append(np.full(len(at), i))
             offsets.append(at)
@@ -93,7 +99,7 @@ class Walk:
 
     def proposals(self, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, start of the window, the position walked from) for each equal key."""
-        at, key = self.keys(ids, known)
+        at, key = self.keys(ids, known[self.first[ids[known]]])
         keep = self.sieve[(key >> np.uint64(44)).astype(np.int64)]
         at, key = at[keep], key[keep]
         lo, hi = np.searchsorted(self.hashes, key, "left"), np.searchsorted(self.hashes, key, "right")
@@ -127,14 +133,17 @@ class LeakIndex:
 
     #: Item words from which on, steps, sampled steps.
     CLASSES = ((12, 12, 5), (5, 6, 3), (1, 4, None))
+    #: Simulated items for each length and way to edit, and the words of all of them at most.
+    TRIALS, TRIAL_WORDS = 100, 4_000_000
 
-    def __init__(self, ids: list, texts: list, similarity: float = 0.8, recall: float = 0.97, most_repetitions: int = 12, seed: int = 7):
+    def __init__(self, ids: list, texts: list, similarity: float = 0.8, recall: float = 0.97, seed: int = 7):
         split = [words_of(t) for t in texts]
         self.words = {w: n + 1 for n, w in enumerate(sorted({w for x in split for w in x}))}
         self.items = [np.array([self.words[w] for w in x], np.int32) for x in split]
         self.ids, self.similarity = ids, similarity
         self.allowed = [int((1 - similarity) * len(x) + 1e-9) for x in self.items]
         self.walks: list[Walk] = []
+        self.found: dict[int, float] = {}  # by length, the least share found; lengths that are searched exactly have none
         rng = np.random.default_rng(seed)
         for c, (least, steps, k) in enumerate(self.CLASSES):
             most = self.CLASSES[c - 1][0] if c else 1 << 30
@@ -148,27 +157,57 @@ class LeakIndex:
                     walk.index([self.items[i] for i in same], same)
                     self.walks.append(walk)
                 continue
-            trials = [i for i in own for _ in range(max(1, 400 // len(own)))][:2000]
-            edited = [self._edited(i, rng) for i in trials]
-            missing = np.ones(len(trials), bool)
-            for _ in range(most_repetitions):
-                walk = Walk(rng.integers(0, 2, (steps, len(self.words) + 1)), np.concatenate([[0], 1 + np.sort(rng.choice(steps - 1, k - 1, replace=False))]))
-                walk.index([self.items[i] for i in own], own)
+            walk = Walk(rng.integers(0, 2, (steps, len(self.words) + 1)), np.concatenate([[0], 1 + np.sort(rng.choice(steps - 1, k - 1, replace=False))]))
+            walk.index([self.items[i] for i in own], own)
+            lengths: dict[int, list[int]] = {}
+            for i in own:
+                lengths.setdefault(len(self.items[i]), []).append(i)
+            good, spent = set(), 0
+            for n, same in sorted(lengths.items()):
+                spent += n * self.TRIALS * 4
+                if spent <= self.TRIAL_WORDS and (share := self._share_found(walk, same, rng)) >= recall:
+                    good.add(n)
+                    self.found[n] = share
+            walked, exact = ([i for i in own if (len(self.items[i]) in good) == kept] for kept in (True, False))
+            if walked:
+                walk.index([self.items[i] for i in walked], walked)
                 self.walks.append(walk)
-                for t in np.flatnonzero(missing):
-                    x = np.concatenate([edited[t], np.zeros(steps + 1, np.int32)])
-                    missing[t] = trials[t] not in set(walk.proposals(x, np.flatnonzero(x > 0))[0].tolist())
-                if 1 - missing.mean() >= recall:
-                    break
-            self.found = getattr(self, "found", []) + [1 - missing.mean()]
+            pieces: dict[int, dict[int, list[int]]] = {}
+            for i in exact:
+                n, parts = len(self.items[i]), self.allowed[i] + 1
+                ends = [n * j // parts for j in range(parts + 1)]
+                for a, b in zip(ends, ends[1:], strict=False):
+                    pieces.setdefault(b - a, {}).setdefault(i, []).append(a)
+            for size, at in sorted(pieces.items()):
+                piece = Walk(np.ones((size, len(self.words) + 1), np.int64), np.arange(size))
+                piece.index([self.items[i] for i in at], list(at), list(at.values()))
+                self.walks.append(piece)
         self.pad = max((len(w.bits) for w in self.walks), default=0) + 1
 
-    def _edited(self, i: int, rng: np.random.Generator) -> np.ndarray:
-        x = list(self.items[i])
-        for _ in range(self.allowed[i]):
-            at, kind = int(rng.integers(len(x))), int(rng.integers(3))
-            x[at : at + 1] = [[0], [], [0, x[at]]][kind]
-        return np.array(x, np.int32)
+    def _share_found(self, walk: Walk, same: list[int], rng: np.random.Generator) -> float:
+        """Of the items, which are of one length, the share found when edited to the limit: the least of four ways to edit."""
+        shares, gap = [], np.zeros(len(walk.bits) + 1, np.int32)
+        for spread in (False, True):
+            for mixed in (False, True):
+                trials = [same[t % len(same)] for t in range(self.TRIALS)]
+                edited = [np.concatenate([self._edited(i, rng, spread, mixed), gap]) for i in trials]
+                ends, ids = np.cumsum([len(x) for x in edited]), np.concatenate(edited)
+                item, _, met = walk.proposals(ids, np.flatnonzero(ids > 0))
+                trial = np.searchsorted(ends, met, side="right")
+                shares.append(len(np.unique(trial[item == np.array(trials)[trial]])) / len(trials))
+        return min(shares)
+
+    def _edited(self, i: int, rng: np.random.Generator, spread: bool, mixed: bool) -> np.ndarray:
+        """The item with as many edits as allowed, each at a word of its own."""
+        x, many = [[w] for w in self.items[i].tolist()], self.allowed[i]
+        if spread:
+            step, shift = len(x) / max(1, many), rng.uniform(0, 1)
+            places = [int(step * (j + shift)) for j in range(many)]
+        else:
+            places = rng.choice(len(x), many, replace=False).tolist()
+        for at in places:
+            x[at] = [[0], [], [0, *x[at]]][int(rng.integers(3)) if mixed else 0]
+        return np.array([w for part in x for w in part], np.int32)
 
     def scan(self, docs: list[list[str]], vocabulary: Vocabulary):
         """(document, item, distance, first word, word after the last) of each leak, the nearest stretch for each item."""

@@ -185,6 +185,22 @@ def test_distance_of_stretches():
         assert cost == best == slow_edit(item, window[a:b])
 
 
+@pytest.mark.parametrize("n", [5, 9, 12, 13, 15, 16, 18, 20, 24])
+def test_short_items_edited_evenly(n):
+    """Beside many long items, which dominate a share pooled over all."""
+    rng = np.random.default_rng(n)
+    items = [prose(rng, n) for _ in range(8)] + [prose(rng, 60) for _ in range(30)]
+    index = decontaminate.LeakIndex(list(range(len(items))), items)
+    docs, many = [], int(0.2 * n + 1e-9)
+    for t in range(160):
+        words, step = items[t % 8].split(), n / many
+        places = {int(step * (j + rng.random() * 0.99)) for j in range(many)} if t % 2 else set(rng.choice(n, many, replace=False).tolist())
+        assert len(places) == many
+        docs.append([*prose(rng, 20).split(), *(f"odd{t}x{at}" if at in places else w for at, w in enumerate(words)), *prose(rng, 20).split()])
+    found = {(d, i) for d, i, *_ in index.scan(docs, decontaminate.Vocabulary(index.words))}
+    assert sum((t, t % 8) in found for t in range(160)) >= 0.95 * 160
+
+
 def slow_edit(x, y):
     d = np.arange(len(y) + 1)
     for i, a in enumerate(x):
