@@ -31,7 +31,7 @@ from .components import components
 
 #: Of prints that take part in a pair, those whose low bits are among them are read again: at most so many rows are broadcast.
 SLOTS = 1 << 21
-SKETCH = 1024
+SKETCH = 256
 
 
 def shingles_of(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -106,11 +106,17 @@ def _verified(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
 def link(own: DataFrame, similarity: float) -> DataFrame:
     """From rows (fp, n, sketch, shingles in order) the prints that have a link: (node, component)."""
     prefix = F.slice("shingles", 1, F.when(F.col("n") > 0, F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).otherwise(0).cast("int"))
-    cells = own.select("fp", "n", prefix.alias("prefix")).dropDuplicates(["fp"]).select("fp", "n", F.explode("prefix").alias("cell"))
-    mixed = Window.partitionBy("cell").orderBy(F.xxhash64("fp", "cell")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tried = F.array(*[F.struct(f("fp").over(mixed).alias("fp"), f("n").over(mixed).alias("n")) for f in (F.first, F.last)])
-    rows = cut(cells.select("cell", "fp", "n", F.count("*").over(mixed).alias("members"), tried.alias("tried")).where("members > 1"), "cells")
-    stars = rows.select("fp", "n", F.explode("tried").alias("t")).where((F.col("fp") != F.col("t.fp")) & _long_enough(F.col("n"), F.col("t.n"), similarity))
+    cells = own.select("fp", "n", prefix.alias("prefix")).dropDuplicates(["fp"]).select("fp", "n", F.posexplode("prefix").alias("at", "cell"))
+    # Dealt out before the order is made up, which would be written too.
+    cells = cells.repartition("cell").withColumn("order", F.xxhash64("fp", "cell"))
+    mixed = Window.partitionBy("cell").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tried = F.array(*[F.struct(f("fp").over(mixed).alias("fp"), f("n").over(mixed).alias("n"), f("at").over(mixed).alias("at")) for f in (F.first, F.last)])
+    rows = cut(cells.select("cell", "fp", "n", "at", F.count("*").over(mixed).alias("members"), tried.alias("tried")).where("members > 1"), "cells")
+    # What sets of that similarity share at least; it can't come after the first shared shingle if that one is further back.
+    # In cells of up to three members all pairs are tried so; those of larger cells that it leaves out are made below.
+    least = (F.col("n") + F.col("t.n")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    early = (F.col("n") - F.col("at") >= least) & (F.col("t.n") - F.col("t.at") >= least)
+    stars = rows.select("fp", "n", "at", F.explode("tried").alias("t")).where((F.col("fp") != F.col("t.fp")) & _long_enough(F.col("n"), F.col("t.n"), similarity) & early)
     edges = _verified(stars.select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b")), own, similarity)
     first = cut(components(edges), "first")
     owned = rows.select("cell", "fp", "n").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
