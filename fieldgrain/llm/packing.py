@@ -15,6 +15,7 @@ takes the remainder. Repeated rows are packed each. An empty table gives no rows
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right, insort
 from functools import lru_cache
@@ -24,15 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, locate, table
+from .common import cut, drop, locate, table
 
-#: A pre-token never holds a non-space character followed by white space, so texts can be encoded between such places.
-CHUNK = re.compile(r"\s*\S+|\s+")
-TWO_SPACES = re.compile(r"\s\s")
+MARKS, LATIN_END = tuple(".,;:!?)]}\"|#$%&*"), "\u0250"
+PACK = {n: struct.Struct(f"<{n}I").pack for n in range(1, 9)}
 
 
 class ByteBpe(dict):
-    """chunk -> its ids; the ids of a `tokenizers` byte-level BPE file, merged chunk by chunk and remembered."""
+    """word -> the ids of a space and the word, as little-endian 32-bit numbers; those of a `tokenizers` byte-level BPE file.
+
+    A pre-token begins at every space but inside a run of white space that goes on with another space, so a text without
+    two spaces in a row can be encoded word by word, and words be remembered.
+    """
 
     def __init__(self, path: str, most: int):
         import json
@@ -45,44 +49,53 @@ class ByteBpe(dict):
         pre = spec["pre_tokenizer"]
         if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["model"].get("ignore_merges"):
             raise ValueError("not a plain byte-level BPE file")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {k: v.to_bytes(4, "little") for k, v in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(byte[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
+        ranks = {bytes(byte[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.merge = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.merge, self.merge_piece = coder.encode_ordinary, coder._core_bpe.encode_single_piece
         probe = "It's 1,024 tokens\n\nof  náive\ttext…"
         if self.merge(probe) != Tokenizer.from_file(path).encode(probe, add_special_tokens=False).ids:
             raise ValueError("merge order and ranks differ in this file")
-        self.most = most
+        self.most, self.older = most, {}
 
-    def __missing__(self, chunk: str) -> list[int]:
-        ids = self.merge(chunk)
-        if len(chunk) < 48:
-            if len(self) >= self.most:
+    def __missing__(self, word: str) -> bytes:
+        raw = self.older.get(word) or self._merged(word)
+        if len(word) < 48:
+            if len(self) >= self.most // 2:  # what was met since the last time is kept for as long again
+                self.older = dict(self)
                 self.clear()
-            self[chunk] = ids
-        return ids
-
-    def plain(self, text: str) -> list[int]:
-        ids: list[int] = []
-        if TWO_SPACES.search(text):
-            chunks = CHUNK.findall(text)
+            self[word] = raw
+        return raw
+
+    def _merged(self, word: str) -> bytes:
+        if word.isalpha() and max(word) < LATIN_END:  # a space and letters are one pre-token
+            ids = self.merge_piece(b" " + word.encode())
+        elif word[-1:] in MARKS and word[:-1].isalpha() and max(word) < LATIN_END:  # and a mark that ends them is another
+            ids = self.merge_piece(b" " + word[:-1].encode()) + self.merge_piece(word[-1:].encode())
         else:
-            chunks = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else CHUNK.findall(text)
-        for c in map(self.__getitem__, chunks):
-            ids += c
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+            ids = self.merge(" " + word)
+        return make(*ids) if (make := PACK.get(len(ids))) else np.array(ids, "<u4").tobytes()
+
+    def plain(self, text: str) -> bytes:
+        if "  " in text:
+            return np.array(self.merge(text), "<u4").tobytes()
+        words = text.split(" ")
+        words[0] = np.array(self.merge(words[0]), "<u4").tobytes()
+        words[1:] = map(self.__getitem__, words[1:])
+        return b"".join(words)
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
         if not self.cut or not self.cut.search(text):
-            return self.plain(text) if text else []
-        ids: list[int] = []
-        for part in self.cut.split(text):
-            ids += [self.special[part]] if part in self.special else self.plain(part) if part else []
-        return ids
+            return self.plain(text)
+        return b"".join(self.special[part] if part in self.special else self.plain(part) for part in self.cut.split(text) if part)
 
 
 @lru_cache(maxsize=2)
@@ -90,30 +103,37 @@ def _encoder(path: str, most: int) -> ByteBpe:
     return ByteBpe(path, most)
 
 
-def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 1024, model: str = "byte_bpe_50k.json", end: int = 2, remembered: int = 300_000) -> DataFrame:
+def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 1024, model: str = "byte_bpe_50k.json", end: int = 2, remembered: int = 240_000) -> DataFrame:
     """A row per piece: key, piece, start, length, ids_crc32, and (part, nth): its number among the partition's pieces of that length."""
-    kind = df.schema[key].dataType.simpleString()
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, key_type = df.schema[key].dataType.simpleString(), to_arrow_type(df.schema[key].dataType)
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    names, mark = ["key", "piece", "start", "length", "ids_crc32", "part", "nth"], end.to_bytes(4, "little")
 
     def cut_up(batches):
-        encode, seen = _encoder(locate(model), remembered).encode, np.zeros(capacity + 1, np.int64)
+        encode, seen = _encoder(locate(model), remembered).encode, [0] * (capacity + 1)
         for batch in batches:
-            rows: list[tuple] = []
-            for k, t, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = encode(t) if t else []
-                raw = np.array([*ids, end], "<u4")
-                at, n = 0, 0
-                while at < len(raw):
-                    to = min(len(raw), at + ((len(raw) - 1) % capacity + 1 if at == 0 else capacity))
-                    rows.append((k, n, at, to - at, zlib.crc32(raw[at:to].tobytes()), part, int(seen[to - at])))
-                    seen[to - at] += 1
-                    at, n = to, n + 1
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
-
-    names = ["key", "piece", "start", "length", "ids_crc32", "part", "nth"]
-    from pyspark.sql.pandas.types import to_arrow_type
+            row, columns = [], tuple([] for _ in types)
+            piece, start, length, crc, parts, nth = columns
+            for i, part in enumerate(batch.column(2).to_pylist()):
+                raw = memoryview(encode(batch.column(1)[i].as_py()) + mark)  # one text at a time is held as a string
+                total, at, n = len(raw) // 4, 0, 0
+                to = (total - 1) % capacity + 1
+                while at < total:
+                    size = to - at
+                    row.append(i)
+                    piece.append(n)
+                    start.append(at)
+                    length.append(size)
+                    crc.append(zlib.crc32(raw[4 * at : 4 * to]))
+                    parts.append(part)
+                    nth.append(seen[size])
+                    seen[size] += 1
+                    at, to, n = to, to + capacity, n + 1
+            if row:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)).cast(key_type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    arrow = pa.schema([("key", to_arrow_type(df.schema[key].dataType)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
     return df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.spark_partition_id().alias("part")).mapInArrow(cut_up, f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 

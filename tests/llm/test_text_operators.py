@@ -100,12 +100,14 @@ def test_links_of_crowded_fingerprints(spark):
 @example("a<|endoftext|>b <|endoftext|>")
 @example("one  two\n\n three \u00a0\u3000 x\x00 y  ")
 @example("It's 12,345.67 naïve — “quotes” 日本語 😀")
+@example("it's we'll 'til o'clock wait... (so)) \n end.\n Über, \t a \n\n b! ")
 def test_ids_are_the_library_s(text):
     from tokenizers import Tokenizer
 
     path = common.locate("byte_bpe_50k.json")
     test_ids_are_the_library_s.library = getattr(test_ids_are_the_library_s, "library", None) or Tokenizer.from_file(path)
-    assert packing._encoder(path, 1000).encode(text) == test_ids_are_the_library_s.library.encode(text, add_special_tokens=False).ids
+    for most in (1000, 4):
+        assert np.frombuffer(packing._encoder(path, most).encode(text), "<u4").tolist() == test_ids_are_the_library_s.library.encode(text, add_special_tokens=False).ids
 
 
 def check_plan(hist, capacity):
@@ -130,22 +132,31 @@ def test_plans_are_near_the_lower_bound():
 
 
 def test_packing(spark, corpus):
+    """Every piece of every document against the library's ids; every sequence without gaps."""
     from tokenizers import Tokenizer
 
     rows, df, _ = corpus
-    got = packing.pack(df).toPandas()
+    got = packing.pack(df, remembered=50).toPandas()
     library = Tokenizer.from_file(common.locate("byte_bpe_50k.json"))
-    want = sorted((i if i is not None else -1, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in rows)
-    one = got.fillna({"doc_id": -1}).groupby("doc_id").length.sum()
-    assert one.sum() == sum(n for _, n in want)
-    ids = np.array([*library.encode(dict(r[:2] for r in rows)[1004], add_special_tokens=False).ids, 2], "<u4")
-    for r in got[got.doc_id == 1004].itertuples():
-        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and (r.length == 1024 or r.piece == 0)
+    want = []
+    for i, t, *_ in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        ends = list(range(len(ids), 0, -1024))[::-1]
+        want += [(i, n, a, b - a, zlib.crc32(ids[a:b].tobytes())) for n, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
+    order = lambda r: tuple(-1 if v is None or v != v else int(v) for v in r)
+    assert sorted(map(order, got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))) == sorted(map(order, want))
     for _, s in got.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 1024
 
 
+def test_packing_of_other_keys(spark):
+    """A text key, a clashing column, ties of length and repeated rows."""
+    df = spark.createDataFrame([("a", "x y", 1), ("a", "x y", 2), (None, "x  y", 3), ("b", "", 4)], "name string, body string, length int")
+    got = packing.pack(df, "name", "body").collect()
+    assert sorted((r.name or "", r.piece, r.start) for r in got) == [("", 0, 0), ("a", 0, 0), ("a", 0, 0), ("b", 0, 0)] and len({(r.sequence_id, r.offset) for r in got}) == 4
+
+
 # ---- 10: token counts
 
 
