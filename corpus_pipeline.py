@@ -4,8 +4,8 @@
 stays. 3. Documents into which a benchmark item leaks go. 4. Secrets in the texts are replaced. 5. Texts are tokenized
 and packed. All but the last return the columns of documents; n_chars follows the text where a step changes it.
 
-Rows without an id are kept by every step but take no part in grouping; repeated rows of one document are near-duplicates
-of each other, and one stays.
+Rows without an id are kept by every step but take no part in grouping. Of repeated rows of an id one stays if their texts
+are near-duplicates; texts unlike each other all stay.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgrain.llm import common, decontaminate, packing, quality, secrets_scan, shingle_links
+from fieldgrain.llm import common, decontaminate, packing, quality, secrets_scan, simhash
 
 
 def quality_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,19 +22,25 @@ def quality_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least id of each component: five-word shingles, similarity of 0.8 or more, decided exactly. Rows that repeat that id are thinned to one."""
-    found = shingle_links.similar_documents(docs.where("doc_id is not null")).where("doc_id = component_id")
-    first = found.select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").select(docs.columns)
-    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    """Keeps one row of each group: operator 1 on five-word shingles, with all links of similarity 0.8 or more.
+
+    Fingerprints within two bits link first (their documents are all but alike), the wide part finds the other pairs. Of a group
+    the row with the least id stays; of repeated rows of an id only those go that are copies, texts unlike each other stay.
+    """
+    found = common.cut(simhash.near_duplicates(docs.where("doc_id is not null"), words=5, distance=2, similarity=0.8).select("doc_id", "fp", "kept"), "found")
+    keys = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")).where("n > 1 or not kept")
+    touched = common.cut(keys.select("doc_id", "n"), "touched")
+    single = common.without(docs, touched)
+    repeated = touched.where("n > 1").select("doc_id")
+    again = common.may_hold(docs, repeated, "doc_id").join(repeated, "doc_id", "left_semi").withColumn("__fp", simhash.fingerprint(F.col("text"), 5))
+    stay = found.where("kept").select("doc_id", F.col("fp").alias("__fp")).join(repeated, "doc_id", "left_semi")
+    again = again.join(stay.distinct(), ["doc_id", "__fp"], "left_semi").dropDuplicates(["doc_id", "__fp"])
+    return single.union(again.select(docs.columns))
 
 
 def decontamination_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    leaks = decontaminate.find_leaks(docs, common.table(spark, sf_dir, "benchmark"), item_key="item_id").select("doc_id")
+    return common.without(docs, common.cut(leaks.distinct(), "leaks"))
 
 
 def secrets_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def packing_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality classifier", quality_step),
-    ("near-dedup by shingles", dedup_step),
+    ("SimHash near-dedup", dedup_step),
     ("benchmark decontamination", decontamination_step),
     ("secret scans", secrets_step),
     ("best-fit packing", packing_step),

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths that cut() has written and nobody has deleted yet, by application.
+_LIVE: dict[str, set[str]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,16 +36,29 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fieldgrain_path = path
+    _LIVE.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     return out
 
 
-def drop(df: DataFrame) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _LIVE.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def drop(*tables: DataFrame) -> None:
     """Delete what cut() wrote, once nothing reads it any more."""
-    path = getattr(df, "_fieldgrain_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
+    for df in tables:
+        if path := getattr(df, "_fieldgrain_path", None):
+            _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables of this application that are left, once its results have been written: results are lazy and read the last of them."""
+    paths = list(_LIVE.get(spark.sparkContext.applicationId, ()))
+    for p in paths:
+        _delete(spark, p)
+    return len(paths)
 
 
 def fold(col: str, mod: int) -> Column:
@@ -50,8 +67,38 @@ def fold(col: str, mod: int) -> Column:
 
 
 def some_ids(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """At most `most` rows in the order of a hash of their key: a repeatable sample of bounded size."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most)
+    """At most `most` rows in the order of a hash of their key: a repeatable sample of bounded size. Of a large table only rows below a cut-off of that hash, about twice as many as wanted, are put in order."""
+    total = df.count()
+    if total > 4 * most:
+        span = 1 << 40
+        df = df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(span)) < F.lit(int(span * (2 * most + 100) / total)))
+    return df.orderBy(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)), F.col(key)).limit(most)
+
+
+def one_each(df: DataFrame, key: str = "id") -> DataFrame:
+    """Of the rows of one key the same one each time, by a hash of all columns: for samples that a table with repeated keys was joined to."""
+    rest = [c for c in df.columns if c != key]
+    chosen = F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("r")
+    return df.groupBy(key).agg(chosen).select(key, *[F.col("r")[c].alias(c) for c in rest])
+
+
+#: Rows are looked up by a hash of their key first: at most so many values are broadcast.
+SLOTS = 1 << 20
+
+
+def _slot(key: str) -> Column:
+    return F.xxhash64(F.col(key)).bitwiseAND(F.lit(SLOTS - 1))
+
+
+def may_hold(df: DataFrame, keys: DataFrame, key: str, kind: str = "left_semi") -> DataFrame:
+    """Rows whose key may be (or, by left_anti, can't be) among `keys`, without a shuffle of df: a table of at most SLOTS hash values is broadcast."""
+    mark = F.broadcast(keys.select(_slot(key).alias("__fg_slot")).distinct())
+    return df.withColumn("__fg_slot", _slot(key)).join(mark, "__fg_slot", kind).drop("__fg_slot")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of df whose key is null or not among the column of that name in `keys`; only rows whose hash is among theirs are shuffled."""
+    return may_hold(df, keys, key, "left_anti").union(may_hold(df, keys, key).join(keys.select(key), key, "left_anti").select(df.columns))
 
 
 def locate(model: str) -> str:
@@ -61,8 +108,3 @@ def locate(model: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(model)
-
-
-def collect_frame(df: DataFrame) -> pd.DataFrame:
-    """To the driver; only for rows whose number the caller has bounded."""
-    return df.toPandas()

@@ -18,7 +18,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node with an edge to another node: the smallest node reachable. Nulls and loops are ignored, repeats allowed. Empty edges give no rows."""
+    """(node, component) for every node with an edge to another node: the smallest node reachable; a written table. Nulls and loops are ignored, repeats allowed. Empty edges give no rows."""
     now = cut(edges.where((F.col(a) != F.col(b))).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
     state = _state(now)
     while state[0]:
@@ -35,4 +35,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now, before = new, state
         if (state := _state(now)) == before:
             break
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
+    out = cut(now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct()), "components")
+    drop(now)
+    return out

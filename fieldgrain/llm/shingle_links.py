@@ -1,127 +1,166 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, by prefix filtering (the pipeline's second stage).
-
-Two documents link if their sets of word shingles have a similarity of at least `similarity`. Shingles are put in one
-order for all documents, the ones that a bounded sample holds often last. Two sets of that similarity share a shingle
-among the first n - ceil(similarity x n) + 1 of either, so an equi-join of these prefixes meets every pair that links,
-whatever the order; the sample only keeps common shingles out of prefixes. A pair that is tried passes a bound first:
-parities of the shingles in SKETCH classes differ in no more classes than the sets differ in shingles. It is decided on
-the whole sets, so links are neither missed nor made up (64-bit hashes stand for shingles and for sets).
-
-Equal sets are one node. In a crowded cell not all pairs are made: each member is tried against two members, others in
-each cell, and the components of those links are taken; afterwards only pairs from different components are tried, and
-none where a cell holds one component only. A pair's sets share what their prefixes share and at most one set's rest,
-so these pairs are counted over their cells, and only those whose count leaves the similarity possible are decided. This
-finds the same components as all pairs would.
-
-null text: as the empty text. Texts without words are alike. Fewer words than a shingle has: the whole sequence is one
-shingle. Rows with a null id stay; the component id is the smallest non-null id. Empty table: no rows.
+"""Links by the Jaccard similarity of word shingles, decided exactly: the wide part of operator 1 (see simhash.near_duplicates).
+
+Fingerprints of documents with a similarity of 0.8 are some ten bits apart, too far for grids over them. So what the
+fingerprints leave apart meets by prefix filtering: shingles are put in one order for all documents, the ones that a
+bounded sample holds often last. Two sets of the wanted similarity share a shingle among the first
+n - ceil(similarity x n) + 1 of either, so an equi-join of these prefixes meets every pair that links, whatever the order;
+the sample only keeps common shingles out of prefixes. A pair that is tried passes a bound first: parities of the
+shingles in SKETCH classes differ in no more classes than the sets differ in shingles. It is decided on the whole sets,
+read again from the texts, so links are neither missed nor made up (64-bit hashes stand for shingles).
+
+A cell is a shingle with the documents whose prefix holds it. Cells of shingles that the sample holds often may be of any
+size: their counts and centres are aggregated before their shuffle, and are few enough to be broadcast (bound: `most`).
+In a crowded cell not all pairs are made: each member is tried against two members, others in each cell, and the
+components of those links are taken; afterwards only pairs from different components are tried, and none where a cell
+holds one component only. A pair's sets share what their prefixes share and at most one set's rest, so these pairs are
+counted over their cells, and only those whose count leaves the similarity possible are decided. This finds the same
+components as all pairs would.
+
+null text: as the empty text. Fewer words than a shingle has: the whole sequence is one shingle. Rows with a null id link
+by their fingerprints only. Repeated rows are one node. Empty table: no rows. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, some_ids
+from .common import cut, drop, may_hold, some_ids
 from .components import components
+from .shingles import digests, print_of
 
-#: Of prints that take part in a pair, those whose low bits are among them are read again: at most so many rows are broadcast.
-SLOTS = 1 << 21
 SKETCH = 256
 
 
-def shingles_of(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; words as in simhash.fingerprint_of."""
-    import xxhash
-
-    found, digest = (text or "").encode().lower().split(), xxhash.xxh64_digest
-    if not found:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return np.frombuffer(digest(joined, seed), np.int64)
-    ends = list(accumulate(len(w) + 1 for w in found))
-    starts = [0, *ends[: len(found) - words]]
-    return np.unique(np.frombuffer(b"".join([digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[words - 1 :], strict=True)]), np.int64))
-
-
-def print_of(shingles: np.ndarray) -> int:
-    import xxhash
+def shingles_of(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingles from their digests."""
+    return np.unique(hashes.reshape(-1).view(np.int64))
 
-    return int.from_bytes(xxhash.xxh64_digest(shingles.tobytes()), "big", signed=True)
 
-
-def in_order(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """By (count in the sample, hash). common: sorted hashes, often: their counts."""
+def in_order(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, int]:
+    """By (count in the sample, hash), and how many of them the sample does not hold often. common: sorted hashes, often: their counts."""
     if not len(common):
-        return shingles
+        return shingles, len(shingles)
     at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    return shingles[np.argsort(np.where(common[at] == shingles, often[at], 0), kind="stable")]
+    count = np.where(common[at] == shingles, often[at], 0)
+    return shingles[np.argsort(count, kind="stable")], int((count == 0).sum())
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(shingles & (SKETCH - 1), minlength=SKETCH) & 1).astype(bool)).view(np.int64)
 
 
-def common_shingles(docs: DataFrame, key: str, text: str, words: int, sample: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def prefix_size(n: int, similarity: float) -> int:
+    return n - int(np.ceil(n * similarity - 1e-9)) + 1 if n else 0
+
+
+def common_shingles(docs: DataFrame, key: str, text: str, words: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that at least three documents of a bounded sample hold, at most `most`, the most frequent ones."""
     ids = F.broadcast(some_ids(docs.select(F.col(key).alias("id")), sample, "id").distinct())
 
     def each(batches):
         for b in batches:
-            yield pd.DataFrame({"s": np.concatenate([shingles_of(t, words) for t in b["text"]] or [np.zeros(0, np.int64)])})
+            for t in b["text"]:
+                yield pd.DataFrame({"s": shingles_of(digests(t, words))})
 
-    some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id").limit(2 * sample).select("text").mapInPandas(each, "s long")
+    some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id").select("text").mapInPandas(each, "s long")
     found = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(most).toPandas().sort_values("s")
     return found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
+def described(docs: DataFrame, key: str, text: str, words: int, similarity: float, sample: int = 10_000, most: int = 100_000) -> DataFrame:
+    """(key, fp, n, sketch, prefix, rare): a row per document, from one pass over the texts. sample: documents that order the shingles."""
+    common, often = common_shingles(docs, key, text, words, sample, most)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def each(batches):
+        for b in batches:
+            for at in range(0, len(b), 512):
+                few, rows = b.iloc[at : at + 512], []
+                for t in few["text"]:
+                    hashes = digests(t, words)
+                    found = shingles_of(hashes)
+                    order, rare = in_order(found, common, often)
+                    size = prefix_size(len(found), similarity)
+                    rows.append((print_of(hashes), len(found), sketch_of(found), order[:size], min(rare, size)))
+                yield pd.DataFrame(rows, columns=["fp", "n", "sketch", "prefix", "rare"]).assign(key=few["key"].to_numpy())
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(each, f"fp long, n int, sketch array<long>, prefix array<long>, rare int, key {kind}")
+
+
 def _long_enough(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - 1e-9
 
 
-def _verified(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of prints, those whose sets are that similar."""
-    brief = own.select("fp", "n", "sketch").dropDuplicates(["fp"])
-    side = lambda x: brief.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+def _sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(fp, shingles) of the prints in `need`, from the texts of the documents that stand for them."""
+    wanted = cut(need.join(nodes.select("fp", "key"), "fp"), "need")
+    some = may_hold(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), wanted, "key")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def each(batches):
+        for b in batches:
+            for k, t in zip(b["key"], b["text"], strict=True):
+                hashes = digests(t, words)
+                yield pd.DataFrame({"key": [k], "fp": [print_of(hashes)], "shingles": [shingles_of(hashes)]})
+
+    found = some.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "text").mapInPandas(each, f"key {kind}, fp long, shingles array<long>")
+    out = cut(found.join(wanted, ["key", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "shingles"), "sets")
+    drop(wanted)
+    return out
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float, sets) -> DataFrame:
+    """Of the pairs (a, b) of prints, those whose sets are that similar. sets: looks up those of given prints."""
+    side = lambda x: nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
     apart = sum(F.bit_count(F.col("ka")[i].bitwiseXOR(F.col("kb")[i])) for i in range(SKETCH // 64))
     may = apart * (1 + similarity) <= (F.col("na") + F.col("nb")) * F.lit(1 - similarity) + 1e-6
     pairs = cut(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"), "tried")
-    need = cut(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "need")
-    slot = F.col("fp").bitwiseAND(F.lit(SLOTS - 1))
-    near = own.select("fp", "shingles").withColumn("slot", slot).join(F.broadcast(need.select(slot.alias("slot")).distinct()), "slot", "left_semi")
-    sets = cut(near.join(need, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "shingles"), "sets")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
+    found = sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
+    both = pairs.join(found.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(found.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     met = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("met"), (F.size("sa") + F.size("sb")).alias("sum"))
     out = cut(met.where(F.col("met") >= (F.col("sum") - F.col("met")) * F.lit(similarity) - 1e-9).select("a", "b"), "alike")
-    for t in (pairs, need, sets):
-        drop(t)
+    drop(pairs, found)
     return out
 
 
-def link(own: DataFrame, similarity: float) -> DataFrame:
-    """From rows (fp, n, sketch, shingles in order) the prints that have a link: (node, component)."""
-    prefix = F.slice("shingles", 1, F.when(F.col("n") > 0, F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).otherwise(0).cast("int"))
-    cells = own.select("fp", "n", prefix.alias("prefix")).dropDuplicates(["fp"]).select("fp", "n", F.posexplode("prefix").alias("at", "cell"))
+def _members(nodes: DataFrame) -> DataFrame:
+    """(cell, fp, n, at, members, tried): of cells with more than one member, each with two members to be tried against."""
+    # A document's row becomes one row a shingle: place and size travel as one number.
+    cells = nodes.select("fp", F.col("n").cast("long").alias("n"), "rare", F.posexplode("prefix").alias("at", "cell"))
+    cells = cells.select("cell", "fp", F.shiftleft("n", 32).bitwiseOR(F.col("at")).alias("place"), (F.col("at") < F.col("rare")).alias("few"))
+    one = F.struct("fp", "place")
+    order = F.xxhash64("fp", "cell")
     # Dealt out before the order is made up, which would be written too.
-    cells = cells.repartition("cell").withColumn("order", F.xxhash64("fp", "cell"))
-    mixed = Window.partitionBy("cell").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tried = F.array(*[F.struct(f("fp").over(mixed).alias("fp"), f("n").over(mixed).alias("n"), f("at").over(mixed).alias("at")) for f in (F.first, F.last)])
-    rows = cut(cells.select("cell", "fp", "n", "at", F.count("*").over(mixed).alias("members"), tried.alias("tried")).where("members > 1"), "cells")
+    rare = cells.where("few").select("cell", "fp", "place").repartition("cell").withColumn("order", order)
+    whole = Window.partitionBy("cell").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rare = rare.select("cell", "fp", "place", F.count("*").over(whole).alias("members"), F.first(one).over(whole).alias("x"), F.last(one).over(whole).alias("y"))
+    often = cells.where("not few").select("cell", "fp", "place")
+    centres = often.groupBy("cell").agg(F.count("*").alias("members"), F.min_by(one, order).alias("x"), F.max_by(one, order).alias("y"))  # as many as common shingles at most
+    rows = rare.union(often.join(F.broadcast(centres.where("members > 1")), "cell").select("cell", "fp", "place", "members", "x", "y")).where("members > 1")
+    size, at = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)))
+    tried = F.array(*[F.struct(F.col(c)["fp"].alias("fp"), size(F.col(c)["place"]).alias("n"), at(F.col(c)["place"]).alias("at")) for c in "xy"])
+    return rows.select("cell", "fp", size(F.col("place")).alias("n"), at(F.col("place")).alias("at"), "members", tried.alias("tried"))
+
+
+def link(own: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """From what described() makes, the prints in first (key, fp) that have a link among each other: (node, component)."""
+    nodes = cut(own.join(first, ["key", "fp"], "left_semi").dropDuplicates(["fp"]), "nodes")
+    sets = lambda need: _sets(need, nodes, docs, key, text, words)
+    rows = cut(_members(nodes), "cells")
     # What sets of that similarity share at least; it can't come after the first shared shingle if that one is further back.
     # In cells of up to three members all pairs are tried so; those of larger cells that it leaves out are made below.
     least = (F.col("n") + F.col("t.n")) * F.lit(similarity / (1 + similarity)) - 1e-6
     early = (F.col("n") - F.col("at") >= least) & (F.col("t.n") - F.col("t.at") >= least)
     stars = rows.select("fp", "n", "at", F.explode("tried").alias("t")).where((F.col("fp") != F.col("t.fp")) & _long_enough(F.col("n"), F.col("t.n"), similarity) & early)
-    edges = _verified(stars.select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b")), own, similarity)
-    first = cut(components(edges), "first")
-    owned = rows.select("cell", "fp", "n").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    edges = _verified(stars.select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b")), nodes, similarity, sets)
+    near = components(edges)
+    owned = rows.select("cell", "fp", "n").join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     groups = owned.groupBy("cell", "component").agg(F.count("*").alias("k")).groupBy("cell").agg(F.count("*").alias("groups"), F.max_by("component", "k").alias("main")).where("groups > 1")
     left = cut(owned.join(groups.drop("groups"), "cell"), "mixed")
+    drop(rows)
     x = left.where("component <> main").select("cell", F.col("fp").alias("xf"), F.col("n").alias("xn"), F.col("component").alias("xc"))
     y = left.select("cell", F.col("fp").alias("yf"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("of_main"))
     pairs = x.join(y, (x.cell == y.cell) & (x.xc != y.yc) & (y.of_main | (x.xf < y.yf)) & _long_enough(x.xn, y.yn, similarity))
@@ -129,29 +168,9 @@ def link(own: DataFrame, similarity: float) -> DataFrame:
     shared = pairs.groupBy(F.least("xf", "yf").alias("a"), F.greatest("xf", "yf").alias("b"), F.least("xn", "yn").alias("s"), F.greatest("xn", "yn").alias("l")).agg(F.count("*").alias("shared"))
     rest = F.ceil(F.col("l") * F.lit(similarity) - 1e-9) - 1  # the longer set's, the greater one
     possible = (F.col("shared") + rest) * (1 + similarity) >= (F.col("s") + F.col("l")) * similarity - 1e-9
-    more = _verified(shared.where(possible).select("a", "b"), own, similarity)
-    for t in (rows, left):
-        drop(t)
-    return first if more.isEmpty() else components(edges.union(more))
-
-
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, sample: int = 10_000) -> DataFrame:
-    """A row per document: key, fp (of its set of shingles), component_id (the least key reachable). sample: documents that order the shingles."""
-    common, often = common_shingles(docs, key, text, words, sample)
-    kind = docs.schema[key].dataType.simpleString()
-
-    def each(batches):
-        for b in batches:
-            for at in range(0, len(b), 512):
-                few = b.iloc[at : at + 512]
-                sets = [shingles_of(t, words) for t in few["text"]]
-                yield pd.DataFrame({"key": few["key"].to_numpy(), "fp": [print_of(s) for s in sets], "n": [len(s) for s in sets], "sketch": [sketch_of(s) for s in sets], "shingles": [in_order(s, common, often) for s in sets]})
-
-    own = cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(each, f"key {kind}, fp long, n int, sketch array<long>, shingles array<long>"), "shingles")
-    roots = cut(link(own, similarity), "roots")
-    least = own.groupBy("fp").agg(F.min("key").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = cut(least, "classes")
-    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = least.join(ids, "root").select("fp", "component_id")
-    out = own.select("key", "fp").join(by_print, "fp").select(F.col("key").alias(key), "fp", "component_id")
-    return out
+    more = _verified(shared.where(possible).select("a", "b"), nodes, similarity, sets)
+    if not more.isEmpty():
+        drop(near)
+        near = components(edges.union(more))
+    drop(left, nodes, edges, more)
+    return near

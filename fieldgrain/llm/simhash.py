@@ -17,43 +17,23 @@ id is the smallest non-null id. Empty table: no rows. Repeated rows stay, each w
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations
+from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from . import shingle_links
 from .common import cut, drop, table
 from .components import components
+from .shingles import fingerprint_of
 
 
-def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of the text's word shingles, repeats included."""
-    import xxhash
-
-    found = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
-    if not found:
-        return 0
-    digest = xxhash.xxh64_digest
-    if len(found) <= words:
-        return int.from_bytes(digest(b" ".join(found), seed), "big", signed=True)
-    joined = b" ".join(found)
-    ends = list(accumulate((len(w) + 1 for w in found)))
-    starts = [0, *ends[: len(found) - words]]
-    raw = b"".join([digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[words - 1 :], strict=True)])
-    hashes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
-
-
-def fingerprint(text: Column) -> Column:
+def fingerprint(text: Column, words: int = 4) -> Column:
     @pandas_udf("long")
     def fingerprints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
+        return pd.Series([fingerprint_of(t, words) for t in texts], dtype="int64")
 
     return fingerprints(text)
 
@@ -93,31 +73,54 @@ def link(prints: DataFrame, distance: int = 4) -> DataFrame:
     linked = (F.col("fp") != F.col("least")) & (_apart("fp", "least") <= distance)
     rows = cut(c.join(w, (F.col("c.grid") == F.col("w.grid")) & (F.col("c.cell") == F.col("w.cell")) & ((F.col("n") > 2) | linked)).select("fp", "u", "c.grid", "c.cell", "n", "least"), "cells")
     first = components(rows.where(linked).select(F.col("fp").alias("a"), F.col("least").alias("b")))
-    first = cut(first, "first")
     owned = rows.where("n > 2").drop("least", "n").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     groups = owned.groupBy("grid", "cell", "component").agg(F.count("*").alias("n")).groupBy("grid", "cell").agg(F.count("*").alias("groups"), F.max_by("component", "n").alias("main")).where("groups > 1")
     mixed = cut(owned.join(groups.drop("groups"), ["grid", "cell"]), "mixed")
     x = mixed.where("component <> main").select("grid", "cell", F.col("fp").alias("xf"), F.col("u").alias("xu"), F.col("component").alias("a"))
     y = mixed.select("grid", "cell", F.col("fp").alias("yf"), F.col("u").alias("yu"), F.col("component").alias("b"), (F.col("component") == F.col("main")).alias("of_main"))
     pairs = x.join(y, (x.grid == y.grid) & (x.cell == y.cell) & (x.a != y.b) & (y.of_main | (x.xf < y.yf)) & (_apart("xu", "yu") <= distance) & (_apart("xf", "yf") <= distance))
-    second = cut(components(pairs.select("a", "b")), "second")
-    for t in (rows, mixed):
-        drop(t)
+    second = components(pairs.select("a", "b"))
+    drop(rows, mixed)
     # Every fingerprint of either round, with the root of its root.
     alone = second.select(F.col("node").alias("fp"), F.col("node").alias("root")).join(first.select(F.col("node").alias("fp")), "fp", "left_anti")
-    return first.select(F.col("node").alias("fp"), F.col("component").alias("root")).union(alone).join(second.withColumnRenamed("node", "root"), "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4) -> DataFrame:
-    """A row per document: key, fp (signed), fingerprint (16 hex digits), component_id (the least key reachable)."""
-    own = cut(docs.select(F.col(key).alias("key"), fingerprint(F.col(text)).alias("fp")), "prints")
+    out = cut(first.select(F.col("node").alias("fp"), F.col("component").alias("root")).union(alone).join(second.withColumnRenamed("node", "root"), "root", "left").select("fp", F.coalesce("component", "root").alias("root")), "roots")
+    drop(first, second)
+    return out
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, similarity: float | None = None, **how) -> DataFrame:
+    """A row per document: key, fp (signed), fingerprint (16 hex digits), component_id (the least key reachable), kept (it stands for its
+    class: it has that key and, of texts under it, the least fingerprint; repeated rows alike).
+
+    With a similarity also documents link whose sets of shingles are that similar (shingle_links), however far apart their
+    fingerprints are; one document stands there for all that the fingerprints have linked.
+    """
+    if similarity is None:
+        own = cut(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), words).alias("fp")), "prints")
+    else:
+        own = cut(shingle_links.described(docs, key, text, words, similarity, **how), "prints")
     prints = cut(own.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     roots = link(prints, distance)
-    classes = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = cut(classes, "classes")
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = classes.join(ids, "root").select("fp", "component_id")
-    return own.join(by_print, "fp").select(F.col("key").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = cut(prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    drop(prints, roots)
+    if similarity is not None:
+        first = cut(_first(classes.where("least is not null")), "first")
+        wide = shingle_links.link(own, first.select("key", "fp"), docs, key, text, words, similarity)
+        joined = first.join(wide.withColumnRenamed("node", "fp"), "fp").select("root", "component")
+        wider = cut(classes.join(joined, "root", "left").select("fp", "least", F.coalesce("component", "root").alias("root")), "classes")
+        drop(classes, first, wide)
+        classes = wider
+    first = _first(classes).select("root", F.col("key").alias("component_id"), F.col("fp").alias("first"))
+    by_print = cut(classes.join(first, "root").select("fp", "component_id", (F.col("fp") == F.col("first")).alias("first")), "by-print")
+    drop(classes)
+    kept = F.coalesce(F.col("first") & (F.col("key") == F.col("component_id")), F.lit(False))
+    return own.select("key", "fp").join(by_print, "fp").select(F.col("key").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"))
+
+
+def _first(classes: DataFrame) -> DataFrame:
+    """(root, key, fp): of each class the least key, and of its fingerprints the least; a class without keys has none."""
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "fp")))
+    return classes.groupBy("root").agg(first.alias("first")).select("root", F.col("first.least").alias("key"), F.col("first.fp").alias("fp"))
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

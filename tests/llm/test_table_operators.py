@@ -123,9 +123,6 @@ def test_pipeline_stages(spark, tmp_path):
     """Each stage's output against a plain computation on its input."""
     import corpus_pipeline as p
     from fieldgrain.llm import common, decontaminate, secrets_scan
-    from .test_text_operators import check_components  # noqa: F401
-    from fieldgrain.llm import simhash
-
     docs, columns = common.table(spark, DATA, "documents"), ["doc_id", "text", "lang", "source", "n_chars"]
     odd = spark.createDataFrame([(99001, None, None, None, None), (99002, "", "en", "s", 0)], docs.schema)
     docs = docs.union(odd).union(docs.limit(2))
@@ -136,8 +133,8 @@ def test_pipeline_stages(spark, tmp_path):
         assert name == p.STAGES[-1][0] or docs.columns == columns
     judged, single, pure, clean, packed = outs
     assert 0 < judged.count() <= 204
-    roots = {r.doc_id: r.component_id for r in simhash.near_duplicates(judged).collect()}
-    assert sorted(r.doc_id for r in single.select("doc_id").collect()) == sorted({i for i, c in roots.items() if i == c})
+    texts = {r.doc_id: r.text for r in judged.collect()}  # repeated rows are equal here
+    assert sorted(r.doc_id for r in single.select("doc_id").collect()) == stay(texts)
     items = [" ".join(decontaminate.words_of(r.text)) for r in common.table(spark, DATA, "benchmark").collect()]
     inside = lambda t: any(f" {i} " in f" {' '.join(decontaminate.words_of(t))} " for i in items)
     before, after = {r.doc_id: r.text for r in single.collect()}, {r.doc_id: r.text for r in pure.collect()}
@@ -149,6 +146,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert again.columns == packed.columns and again.count() > 0
 
 
+def stay(texts):
+    """Ids that the second stage keeps: the least of each component of all pairs with equal or similar sets of five-word shingles (0.8)."""
+    ids = sorted(texts)
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (texts[i] or "").lower().split()) else frozenset() for i in ids]
+    roots = brute([(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) >= 0.8 * len(a | b)])
+    return [i for n, i in enumerate(ids) if roots.get(n, n) == n]
+
+
+def test_dedup_step_and_repeated_ids(spark):
+    """Rows of one id: copies go, texts unlike each other stay, each in its own group; rows without an id stay."""
+    import corpus_pipeline as p
+    from .conftest import frame, prose
+
+    rng = np.random.default_rng(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, c), (4, c + " x"), (4, a), (5, a), (None, a), (None, a), (6, None), (7, ""), (7, " ")]
+    kept = p.dedup_step(spark, frame(spark, rows), DATA).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (1, b), (3, c), (0, a), (0, a), (6, "")])
+    assert p.dedup_step(spark, frame(spark, rows).where("false"), DATA).count() == 0
+
+
 def test_dedup_step_by_brute_force(spark):
     """Chains of edited copies, crowded cells, a common line, short and empty texts: components of all pairs of similarity 0.8."""
     import corpus_pipeline as p
@@ -164,10 +182,7 @@ def test_dedup_step_by_brute_force(spark):
                 words[at] = f"w{rng.integers(99)}"
             texts.append(" ".join(words) + f" {line}" * (k % 2))
     texts += [f"{prose(rng, 30)} {line}" for _ in range(30)]
-    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
-    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
-    roots = brute([(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
-    want = [i for i in range(len(sets)) if roots.get(i, i) == i]
+    want = stay(dict(enumerate(texts)))
     kept = p.dedup_step(spark, frame(spark, list(enumerate(texts))), DATA)
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == want and len(want) < len(texts) - 30
 
