@@ -4,9 +4,10 @@ Fingerprints of documents with a similarity of 0.8 are some ten bits apart, too
 fingerprints leave apart meets by prefix filtering: shingles are put in one order for all documents, the ones that a
 bounded sample holds often last. Two sets of the wanted similarity share a shingle among the first
 n - ceil(similarity x n) + 1 of either, so an equi-join of these prefixes meets every pair that links, whatever the order;
-the sample only keeps common shingles out of prefixes. A pair that is tried passes a bound first: parities of the
-shingles in SKETCH classes differ in no more classes than the sets differ in shingles. It is decided on the whole sets,
-read again from the texts, so links are neither missed nor made up (64-bit hashes stand for shingles).
+the sample only keeps common shingles out of prefixes. A pair that is tried passes a bound first: shingles are dealt to
+as many classes as the set has shingles (the next power of two), and the parities of their counts differ in no more
+classes than the sets differ in shingles. What passes is decided on the whole sets, read again from the texts, so links
+are neither missed nor made up (64-bit hashes stand for shingles).
 
 A cell is a shingle with the documents whose prefix holds it. Cells of shingles that the sample holds often may be of any
 size: their counts and centres are aggregated before their shuffle, and are few enough to be broadcast (bound: `most`).
@@ -27,10 +28,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, may_hold, some_ids
+from .common import cut, drop, may_hold, some_ids, without
 from .components import components
 from .shingles import digests, print_of
 
+#: Classes of a sketch at least.
 SKETCH = 256
 
 
@@ -49,7 +51,16 @@ def in_order(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> tup
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount(shingles & (SKETCH - 1), minlength=SKETCH) & 1).astype(bool)).view(np.int64)
+    """Parities of the classes, 64 a number. Half as many classes are the two halves' difference."""
+    classes = max(SKETCH, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else SKETCH
+    return np.packbits((np.bincount(shingles & (classes - 1), minlength=classes) & 1).astype(bool)).view(np.int64)
+
+
+def apart(a: Column, b: Column) -> Column:
+    """In how many classes two sketches differ; of sizes neither equal nor double 0."""
+    half = lambda k: F.zip_with(F.slice(k, 1, F.size(k) / 2), F.slice(k, F.size(k) / 2 + 1, F.size(k) / 2), lambda x, y: x.bitwiseXOR(y))
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda n, v: n + v)
+    return F.when(F.size(a) == F.size(b), differ(a, b)).when(F.size(a) == 2 * F.size(b), differ(half(a), b)).when(2 * F.size(a) == F.size(b), differ(a, half(b))).otherwise(0)
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -71,7 +82,7 @@ def common_shingles(docs: DataFrame, key: str, text: str, words: int, sample: in
 
 
 def described(docs: DataFrame, key: str, text: str, words: int, similarity: float, sample: int = 10_000, most: int = 100_000) -> DataFrame:
-    """(key, fp, n, sketch, prefix, rare): a row per document, from one pass over the texts. sample: documents that order the shingles."""
+    """(row, key, fp, n, sketch, prefix, rare): a row per document, from one pass over the texts. sample: documents that order the shingles."""
     common, often = common_shingles(docs, key, text, words, sample, most)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -87,7 +98,7 @@ def described(docs: DataFrame, key: str, text: str, words: int, similarity: floa
                     rows.append((print_of(hashes), len(found), sketch_of(found), order[:size], min(rare, size)))
                 yield pd.DataFrame(rows, columns=["fp", "n", "sketch", "prefix", "rare"]).assign(key=few["key"].to_numpy())
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(each, f"fp long, n int, sketch array<long>, prefix array<long>, rare int, key {kind}")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(each, f"fp long, n int, sketch array<long>, prefix array<long>, rare int, key {kind}").withColumn("row", F.monotonically_increasing_id())
 
 
 def _long_enough(a: Column, b: Column, similarity: float) -> Column:
@@ -95,19 +106,18 @@ def _long_enough(a: Column, b: Column, similarity: float) -> Column:
 
 
 def _sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(fp, shingles) of the prints in `need`, from the texts of the documents that stand for them."""
+    """(fp, shingles) of the prints in `need`, from the texts of the documents that stand for them; repeated rows may repeat."""
     wanted = cut(need.join(nodes.select("fp", "key"), "fp"), "need")
     some = may_hold(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), wanted, "key")
-    kind = docs.schema[key].dataType.simpleString()
 
     def each(batches):
         for b in batches:
-            for k, t in zip(b["key"], b["text"], strict=True):
+            for f, t in zip(b["fp"], b["text"], strict=True):
                 hashes = digests(t, words)
-                yield pd.DataFrame({"key": [k], "fp": [print_of(hashes)], "shingles": [shingles_of(hashes)]})
+                if print_of(hashes) == f:  # not another text under the same id
+                    yield pd.DataFrame({"fp": [f], "shingles": [shingles_of(hashes)]})
 
-    found = some.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "text").mapInPandas(each, f"key {kind}, fp long, shingles array<long>")
-    out = cut(found.join(wanted, ["key", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "shingles"), "sets")
+    out = cut(some.join(wanted, "key").select("fp", "text").mapInPandas(each, "fp long, shingles array<long>"), "sets")
     drop(wanted)
     return out
 
@@ -115,8 +125,7 @@ def _sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: st
 def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float, sets) -> DataFrame:
     """Of the pairs (a, b) of prints, those whose sets are that similar. sets: looks up those of given prints."""
     side = lambda x: nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
-    apart = sum(F.bit_count(F.col("ka")[i].bitwiseXOR(F.col("kb")[i])) for i in range(SKETCH // 64))
-    may = apart * (1 + similarity) <= (F.col("na") + F.col("nb")) * F.lit(1 - similarity) + 1e-6
+    may = apart(F.col("ka"), F.col("kb")) * (1 + similarity) <= (F.col("na") + F.col("nb")) * F.lit(1 - similarity) + 1e-6
     pairs = cut(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"), "tried")
     found = sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     both = pairs.join(found.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(found.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -126,10 +135,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float, sets) -> Da
     return out
 
 
-def _members(nodes: DataFrame) -> DataFrame:
+def _members(own: DataFrame) -> DataFrame:
     """(cell, fp, n, at, members, tried): of cells with more than one member, each with two members to be tried against."""
     # A document's row becomes one row a shingle: place and size travel as one number.
-    cells = nodes.select("fp", F.col("n").cast("long").alias("n"), "rare", F.posexplode("prefix").alias("at", "cell"))
+    cells = own.select("fp", F.col("n").cast("long").alias("n"), "rare", F.posexplode("prefix").alias("at", "cell"))
     cells = cells.select("cell", "fp", F.shiftleft("n", 32).bitwiseOR(F.col("at")).alias("place"), (F.col("at") < F.col("rare")).alias("few"))
     one = F.struct("fp", "place")
     order = F.xxhash64("fp", "cell")
@@ -145,11 +154,12 @@ def _members(nodes: DataFrame) -> DataFrame:
     return rows.select("cell", "fp", size(F.col("place")).alias("n"), at(F.col("place")).alias("at"), "members", tried.alias("tried"))
 
 
-def link(own: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """From what described() makes, the prints in first (key, fp) that have a link among each other: (node, component)."""
-    nodes = cut(own.join(first, ["key", "fp"], "left_semi").dropDuplicates(["fp"]), "nodes")
+def link(own: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """Links among the given rows of what described() makes, whose prints are distinct: (node, component), the prints that have one."""
+    others = cut(own.select("row").join(rows, "row", "left_anti"), "others")
+    nodes = cut(without(own.drop("prefix"), others, "row"), "nodes")
     sets = lambda need: _sets(need, nodes, docs, key, text, words)
-    rows = cut(_members(nodes), "cells")
+    rows = cut(_members(without(own, others, "row")), "cells")
     # What sets of that similarity share at least; it can't come after the first shared shingle if that one is further back.
     # In cells of up to three members all pairs are tried so; those of larger cells that it leaves out are made below.
     least = (F.col("n") + F.col("t.n")) * F.lit(similarity / (1 + similarity)) - 1e-6
@@ -172,5 +182,5 @@ def link(own: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str,
     if not more.isEmpty():
         drop(near)
         near = components(edges.union(more))
-    drop(left, nodes, edges, more)
+    drop(left, nodes, others, edges, more)
     return near

@@ -105,7 +105,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     drop(prints, roots)
     if similarity is not None:
         first = cut(_first(classes.where("least is not null")), "first")
-        wide = shingle_links.link(own, first.select("key", "fp"), docs, key, text, words, similarity)
+        rows = own.join(first.select("key", "fp"), ["key", "fp"], "left_semi").groupBy("key", "fp").agg(F.min("row").alias("row")).select("row")
+        wide = shingle_links.link(own, rows, docs, key, text, words, similarity)
         joined = first.join(wide.withColumnRenamed("node", "fp"), "fp").select("root", "component")
         wider = cut(classes.join(joined, "root", "left").select("fp", "least", F.coalesce("component", "root").alias("root")), "classes")
         drop(classes, first, wide)
