@@ -6,9 +6,10 @@ connected components hold equivalent URLs. An unruled URL is blocked if its comp
 fits and none that an allow rule fits: an explicit allow takes precedence, and a URL's own rule over both.
 
 Nodes are URLs by host, path and query; scheme and fragment make no difference. null URL or no "://": host and path are
-empty, no rule fits, allowed, and its links are not followed. null html: no links. Of several links of a page the first
-canonical one and the first refresh count. Repeated pages are one node, and each row gets its verdict. Empty table: no
-rows. Further columns stay out of the result.
+empty, no rule fits, allowed, and its links are not followed. null html: no links. All canonical links and refreshes of a
+page count; those without an address name nothing. Repeated pages are one node, and each row gets its verdict. Ties
+between rules of equal length: the first. Texts of any length are read whole. Empty table: no rows. Columns named host,
+path, rule or verdict are replaced, further ones stay.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table
 from .components import components
 
 #: Fixed values of the contract: (verdict, host, path).
@@ -68,11 +69,11 @@ def target_of(url: Column, href: Column) -> Column:
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): nodes that redirect or canonical-link one to the other."""
     some = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).where(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.contains("url", F.lit("://")))
-    tag = lambda pattern: F.regexp_extract("html", pattern, 0)
+    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
     attribute = lambda t, name: F.trim(F.regexp_extract(t, rf"""(?is)\b{name}\s*=\s*["']?\s*([^"'>\s]+)""", 1))
-    canonical = attribute(tag(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), "href")
-    refresh = F.regexp_extract(tag(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s]+)""", 1)
-    found = some.select("url", F.explode(F.array(canonical, refresh)).alias("href"))
+    canonical = F.transform(tags(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), lambda t: attribute(t, "href"))
+    refresh = F.transform(tags(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), lambda t: attribute(t, "url"))
+    found = some.select("url", F.explode(F.concat(canonical, refresh)).alias("href"))
     clean = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))
     return found.select(node_of(F.col("url")).alias("a"), node_of(target_of(F.col("url"), clean)).alias("b")).where("a <> b")
 
@@ -82,7 +83,7 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, url: str = "url", ht
     edges = links(pages, url, html) if edges is None else edges
     parted = pages.withColumns({"host": F.coalesce(host_of(F.col(url)), F.lit("")), "path": F.coalesce(path_of(F.col(url)), F.lit(""))})
     parted = parted.withColumn("__fg_rule", rule_of(F.col("host"), F.col("path"), rules))
-    members = cut(components(edges), "aliases")
+    members = components(edges)
     if members.isEmpty():
         return parted.withColumns({"rule": F.col("__fg_rule.rule"), "verdict": F.coalesce("__fg_rule.verdict", F.lit("allow"))}).drop("__fg_rule")
     as_url = F.concat(F.lit("x://"), F.col("node"))
@@ -115,7 +116,7 @@ def oracle(rules=RULES) -> str:
 WITH RECURSIVE parted AS (SELECT page_id, url, html, coalesce({host('url')}, '') AS host, coalesce({_PATH.format(u='url')}, '') AS path, {node('url')} AS node FROM pages),
 ruled AS (SELECT *, CASE {fits} END AS hit FROM parted),
 hrefs AS (
-  SELECT url, node, replace(unnest([regexp_extract(regexp_extract(html, '{link}', 0), '{attr.format('href')}', 1), regexp_extract(regexp_extract(html, '{meta}', 0), '{attr.format('url')}', 1)]), '&amp;', '&') AS href FROM parted WHERE node IS NOT NULL),
+  SELECT url, node, replace(unnest(list_concat([regexp_extract(t, '{attr.format('href')}', 1) FOR t IN regexp_extract_all(html, '{link}', 0)], [regexp_extract(t, '{attr.format('url')}', 1) FOR t IN regexp_extract_all(html, '{meta}', 0)])), '&amp;', '&') AS href FROM parted WHERE node IS NOT NULL AND html IS NOT NULL),
 targets AS (SELECT node, CASE WHEN href = '' THEN NULL WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN {scheme} || ':' || href
   WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:|^#') THEN NULL WHEN starts_with(href, '/') THEN {scheme} || '://' || {host('url')} || href
   WHEN starts_with(href, '?') THEN {scheme} || '://' || {host('url')} || {_PATH.format(u='url')} || href
