@@ -6,26 +6,31 @@ and a farthest-first net become the cells' centres (documented bound: `most_cell
 Points within reach / 2 of their centre are the cell's core: any two of them link, so a crowd of near copies is counted
 and connected by arithmetic, without a pair being made. The rest is the cell's shell.
 
-A point visits a later cell only if covering radius and bisector of the two centres allow a link there. Cells and their
-visitors are dealt out in blocks of bounded size; a task builds a cover tree of each of its two blocks - nested levels
+A point visits a later cell only if covering radius and bisector of the two centres allow a link there. Visits are counted
+first; then cells and their visitors are dealt out in blocks of bounded size, a cell's residents once for each block of
+its visitors and not at all where nobody comes. A task builds a cover tree of each of its two blocks - nested levels
 of halving radii - and traverses both at once: node pairs that are further apart than their covering radii and reach are
 dropped, node pairs that are closer altogether are counted whole, all others are opened, down to points, whose cosine is
-taken in double precision. Tasks give partial counts and one edge a linked point; pairs are never written. On data with
-few dimensions' worth of structure the bounds leave near-linear work; on structureless high-dimensional data any exact
-method of this kind has to compare most blocks, and so has this one (n^2 / block rows are then dealt out).
+taken in double precision. Tasks give partial counts and one edge a linked point; pairs are never written. Cells grow
+in number with the points up to `most_cells` x `block` points: so far the rows dealt out grow in proportion where the
+data are clustered; beyond, each cell has several blocks and they grow faster. On structureless high-dimensional data any
+exact method of this kind has to compare most blocks, and so has this one (n^2 / block rows are then dealt out).
 
 Vectors that are null, zero, or hold a null or non-finite component, and rows with a null id, link with nothing. A
-shorter vector counts as padded with zeros. Repeated rows are vectors of their own. Empty table: no rows.
+shorter vector counts as padded with zeros. Repeated rows are vectors of their own. Ties: a cosine of exactly the threshold
+links; equally near centres, the first. Further columns stay out of the result. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, some_ids, table
+from .common import cut, drop, some_ids, table
 from .components import components
 
 EPS = 1e-9
@@ -185,17 +190,26 @@ class Links:
                             stack.append((left[m], right[n]))
 
 
-def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, block: int = 6000, sample: int = 4000, most_cells: int = 256) -> DataFrame:
-    """A row per vector: key, n_links, component_id, kept. sample, most_cells: bounds of what the driver holds."""
-    kind = df.schema[key].dataType.simpleString()
-    own = cut(packed(df, key, vector), "vectors")
-    points = cut(own.where("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "points")
+@dataclass
+class Dealt:
+    """Vectors on their way to the tasks that compare them. rows: (to, salt, chunk, role, rep, n, core, vec)."""
+
+    own: DataFrame
+    homed: DataFrame
+    rows: DataFrame
+    stats: pd.DataFrame
+    width: int
+
+
+def deal_out(own: DataFrame, points: DataFrame, threshold: float, block: int, sample: int, most_cells: int) -> Dealt | None:
+    """Cells, who visits whom, and blocks of residents beside blocks of visitors. None without vectors that can link."""
+    kind = own.schema["id"].dataType.simpleString()
     total, width = points.agg(F.count("*"), F.coalesce(F.max(F.length("vec")), F.lit(0))).first()
     if not total:
-        return own.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return None
     reach = (2 - 2 * threshold) ** 0.5
     seen = some_ids(points.select("rep", "vec"), sample, "rep").toPandas()
-    centres = pick_centres(units(seen["vec"], width), min(most_cells, -(-total // block)), reach / 2)
+    centres = pick_centres(units(seen["vec"], width), min(most_cells, -(-total // 16)), reach / 2)
     between = chords(centres, centres)
 
     def home(batches):
@@ -208,47 +222,89 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     homed = cut(points.mapInPandas(home, f"vec binary, rep {kind}, n long, cell int, core boolean, far double"), "homed")
     stats = homed.groupBy("cell", "core").agg(F.count("*").alias("points"), F.sum("n").alias("weight"), F.max("far").alias("radius"), F.min("rep").alias("first")).toPandas()
-    # Groups in order: shells, then cores; a point visits later groups only.
     stats = stats.sort_values(["core", "cell"]).reset_index(drop=True)
-    number = {(int(r.cell), bool(r.core)): i for i, r in stats.iterrows()}
-    cells, radius, salts = stats["cell"].to_numpy(), stats["radius"].to_numpy(), np.maximum(1, -(-stats["points"].to_numpy() // block))
-    chunks = max(1, -(-total // block))
+    shells, cores = stats[~stats["core"]].set_index("cell"), stats[stats["core"]].set_index("cell")
+    # Groups: shells of neighbouring cells together, up to a block; then each core. A point visits later groups only.
+    lead = between[:, : max(1, int(len(centres) ** 0.5))].argmin(axis=1)
+    near = [int(c) for c in np.lexsort((np.arange(len(centres)), lead)) if c in shells.index]
+    firsts, points, of_shell = [], [], np.full(len(centres), -1)
+    for i, c in enumerate(near):
+        size = int(shells["points"][c])
+        if not points or points[-1] + size > block:
+            firsts.append(i)
+            points.append(0)
+        points[-1] += size
+        of_shell[c] = len(points) - 1
+    n_shells, core_cells = len(points), cores.index.to_numpy()
+    of_core = np.full(len(centres), -1)
+    of_core[core_cells] = n_shells + np.arange(len(core_cells))
+    points = np.array([*points, *cores["points"]], np.int64)
+    inner, salts = np.arange(len(points)) < n_shells, np.maximum(1, -(-points // block))
+    shell_radius, core_radius = shells["radius"].reindex(near).to_numpy(), cores["radius"].to_numpy()
+
+    def visits(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' groups, and (rows, groups) whether a row has to visit a group."""
+        far, d_home, at = chords(units(b["vec"], width), centres), b["far"].to_numpy()[:, None], b["cell"].to_numpy()
+        group, span = np.where(b["core"], of_core[at], of_shell[at]), between[at]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beyond = np.where(span > 0, (far**2 - d_home**2) / (2 * span), 0) <= reach + EPS
+        meets = lambda cells, radius: (far[:, cells] <= radius + reach + EPS) & beyond[:, cells]
+        shell = np.logical_or.reduceat(meets(near, shell_radius), firsts, axis=1) if near else np.zeros((len(b), 0), bool)
+        return group, np.concatenate([shell, meets(core_cells, core_radius)], axis=1) & (group[:, None] < np.arange(len(points)))
+
+    def slices(batches):
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                yield b.iloc[at : at + 1024]
+
+    def count(batches):
+        n = np.zeros(len(points), np.int64)
+        for b in slices(batches):
+            n += visits(b)[1].sum(axis=0)
+        yield pd.DataFrame({"g": np.flatnonzero(n).astype("int32"), "n": n[n > 0]})
+
+    visitors = np.zeros(len(points), np.int64)
+    for r in homed.mapInPandas(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():  # at most 2 x most_cells rows
+        visitors[r.g] = r.n
+    # Visitors of a group are dealt to so many blocks, and its residents go to each of these: none to a core that nobody visits.
+    among = visitors + np.where(inner & (salts > 1), points, 0)
+    chunks = np.where((among > 0) | inner, np.maximum(1, -(-among // block)), 0)
 
     def deal(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            x = units(b["vec"], width)
-            far = chords(x, centres)
-            group = np.array([number[c, k] for c, k in zip(b["cell"], b["core"], strict=True)])
+        for b in slices(batches):
+            group, to = visits(b)
             mixed = pd.util.hash_array(b["rep"].to_numpy())
-            salt, chunk = (mixed % salts[group].astype(np.uint64)).astype(int), ((mixed >> np.uint64(20)) % np.uint64(chunks)).astype(int)
-            to, row, part, role, piece = [], [], [], [], []
-
-            def send(rows, g, s, r, c, to=to, row=row, part=part, role=role, piece=piece):
-                row.append(rows)
-                for out, v in ((to, g), (part, s), (role, r), (piece, c)):
-                    out.append(np.broadcast_to(np.asarray(v), len(rows)))
-
-            every = np.arange(len(b))
-            for c in range(chunks):
-                send(every, group, salt, 0, c)
-            inner = ~b["core"].to_numpy()
-            for g in range(len(cells)):
-                other = cells[g]
-                d_home, d_other, span = b["far"].to_numpy(), far[:, other], between[b["cell"].to_numpy(), other]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    bisector = np.where(span > 0, (d_other**2 - d_home**2) / (2 * span), 0)
-                may = (group < g) & (d_other <= radius[g] + reach + EPS) & (bisector <= reach + EPS)
-                rows = np.flatnonzero(may)
+            salt, spread = (mixed % salts[group].astype(np.uint64)).astype("int32"), mixed >> np.uint64(20)
+
+            def rows(at, g, s, c, role, b=b):
+                out = b.iloc[at][["rep", "n", "core", "vec"]]
+                return out.assign(**{k: np.broadcast_to(v, len(at)).astype("int32") for k, v in (("to", g), ("salt", s), ("chunk", c), ("role", role))})
+
+            for c in range(int(chunks[group].max())):
+                at = np.flatnonzero(chunks[group] > c)
+                yield rows(at, group[at], salt[at], c, 0)
+            for g in np.flatnonzero(among):
+                at, piece = np.flatnonzero(to[:, g]), (spread % np.uint64(max(1, chunks[g]))).astype("int32")
                 for s in range(salts[g]):
-                    if len(rows):
-                        send(rows, g, s, 1, chunk[rows])
-                    same = np.flatnonzero((group == g) & inner & (salt < s))
+                    if len(at):
+                        yield rows(at, g, s, piece[at], 1)
+                    same = np.flatnonzero((group == g) & inner[group] & (salt < s))
                     if len(same):
-                        send(same, g, s, 1, chunk[same])
-            row = np.concatenate(row)
-            yield pd.DataFrame({"to": np.concatenate(to), "salt": np.concatenate(part), "chunk": np.concatenate(piece), "role": np.concatenate(role), "rep": b["rep"].to_numpy()[row], "n": b["n"].to_numpy()[row], "core": b["core"].to_numpy()[row], "vec": b["vec"].to_numpy()[row]})
+                        yield rows(same, g, s, piece[same], 1)
+
+    dealt = homed.mapInPandas(deal, f"to int, salt int, chunk int, role int, rep {kind}, n long, core boolean, vec binary")
+    return Dealt(own, homed, dealt, stats, width)
+
+
+def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, block: int = 6000, sample: int = 6000, most_cells: int = 1024) -> DataFrame:
+    """A row per vector: key, n_links, component_id, kept. sample, most_cells: bounds of what the driver holds."""
+    kind = df.schema[key].dataType.simpleString()
+    own = cut(packed(df, key, vector), "vectors")
+    points = cut(own.where("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "points")
+    dealt = deal_out(own, points, threshold, block, sample, most_cells)
+    if dealt is None:
+        return own.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    homed, stats, width = dealt.homed, dealt.stats, dealt.width
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["role", "rep"], kind="stable")
@@ -265,15 +321,16 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         reps = frame["rep"].to_numpy()
         return pd.DataFrame({"rep": reps[at], "n": links.n[at], "root": reps[[links.root(i) for i in at]]})
 
-    dealt = homed.mapInPandas(deal, f"to int, salt int, chunk int, role int, rep {kind}, n long, core boolean, vec binary")
-    part = cut(dealt.groupBy("to", "salt", "chunk").applyInPandas(compare, f"rep {kind}, n long, root {kind}"), "links")
+    part = cut(dealt.rows.groupBy("to", "salt", "chunk").applyInPandas(compare, f"rep {kind}, n long, root {kind}"), "links")
+    drop(points)
     counted = part.groupBy("rep").agg(F.sum("n").alias("met"))
     cores = df.sparkSession.createDataFrame([(int(c), int(w), f.item() if hasattr(f, "item") else f) for c, w, f in stats.loc[stats["core"], ["cell", "weight", "first"]].itertuples(index=False)], f"cell int, weight long, first {kind}")
     crowd = homed.where("core").join(F.broadcast(cores), "cell")  # at most most_cells rows
     linked = components(part.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(crowd.select("rep", "first")))
     found = homed.select("vec", "rep", "n", "cell", "core").join(F.broadcast(cores.select("cell", "weight")), "cell", "left").join(counted, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("vec", (F.col("n") - 1 + F.coalesce("met", F.lit(0)) + F.when(F.col("core"), F.col("weight") - F.col("n")).otherwise(0)).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = own.join(found, "vec", "left")
+    out = cut(own.join(found, "vec", "left").select("id", "n_links", "component_id"), "found")
+    drop(own, homed, part, linked)
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
