@@ -246,12 +246,13 @@ class LeakIndex:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = 0.8, recall: float = 0.97, block_words: int = 200_000) -> DataFrame:
-    """A row per document and item that leaks into it: key, item key, distance, similarity, first_word, end_word (words counted without bare punctuation)."""
+    """A row per document and item that leaks into it: key, item key (with "item_" before it if both have one name), distance, similarity, first_word, end_word (words counted without bare punctuation)."""
     chosen = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     total = chosen.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 0
     blocks = -(-total // block_words) or 1
+    shown = item_key if item_key != key else f"item_{key}"
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item_key}` {item_kind}, distance int, similarity double, first_word long, end_word long"
+    schema = f"`{key}` {kind}, `{shown}` {item_kind}, distance int, similarity double, first_word long, end_word long"
     out = None
     for n in range(blocks):
         part = chosen.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == n).toPandas() if blocks > 1 else chosen.toPandas()
@@ -267,7 +268,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     few = frame.iloc[at : at + 256]
                     rows = [(few["key"].iloc[d], index.ids[i], c, 1 - c / len(index.items[i]), b, e) for d, i, c, b, e in index.scan([t.lower().split() if t else [] for t in few["text"]], vocabulary)]
                     if rows:
-                        yield pd.DataFrame(rows, columns=[key, item_key, "distance", "similarity", "first_word", "end_word"])
+                        yield pd.DataFrame(rows, columns=[key, shown, "distance", "similarity", "first_word", "end_word"])
 
         found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(scan, schema)
         out = found if out is None else out.union(found)
