@@ -119,13 +119,13 @@ def closing(a, shape):
     return erode(dilate(a, shape), shape)
 
 
-def even_out(plane: np.ndarray, radius: int) -> np.ndarray:
+def even_out(plane: np.ndarray, radius: int, dtype=np.float32) -> np.ndarray:
     """White top-hat with a disk, rescaled to [0, 1]; radius 0: unchanged, flat: zeros."""
     if radius <= 0:
         return plane
     top = plane - opening(plane.astype(np.float64), disk(radius))
     lo, hi = top.min(), top.max()
-    return ((top - lo) / (hi - lo)).astype(np.float32) if hi > lo else np.zeros_like(plane, dtype=np.float32)
+    return ((top - lo) / (hi - lo)).astype(dtype) if hi > lo else np.zeros_like(plane, dtype=dtype)
 
 
 # ---- thresholds
@@ -287,19 +287,22 @@ SQUARE = np.ones((3, 3), bool)
 
 
 def reconstruct(seed: np.ndarray, under: np.ndarray) -> np.ndarray:
-    """Grayscale reconstruction by dilation with a 3 x 3 square."""
-    now = np.minimum(seed, under)
-    while True:
-        wide = now.copy()  # the square's maximum is that of rows, then of columns
-        wide[1:] = np.maximum(wide[1:], now[:-1])
-        wide[:-1] = np.maximum(wide[:-1], now[1:])
-        new = wide.copy()
-        new[:, 1:] = np.maximum(new[:, 1:], wide[:, :-1])
-        new[:, :-1] = np.maximum(new[:, :-1], wide[:, 1:])
-        np.minimum(new, under, out=new)
-        if (new == now).all():
-            return now
-        now = new
+    """Grayscale reconstruction by dilation with a 3 x 3 square: pixels that rose last lift their neighbours next."""
+    h, w = seed.shape
+    now, roof = (np.pad(a.astype(np.float64), 1, constant_values=-np.inf).ravel() for a in (np.minimum(seed, under), under))
+    steps = np.array([dy * (w + 2) + dx for dy, dx in product((-1, 0, 1), repeat=2) if dy or dx])
+    marked, rose = np.zeros(len(now), bool), np.flatnonzero(now > -np.inf)
+    while len(rose):
+        before = now[rose]
+        for s in steps:  # a value that was lifted by one step may be lifted further by the next
+            to = rose + s
+            lifted = np.minimum(before, roof[to])
+            better = lifted > now[to]
+            now[to[better]] = lifted[better]
+            marked[to[better]] = True
+        rose = np.flatnonzero(marked)
+        marked[rose] = False
+    return now.reshape(h + 2, w + 2)[1:-1, 1:-1]
 
 
 def prominent_maxima(plane: np.ndarray, depth: float) -> np.ndarray:
@@ -354,19 +357,21 @@ def refine(labels: np.ndarray, plane: np.ndarray, band: int = 2) -> np.ndarray:
 def watershed(level: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Flood from the markers in the order of (level, age), 4-connected, within the mask; a pixel is named when it is reached."""
     h, w = level.shape
-    out = np.where(mask, markers, 0).astype(np.int32)
-    ys, xs = np.nonzero(out)
-    heap = [(float(level[y, x]), n, int(y), int(x)) for n, (y, x) in enumerate(zip(ys, xs, strict=True))]
+    wide = w + 2
+    open_ = np.pad(mask & (markers == 0), 1).ravel().tolist()  # not yet reached; a border that nothing crosses
+    out = np.pad(np.where(mask, markers, 0), 1).ravel().tolist()
+    height = np.pad(level.astype(np.float64), 1).ravel().tolist()
+    heap = [(height[i], n, i) for n, i in enumerate(np.flatnonzero(out).tolist())]
     heapq.heapify(heap)
-    age = len(heap)
+    age, pop, push = len(heap), heapq.heappop, heapq.heappush
     while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for j, i in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
-            if 0 <= j < h and 0 <= i < w and mask[j, i] and not out[j, i]:
-                out[j, i] = out[y, x]
-                heapq.heappush(heap, (float(level[j, i]), age, j, i))
+        _, _, i = pop(heap)
+        for j in (i - wide, i - 1, i + 1, i + wide):
+            if open_[j]:
+                open_[j], out[j] = False, out[i]
+                push(heap, (height[j], age, j))
                 age += 1
-    return out
+    return np.array(out, np.int32).reshape(h + 2, wide)[1:-1, 1:-1]
 
 
 def separate(mask: np.ndarray, seeding: str = "h_maxima", seed_depth: float = 1.0, peak_min_distance: float = 9, smoothing: float = 1.0) -> np.ndarray:

@@ -23,14 +23,34 @@ def exact_otsu(df: DataFrame, by: str, value: str) -> DataFrame:
     each = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(by).orderBy("v")
     upto, all_ = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by)
-    run = each.select(by, "v", F.lead("v").over(w).alias("next"), F.sum("n").over(upto).alias("below"), F.sum(F.col("n") * F.col("v")).over(upto).alias("s"), F.sum("n").over(all_).alias("total"), F.sum(F.col("n") * F.col("v")).over(all_).alias("all"))
+    run = each.select(by, "v", F.lead("v").over(w).alias("next"), F.sum("n").over(upto).alias("below"), F.sum(F.col("n") * F.col("v")).over(upto).alias("s"), F.sum("n").over(all_).alias("total"), F.sum(F.col("n") * F.col("v")).over(all_).alias("all"), (F.max("v").over(all_) - F.min("v").over(all_)).alias("span"))
     above = F.col("total") - F.col("below")
     gap = F.col("s") / F.col("below") - (F.col("all") - F.col("s")) / above
     variance = F.col("below") / F.col("total") * (above / F.col("total")) * gap * gap
-    best = run.where("next is not null and total >= 3").groupBy(by).agg(F.max_by((F.col("v") + F.col("next")) / 2, F.struct(F.round(variance, 9), -F.col("v"))).alias("threshold"))
+    # Splits that differ by rounding alone are equal: variances are compared in units of the squared range, whatever the scale.
+    best = run.where("next is not null and total >= 3").groupBy(by).agg(F.max_by((F.col("v") + F.col("next")) / 2, F.struct(F.round(variance / (F.col("span") * F.col("span")), 9), -F.col("v"))).alias("threshold"))
     return each.select(by).distinct().join(best, by, "left").fillna(INF, ["threshold"])
 
 
+#: Methods by name.
+METHODS = ("otsu", "manual", "mixture")
+
+
+def choose_thresholds(df: DataFrame, by: str, value: str, method: str = "otsu", manual: float | None = None) -> DataFrame:
+    """(by, threshold) of a method by its name; infinity where a group has nothing to call. manual needs a value, unknown names are errors."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
+    if method == "manual":
+        if manual is None:
+            raise ValueError("a manual threshold needs a value")
+        return df.select(by).distinct().withColumn("threshold", F.lit(float(manual)))
+    if method == "otsu":
+        return exact_otsu(df, by, value)
+    from .positivity import mixture_calls
+
+    return mixture_calls(df, by, value).select(F.col("g").alias(by), "threshold")
+
+
 def call(objects: DataFrame, thresholds: DataFrame, by: str, value: str = "marker_mean") -> DataFrame:
     """objects with marker_positive: at or above the group's threshold (broadcast only if the optimizer finds it small)."""
     return objects.join(thresholds.select(by, "threshold"), by, "left").withColumn("marker_positive", F.coalesce(F.col(value) >= F.col("threshold"), F.lit(False)))

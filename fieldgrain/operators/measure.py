@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -46,9 +46,8 @@ def summarize(images: DataFrame, objects: DataFrame, image: str = "image") -> Da
 def small_dropped(px: DataFrame, least: int) -> DataFrame:
     """px with labels of fewer pixels set to 0, the others numbered anew from 1 in their order."""
     kept = px.where("label > 0").groupBy("image", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    # A label's new number is one more than the kept labels below it.
-    ranks = kept.groupBy("image").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    return px.join(ranks, "image", "left").withColumn("label", F.coalesce(F.array_position("labels", F.col("label")), F.lit(0)).cast("int")).drop("labels")
+    ranks = kept.select("image", "label", F.row_number().over(Window.partitionBy("image").orderBy("label")).alias("rank"))
+    return px.join(ranks, ["image", "label"], "left").withColumn("label", F.coalesce("rank", F.lit(0)).cast("int")).select(px.columns)
 
 
 def batch_summary(images: DataFrame, objects: DataFrame, image: str = "image") -> DataFrame:

@@ -107,8 +107,13 @@ def mixture_calls(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def mixture_objects(df: DataFrame, by: str, value: str) -> DataFrame:
-    """df with threshold, positive (by the threshold) and posterior (of the brighter component)."""
-    calls = mixture_calls(df, by, value).withColumnRenamed("g", by)
+    """df with threshold, bimodal, positive (by the threshold) and posterior (of the brighter component)."""
+    return called_objects(df, by, value, mixture_calls(df, by, value))
+
+
+def called_objects(df: DataFrame, by: str, value: str, calls: DataFrame) -> DataFrame:
+    """df with threshold, bimodal, positive and posterior under fits of other objects; groups without a fit drop out."""
+    calls = calls.withColumnRenamed("g", by)
     v = F.col(value).cast("double")
     up, down = (F.log(F.col(f"w{k}")) + C.normal_logpdf(v, F.col(f"m{k}"), F.col(f"s{k}")) for k in (1, 0))
     return df.join(calls.select(by, "threshold", "bimodal", "w0", "w1", "m0", "m1", "s0", "s1"), by).withColumns({"positive": v >= F.col("threshold"), "posterior": F.when(F.col("bimodal"), 1 / (1 + F.exp(down - up))).otherwise(0.0)}).drop("w0", "w1", "m0", "m1", "s0", "s1")
@@ -126,14 +131,14 @@ def manual_call(df: DataFrame, by: str, value: str, threshold) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n_total"), F.count_if(F.col(value) >= t).alias("n_positive")).withColumn("percent_positive", C.ratio(100 * F.col("n_positive"), F.col("n_total")))
 
 
-def report(calls: DataFrame, method: str, source: str = "image", control: str | None = None) -> DataFrame:
-    """(g, report): fixed-order lines that suffice to reproduce each call."""
+def report(calls: DataFrame, method: str, source: str = "image", control: str | None = None, context: dict | None = None) -> DataFrame:
+    """(g, report): fixed-order lines that suffice to reproduce each call. context: further lines after the source, by name: columns of calls, or values."""
     line = lambda name, value: F.concat(F.rpad(F.lit(name), 24, " "), F.lit(": "), value)
     shown = lambda f, *c: F.format_string(f, *c)
     threshold = F.when(F.col("threshold") == INF, "inf").otherwise(shown("%.3f", "threshold"))
     # The report's lines, their names and formats.
     lines = [
-        F.lit("MARKER POSITIVITY — REPRODUCIBILITY REPORT"), F.lit("=" * 44), line(source, F.col("g").cast("string")), line("method", F.lit(method)), line("objects measured", F.col("n_total").cast("string")),
+        F.lit("MARKER POSITIVITY — REPRODUCIBILITY REPORT"), F.lit("=" * 44), line(source, F.col("g").cast("string")), *[line(k, F.coalesce((v if hasattr(v, "cast") else F.lit(v)).cast("string"), F.lit(""))) for k, v in (context or {}).items()], line("method", F.lit(method)), line("objects measured", F.col("n_total").cast("string")),
         line("marker-positive", F.col("n_positive").cast("string")), line("percent positive", shown("%.2f%%", "percent_positive")), line("threshold (0-255)", threshold), line("distinct populations", F.when(F.col("bimodal"), "yes").otherwise("no")),
         F.when(F.col("delta_bic").isNotNull(), line("bimodality ΔBIC", shown("%.2f", "delta_bic"))),
         F.when(F.col("m0").isNotNull(), line("negative component", shown("mean %.2f, sd %.2f, weight %.3f", "m0", "s0", "w0"))),

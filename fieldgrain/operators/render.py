@@ -7,14 +7,16 @@ import numpy as np
 from ..functions import kernels
 
 #: Colours of outlines, of positive and of negative objects.
-OUTLINE, POSITIVE, NEGATIVE = (0, 255, 120), (255, 176, 0), (110, 128, 148)
+OUTLINE, POSITIVE, NEGATIVE = (255, 235, 59), (242, 193, 78), (110, 128, 148)
 
 
 def display_rgb(image: np.ndarray) -> np.ndarray:
-    """Gray or colour to RGB bytes; alpha is dropped, each plane by its type's or its own range."""
-    unit = kernels.to_unit(image[..., :3] if image.ndim == 3 else image)
-    rgb = unit if unit.ndim == 3 else np.repeat(unit[:, :, None], 3, axis=2)
-    return np.round(rgb * 255).astype(np.uint8)
+    """Gray or colour to RGB bytes. Alpha is dropped; colour bytes stay as they are, other values above 1 are divided by the greatest."""
+    rgb = image[..., :3] if image.ndim == 3 and image.shape[2] >= 3 else np.repeat(image.reshape(*image.shape[:2], -1)[..., :1], 3, axis=2)
+    if rgb.dtype == np.uint8 and image.ndim == 3:
+        return rgb.copy()
+    peak = float(rgb.max(initial=0))
+    return (np.clip(rgb.astype(np.float32) / (peak if peak > 1 else 1), 0, 1) * 255).astype(np.uint8)
 
 
 def outlined(image: np.ndarray, labels: np.ndarray, colour=OUTLINE) -> np.ndarray:

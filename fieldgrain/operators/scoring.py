@@ -61,6 +61,11 @@ def object_counts(px: DataFrame) -> DataFrame:
     return px.groupBy("image").agg(F.count_distinct(F.when(F.col("pred") > 0, F.col("pred"))).alias("n_pred"), F.count_distinct(F.when(F.col("truth") > 0, F.col("truth"))).alias("n_true"))
 
 
+def count_errors(counts: DataFrame) -> DataFrame:
+    """counts with the signed error: too many objects are positive, too few negative."""
+    return counts.withColumn("count_error", F.col("n_pred") - F.col("n_true"))
+
+
 def split_merge(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """(image, split, merge): true objects claimed twice or more, predictions that claim two or more."""
     claims = pairs.where(F.col("n") >= CLAIM * F.col("truth_area"))
@@ -84,7 +89,7 @@ def dataset(scores: DataFrame, matches: DataFrame, errors: DataFrame, counts: Da
     one = tot.agg(at("f1", 50).alias("f1_50"), at("precision", 50).alias("precision_50"), at("recall", 50).alias("recall_50"), at("f1", 75).alias("f1_75"), F.avg("ap").alias("average_precision"), F.avg("f1").alias("mean_f1"))
     iou = matches.agg(F.avg("iou").alias("mean_matched_iou"))
     wrong = errors.agg(F.sum("split").alias("split_errors"), F.sum("merge").alias("merge_errors"))
-    n = counts.agg(F.count("*").alias("images"), F.sum("n_pred").alias("predicted"), F.sum("n_true").alias("true_objects"), F.avg(F.when(F.col("n_true") > 0, F.abs(F.col("n_pred") - F.col("n_true")) / F.col("n_true"))).alias("count_mape"))
+    n = counts.agg(F.count("*").alias("images"), F.sum("n_pred").alias("predicted"), F.sum("n_true").alias("true_objects"), F.sum(F.col("n_pred") - F.col("n_true")).alias("count_error"), F.avg(F.when(F.col("n_true") > 0, F.abs(F.col("n_pred") - F.col("n_true")) / F.col("n_true"))).alias("count_mape"))
     return n.join(one).join(iou).join(wrong)  # one row each
 
 

@@ -97,14 +97,25 @@ def classical(plane: np.ndarray, p: SegmentParams) -> Segmentation:
     return Segmentation(kernels.relabel(kernels.drop_small(labels, p.min_size)), t, p.method, p.watershed)
 
 
-#: Engines by name; a reason why it can't run, or None.
-ENGINES = {"classical": classical}
+#: Engines by name: the function, or the reason why it can't run here.
+ENGINES: dict = {}
+
+
+def register_engine(name: str, run=None, reason: str | None = None) -> None:
+    """Offer run(plane, params) -> Segmentation under a name, or say why it isn't there. It runs in the executors' Python: register it in a module that these import too."""
+    if (run is None) == (reason is None):
+        raise ValueError("an engine has either a function or a reason")
+    ENGINES[name] = run or reason
+
+
+register_engine("classical", classical)
+register_engine("learned", reason="the learned engine's libraries are not installed")
 
 
 def engine_reason(name: str) -> str | None:
-    if name in ENGINES:
-        return None
-    return "the learned engine's libraries are not installed" if name == "learned" else f"unknown engine {name!r}"
+    """None if the engine can run."""
+    found = ENGINES.get(name, f"unknown engine {name!r}")
+    return found if isinstance(found, str) else None
 
 
 def segment(plane: np.ndarray, p: SegmentParams) -> Segmentation:
@@ -228,10 +239,14 @@ def analyze_pair(files: DataFrame, nuclear: SegmentParams | None = None, marker:
     return files.select(F.col(keep).alias("keep"), F.col(content).alias("content")).mapInPandas(run, f"`{keep}` {kind}, error string, n_objects long, objects array<struct<{MARKED}>>")
 
 
-def percent_positive(files: DataFrame, keep: str = "path", **how) -> DataFrame:
-    """A row per image, failed and empty ones too: error, n_objects, and the mixture call over its objects' marker means."""
+def percent_positive(files: DataFrame, keep: str = "path", method: str = "mixture", manual: float | None = None, **how) -> DataFrame:
+    """A row per image, failed and empty ones too: error, n_objects, and the call over its objects' marker means by a method of markers.METHODS; the mixture has its evidence beside it."""
+    from . import markers
     from .positivity import mixture_calls
 
     found = analyze_pair(files, keep=keep, **how)
     each = found.select(keep, F.explode("objects").alias("o")).select(keep, "o.marker_mean")
+    if method != "mixture":
+        called = markers.call(each, markers.choose_thresholds(each, keep, "marker_mean", method, manual), keep)
+        return found.drop("objects").join(markers.summarize(found.where("error is null"), called, keep).withColumnsRenamed({"total": "n_total", "positive": "n_positive"}), keep, "left")
     return found.drop("objects").join(mixture_calls(each, keep, "marker_mean").withColumnRenamed("g", keep), keep, "left")

@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 from ..operators import positivity, scoring, segment
 from ..sources import synthetic
 from .catalog import query, table
+from .populations import em_sql
 
 R = lambda c, n=6: F.round(c, n).alias(c)
 
 
-@query()
+def _truth_sql(names, columns: str) -> str:
+    """What was drawn, and so what has to be found."""
+    rows = [(f"{n}.png", synthetic.FIELDS[n].objects, synthetic.FIELDS[n].positive) for n in names]
+    return f"SELECT {columns} FROM (VALUES " + ", ".join(f"('{p}', {n}, {k})" for p, n, k in rows) + ") AS t(path, n, k)"
+
+
+STUDY = ("marker_none", "marker_10", "marker_30", "marker_50", "marker_70")
+
+
+@query(_truth_sql(("marker_pair", "marker_none"), "path, CAST(NULL AS VARCHAR) AS error, n AS drawn, n AS n_objects, k AS drawn_positive, k AS n_positive, k > 0 AS bimodal, round(100.0 * k / n, 4) AS percent_positive"))
 def two_channel_percent_positive(spark, sf_dir):
     """Generated two-channel images from PNG bytes to calls, beside what was drawn."""
     rows = synthetic.rows(("marker_pair", "marker_none"))
@@ -43,7 +53,7 @@ def plate_spearman(spark, sf_dir):
     return scoring.spearman(got.withColumn("percent", F.round("percent", 9)), "drug", "dose", "percent").select("drug", R("rho"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PLATE}, {em_sql('pop AS (SELECT well AS grp, v AS value FROM plate)')}, q AS (SELECT drug, dose, g, 100.0 * count(*) FILTER (v >= coalesce(threshold, 'inf'::DOUBLE)) / count(*) AS p FROM plate JOIN calls ON g = well GROUP BY ALL) SELECT drug, dose, round(avg(p), 6) AS percent, count(*) AS wells FROM q GROUP BY drug, dose")
 def plate_mixture(spark, sf_dir):
     got = positivity.dose_response(_plate(spark, sf_dir), "drug", "well", "dose", "v").where("method = 'mixture'")
     return got.select("drug", "dose", R("percent"), "wells")
@@ -63,10 +73,10 @@ def count_error_grid(spark, sf_dir):
     return errors.orderBy("count_error", "params").limit(5)
 
 
-@query()
+@query(_truth_sql(STUDY, "path, round(100.0 * k / n, 4) AS truth, round(100.0 * k / n, 4) AS percent_positive, 0.0 AS error_points, k > 0 AS bimodal"))
 def positivity_study(spark, sf_dir):
     """Error in points of the called percentage on drawn two-channel images with none to seventy percent positive."""
-    files = _drawn(spark, ("marker_none", "marker_10", "marker_30", "marker_50", "marker_70"))
+    files = _drawn(spark, STUDY)
     got = segment.percent_positive(files).join(files.drop("content"), "path")
     truth = 100 * F.col("drawn_positive") / F.col("drawn")
     return got.select("path", F.round(truth, 4).alias("truth"), R("percent_positive", 4), F.round(F.abs(F.col("percent_positive") - truth), 4).alias("error_points"), "bimodal")

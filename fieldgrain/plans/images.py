@@ -186,13 +186,19 @@ def watershed(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda a: kernels.separate(a > 0, seed_depth=0.25, smoothing=0), "int").where("v > 0")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, eps AS (SELECT image, 4 * 1.1920928955078125e-07 * greatest(1, max(abs(v))) AS e FROM px GROUP BY image),
+reach AS (SELECT p.image, p.y AS py, p.x AS px, p.v AS pv, e, p.y, p.x, p.v FROM px p JOIN eps USING (image)
+UNION SELECT r.image, r.py, r.px, r.pv, r.e, n.y, n.x, n.v FROM reach r JOIN px n ON n.image = r.image AND abs(n.y - r.y) <= 1 AND abs(n.x - r.x) <= 1 WHERE n.v > r.pv - 0.1 + r.e AND r.v <= r.pv + r.e)
+SELECT image, py AS y, px AS x, 1 AS v FROM reach GROUP BY image, py, px, pv, e HAVING max(v) <= pv + e""")
 def h_maxima(spark, sf_dir):
+    """SQL: a pixel counts if no way that stays less than the depth below it leads to a higher one."""
     return _kernel(spark, sf_dir, lambda a: kernels.prominent_maxima(a, 0.1).astype(int), "int").where("v > 0")
 
 
-@query()
+@query(f"""WITH {PX}, top AS (SELECT a.image, a.y, a.x, a.v FROM px a JOIN px b ON a.image = b.image AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL HAVING a.v >= max(b.v) AND a.v > 0)
+SELECT image, y, x, CAST(row_number() OVER (PARTITION BY image ORDER BY v DESC, y, x) AS INT) AS v FROM top""")
 def peak_seeds(spark, sf_dir):
+    """Numbered from the brightest. Patches have no equal neighbours, so that no maximum clears another."""
     def seeds(a):
         out = np.zeros(a.shape, int)
         for n, at in enumerate(kernels.peaks(a, a > 0, 2), 1):
@@ -202,29 +208,57 @@ def peak_seeds(spark, sf_dir):
     return _kernel(spark, sf_dir, seeds, "int").where("v > 0")
 
 
-@query()
+def _step(name: str, source: str, pick: str, near: str) -> str:
+    """An erosion (min) or dilation (max) of a relation of pixels."""
+    return f"{name} AS (SELECT a.image, a.y, a.x, {pick}(b.v) AS v FROM {source} a JOIN {source} b ON a.image = b.image AND {near} GROUP BY ALL)"
+
+
+CROSS, ROUND = "abs(a.y - b.y) + abs(a.x - b.x) <= 1", "(a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 4"
+
+
+@query(f"WITH {PX}, on_ AS (SELECT image, y, x, CASE WHEN v > 0 THEN 1 ELSE 0 END AS v FROM px), {_step('e1', 'on_', 'min', CROSS)}, {_step('d1', 'e1', 'max', CROSS)}, {_step('d2', 'd1', 'max', CROSS)}, {_step('e2', 'd2', 'min', CROSS)} SELECT image, y, x, v FROM e2 WHERE v > 0")
 def opening_closing(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda a: kernels.closing(kernels.opening(a > 0, kernels.disk(1)), kernels.disk(1)).astype(int), "int").where("v > 0")
 
 
-@query()
+@query(f"WITH {PX}, {_step('e1', 'px', 'min', ROUND)}, {_step('d1', 'e1', 'max', ROUND)}, t AS (SELECT px.image, px.y, px.x, px.v - d1.v AS v FROM px JOIN d1 USING (image, y, x)), r AS (SELECT image, min(v) AS lo, max(v) AS hi FROM t GROUP BY image) SELECT image, y, x, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 6) AS v FROM t JOIN r USING (image)")
 def white_tophat(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda a: kernels.even_out(a, 2)).select("image", "y", "x", R("v"))
+    return _kernel(spark, sf_dir, lambda a: kernels.even_out(a, 2, np.float64)).select("image", "y", "x", R("v"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, base AS (SELECT image, v - min(v) OVER w AS v, min(v) OVER w AS lo FROM px WINDOW w AS (PARTITION BY image)),
+gap AS (SELECT image, min(d) / 2 AS tol FROM (SELECT image, v - lag(v) OVER (PARTITION BY image ORDER BY v) AS d FROM (SELECT DISTINCT image, v FROM base)) WHERE d IS NOT NULL GROUP BY image),
+it AS (SELECT image, 0 AS k, avg(v) AS t, false AS done FROM base JOIN gap USING (image) GROUP BY image
+UNION ALL SELECT image, k + 1, CASE WHEN low > 0 AND high IS NOT NULL THEN new ELSE t END, NOT coalesce(low > 0 AND high IS NOT NULL AND abs(new - t) > tol, false) FROM (SELECT *, (low - high) / (ln(low) - ln(high)) AS new FROM
+ (SELECT it.image, k, t, tol, avg(v) FILTER (v <= t) AS low, avg(v) FILTER (v > t) AS high FROM it JOIN base USING (image) JOIN gap USING (image) WHERE NOT done AND k < 1000 GROUP BY ALL))),
+fin AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY image ORDER BY k DESC) = 1)
+SELECT image, round(t + lo, 6) AS threshold FROM fin JOIN (SELECT DISTINCT image, lo FROM base) USING (image)""")
 def li_threshold(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda a: np.array([[kernels.threshold_of(a, "li")]])).select("image", F.round("v", 6).alias("threshold"))
 
 
-@query()
-def shape_measures(spark, sf_dir):
-    """Perimeter, Crofton perimeter and convex area of each patch's foreground."""
-    def shapes(a):
+#: A mask with a ring of background, and its pixels beside background (4-connected).
+WIDE = f"{PX}, grid AS (SELECT image, CAST(unnest(range(-1, 9)) AS INT) AS y FROM embeddings_ids), wide AS (SELECT g.image, g.y, h.x, CASE WHEN px.v > {CUT} THEN 1 ELSE 0 END AS v FROM grid g JOIN (SELECT CAST(unnest(range(-1, 9)) AS INT) AS x) h ON true LEFT JOIN px ON px.image = g.image AND px.y = g.y AND px.x = h.x)".replace("embeddings_ids", "(SELECT vec_id AS image FROM embeddings)")
+
+
+@query(f"""WITH {WIDE}, edge AS (SELECT a.image, a.y, a.x FROM wide a JOIN wide b ON a.image = b.image AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 WHERE a.v = 1 GROUP BY ALL HAVING min(b.v) = 0),
+code AS (SELECT a.image, a.y, a.x, 1 + sum(CASE abs(a.y - b.y) + abs(a.x - b.x) WHEN 1 THEN 2 WHEN 2 THEN 10 ELSE 0 END) AS c FROM edge a JOIN edge b ON a.image = b.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+p AS (SELECT image, sum(CASE WHEN c IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN c IN (21, 33) THEN sqrt(2) WHEN c IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END) AS perimeter FROM code GROUP BY image),
+cuts AS (SELECT a.image, sum(CASE WHEN a.y = b.y OR a.x = b.x THEN 1 ELSE 1 / sqrt(2) END) / 2 AS n FROM wide a JOIN wide b ON a.image = b.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y, a.x) < (b.y, b.x) WHERE a.v <> b.v GROUP BY a.image)
+SELECT vec_id AS image, round(coalesce(perimeter, 0), 6) AS perimeter, round(coalesce(pi() / 4 * n, 0), 6) AS crofton FROM embeddings LEFT JOIN p ON p.image = vec_id LEFT JOIN cuts ON cuts.image = vec_id""")
+def perimeters(spark, sf_dir):
+    """Border path and Crofton perimeter of each patch's foreground."""
+    def lengths(a):
         m = a > CUT
-        return np.array([[kernels.perimeter(m), kernels.crofton(m), kernels.convex_area(m)]]) if m.any() else np.zeros((1, 3))
+        return np.array([[kernels.perimeter(m), kernels.crofton(m)]])
+
+    return _kernel(spark, sf_dir, lengths).groupBy("image").pivot("x", [0, 1]).agg(F.round(F.first("v"), 6)).select("image", F.col("0").alias("perimeter"), F.col("1").alias("crofton"))
 
-    return _kernel(spark, sf_dir, shapes).groupBy("image").pivot("x", [0, 1, 2]).agg(F.round(F.first("v"), 6)).select("image", F.col("0").alias("perimeter"), F.col("1").alias("crofton"), F.col("2").alias("convex_area"))
+
+@query()
+def convex_area(spark, sf_dir):
+    """Pixels in the convex hull of each patch's foreground."""
+    return _kernel(spark, sf_dir, lambda a: np.array([[kernels.convex_area(a > CUT) if (a > CUT).any() else 0]]), "int").select("image", F.col("v").alias("convex_area"))
 
 
 def encoded(spark, sf_dir):
@@ -260,6 +294,20 @@ def image_parameter_grid(spark, sf_dir):
     return found.groupBy("params").agg(F.count("*").alias("images"), F.round(F.avg("n_objects"), 6).alias("mean_objects"))
 
 
-@query()
+def _registry_sql() -> str:
+    shown = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    rows = [(i, *r, sources.OVERRIDES.get(r[1], {}).get("channel"), sources.OVERRIDES.get(r[1], {}).get("background"), sources.CAVEATS.get(r[1])) for i, r in enumerate(sources.SAMPLES)]
+    return "(VALUES " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + ") AS s(place, label, file, note, channel, background, caveat)"
+
+
+@query(f"SELECT * FROM {_registry_sql()}")
 def sample_registry(spark, sf_dir):
     return sources.samples(spark)
+
+
+@query(f"SELECT vec_id AS id, coalesce(channel, 'grayscale') AS channel, coalesce(background, 'dark') AS background, caveat FROM embeddings LEFT JOIN {_registry_sql()} ON place = vec_id % 7")
+def sample_overrides(spark, sf_dir):
+    """Parameters to analyse each file by: the registry's where it knows the file, else the defaults."""
+    names = F.array(*[F.lit(s[1]) for s in sources.SAMPLES], F.lit("other.png"), F.lit("more.tif"))
+    files = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("some/folder/"), F.element_at(names, (F.col("vec_id") % 7 + 1).cast("int"))).alias("path"))
+    return sources.with_overrides(files, sources.samples(spark)).select("id", "channel", "background", "caveat")

@@ -12,16 +12,17 @@ finite = lambda c, n=4: F.when(F.abs(F.col(c)) < float("inf"), F.round(c, n)).al
 
 LPDF = "(-0.5 * pow((v - {m}) / {s}, 2) - ln({s}) - 0.5 * ln(2 * pi()))"
 #: Expectation maximisation as a recursive walk over rounds; one row per group and round.
-EM = f"""{POP}, val AS (SELECT grp AS g, value AS v, CAST(count(*) AS DOUBLE) AS n FROM pop GROUP BY ALL),
+EM = """val AS (SELECT grp AS g, value AS v, CAST(count(*) AS DOUBLE) AS n FROM pop GROUP BY ALL),
 tot AS (SELECT grp AS g, count(*) AS nt, avg(value) AS mu, greatest(stddev_pop(value), 1e-3) AS sd, var_pop(value) AS var, median(value) AS med, min(value) AS lo, max(value) AS hi FROM pop GROUP BY grp),
 cut AS (SELECT *, CASE WHEN med < hi THEN med ELSE mu END AS split FROM tot WHERE nt >= 3 AND hi > lo)"""
 
 
-def _em() -> str:
+def em_sql(pop: str = POP) -> str:
+    """Fits and calls of a relation pop (grp, value)."""
     init = """init AS (SELECT g, nt, n0 / nt AS w0, n1 / nt AS w1, m0, m1, sqrt(greatest(1e-6, (SELECT sum(n * pow(v - m0, 2)) FROM val WHERE val.g = h.g AND v <= split) / n0)) AS s0, sqrt(greatest(1e-6, (SELECT sum(n * pow(v - m1, 2)) FROM val WHERE val.g = h.g AND v > split) / n1)) AS s1
   FROM (SELECT g, nt, split, sum(n) FILTER (v <= split) AS n0, sum(n) FILTER (v > split) AS n1, sum(n * v) FILTER (v <= split) / sum(n) FILTER (v <= split) AS m0, sum(n * v) FILTER (v > split) / sum(n) FILTER (v > split) AS m1 FROM val JOIN cut USING (g) GROUP BY ALL) h)"""
     l0, l1 = (f"ln(w{k}) + {LPDF.format(m=f'm{k}', s=f's{k}')}" for k in (0, 1))
-    return f"""{EM},
+    return f"""{pop}, {EM},
 {init},
 em AS (SELECT g, nt, 0 AS k, w0, w1, m0, m1, s0, s1, CAST(NULL AS DOUBLE) AS ll, CAST(NULL AS DOUBLE) AS prev, false AS done FROM init
 UNION ALL
@@ -36,22 +37,19 @@ roots AS (SELECT *, (m0 + m1) / 2 AS mid, CASE WHEN abs(a) < 1e-12 OR b * b < 4
 calls AS (SELECT *, delta_bic > 10 AND d > 2 AS bimodal, CASE WHEN delta_bic > 10 AND d > 2 THEN CASE WHEN r0 BETWEEN m0 AND m1 THEN r0 WHEN r1 BETWEEN m0 AND m1 THEN r1 WHEN r2 BETWEEN m0 AND m1 THEN r2 ELSE mid END END AS threshold FROM roots)"""
 
 
-@query(f"WITH RECURSIVE {_em()}, r AS (SELECT g, n, threshold, bimodal, delta_bic, d, count(value) FILTER (value >= threshold) AS p FROM calls JOIN pop ON grp = g GROUP BY g, n, threshold, bimodal, delta_bic, d) SELECT g, n AS n_total, p AS n_positive, round(100.0 * p / n, 4) AS percent_positive, round(threshold, 3) AS threshold, bimodal, round(delta_bic, 1) AS delta_bic, round(d, 3) AS ashman_d FROM r")
+@query(f"WITH RECURSIVE {em_sql()}, r AS (SELECT g, n, threshold, bimodal, delta_bic, d, count(value) FILTER (value >= threshold) AS p FROM calls JOIN pop ON grp = g GROUP BY g, n, threshold, bimodal, delta_bic, d) SELECT g, n AS n_total, p AS n_positive, round(100.0 * p / n, 4) AS percent_positive, round(threshold, 3) AS threshold, bimodal, round(delta_bic, 1) AS delta_bic, round(d, 3) AS ashman_d FROM r")
 def mixture_call(spark, sf_dir):
     """Percent positive per group, and whether there is a positive population at all."""
     return positivity.mixture_calls(population(spark, sf_dir), "grp", "value").select("g", "n_total", "n_positive", R("percent_positive", 4), finite("threshold", 3), "bimodal", R("delta_bic", 1), R("ashman_d", 3))
 
 
-@query(f"WITH RECURSIVE {_em()}, e AS (SELECT event_id AS id, 'event-' || event_type AS g, value AS v FROM events UNION ALL SELECT o_orderkey, 'line-' || CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE 'O' END, 20 + o_totalprice / 4000 FROM orders) SELECT id, e.g, coalesce(v >= threshold, false) AS positive, CASE WHEN bimodal THEN round(1 / (1 + exp(ln(w0) + {LPDF.format(m='m0', s='s0')} - ln(w1) - {LPDF.format(m='m1', s='s1')})), 3) ELSE 0 END AS posterior FROM e JOIN calls ON calls.g = e.g")
+@query(f"WITH RECURSIVE {em_sql()}, e AS (SELECT event_id AS id, 'event-' || event_type AS g, value AS v FROM events UNION ALL SELECT o_orderkey, 'line-' || CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE 'O' END, 20 + o_totalprice / 4000 FROM orders) SELECT id, e.g, coalesce(v >= threshold, false) AS positive, CASE WHEN bimodal THEN round(1 / (1 + exp(ln(w0) + {LPDF.format(m='m0', s='s0')} - ln(w1) - {LPDF.format(m='m1', s='s1')})), 3) ELSE 0 END AS posterior FROM e JOIN calls ON calls.g = e.g")
 def mixture_objects(spark, sf_dir):
     """Calls and posteriors of objects under fits of the populations."""
-    from ..functions import columns as C
-
     calls = positivity.mixture_calls(population(spark, sf_dir), "grp", "value")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("event-"), "event_type").alias("g"), F.col("value").alias("v"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("line-"), F.when(F.col("o_orderkey") % 2 == 0, "F").otherwise("O")).alias("g"), (20 + F.col("o_totalprice") / 4000).alias("v"))
-    up, down = (F.log(F.col(f"w{k}")) + C.normal_logpdf(F.col("v"), F.col(f"m{k}"), F.col(f"s{k}")) for k in (1, 0))
-    return e.union(o).join(calls, "g").select("id", "g", (F.col("v") >= F.col("threshold")).alias("positive"), F.when(F.col("bimodal"), F.round(1 / (1 + F.exp(down - up)), 3)).otherwise(0.0).alias("posterior"))
+    return positivity.called_objects(e.union(o), "g", "v", calls).select("id", "g", "positive", R("posterior", 3))
 
 
 @query(f"WITH {POP} SELECT grp AS g, count(*) AS n, round(avg(value), 4) AS mean, round(greatest(stddev_pop(value), 1e-3), 4) AS sigma, round(2 * ln(count(*)) - 2 * (-count(*) * (ln(greatest(stddev_pop(value), 1e-3)) + 0.5 * ln(2 * pi())) - count(*) * var_pop(value) / (2 * pow(greatest(stddev_pop(value), 1e-3), 2))), 2) AS bic FROM pop GROUP BY grp")
@@ -63,8 +61,8 @@ def one_component_fit(spark, sf_dir):
 
 
 OTSU = """each AS (SELECT event_type, value AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
-run AS (SELECT event_type, v, lead(v) OVER w AS nx, sum(n) OVER u AS b, sum(n * v) OVER u AS s, sum(n) OVER (PARTITION BY event_type) AS t, sum(n * v) OVER (PARTITION BY event_type) AS a FROM each WINDOW w AS (PARTITION BY event_type ORDER BY v), u AS (PARTITION BY event_type ORDER BY v ROWS UNBOUNDED PRECEDING)),
-best AS (SELECT event_type, (v + nx) / 2 AS threshold FROM run WHERE nx IS NOT NULL AND t >= 3 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(CAST(b AS DOUBLE) / t * (CAST(t - b AS DOUBLE) / t) * pow(s / b - (a - s) / (t - b), 2), 9) DESC, v) = 1)"""
+run AS (SELECT event_type, v, lead(v) OVER w AS nx, sum(n) OVER u AS b, sum(n * v) OVER u AS s, sum(n) OVER (PARTITION BY event_type) AS t, sum(n * v) OVER (PARTITION BY event_type) AS a, max(v) OVER (PARTITION BY event_type) - min(v) OVER (PARTITION BY event_type) AS r FROM each WINDOW w AS (PARTITION BY event_type ORDER BY v), u AS (PARTITION BY event_type ORDER BY v ROWS UNBOUNDED PRECEDING)),
+best AS (SELECT event_type, (v + nx) / 2 AS threshold FROM run WHERE nx IS NOT NULL AND t >= 3 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(CAST(b AS DOUBLE) / t * (CAST(t - b AS DOUBLE) / t) * pow((s / b - (a - s) / (t - b)) / r, 2), 9) DESC, v) = 1)"""
 
 
 @query(f"WITH {OTSU} SELECT event_type, round(threshold, 6) AS threshold FROM best")
@@ -114,13 +112,16 @@ def method_head_to_head(spark, sf_dir):
     return positivity.head_to_head(pop, "grp", "value", li.union(none)).select("method", R("mean_error", 4), R("on_negative", 4))
 
 
-@query(f"""WITH RECURSIVE {_em()}, r AS (SELECT g, n, count(value) FILTER (value >= threshold) AS p, threshold, bimodal, delta_bic, d, m0, m1, s0, s1, w0, w1 FROM calls JOIN pop ON grp = g GROUP BY ALL)
-SELECT g, concat_ws(chr(10), 'MARKER POSITIVITY — REPRODUCIBILITY REPORT', repeat('=', 44), rpad('image', 24, ' ') || ': ' || g, rpad('method', 24, ' ') || ': mixture', rpad('objects measured', 24, ' ') || ': ' || n, rpad('marker-positive', 24, ' ') || ': ' || p,
- rpad('percent positive', 24, ' ') || ': ' || printf('%.2f%%', 100.0 * p / n), rpad('threshold (0-255)', 24, ' ') || ': ' || CASE WHEN threshold IS NULL THEN 'inf' ELSE printf('%.3f', threshold) END, rpad('distinct populations', 24, ' ') || ': ' || CASE WHEN bimodal THEN 'yes' ELSE 'no' END) AS head FROM r""")
+@query(f"""WITH RECURSIVE {em_sql()}, r AS (SELECT g, n, count(value) FILTER (value >= threshold) AS p, threshold, bimodal, delta_bic, d, m0, m1, s0, s1, w0, w1 FROM calls JOIN pop ON grp = g GROUP BY ALL)
+SELECT g, concat_ws(chr(10), 'MARKER POSITIVITY — REPRODUCIBILITY REPORT', repeat('=', 44), rpad('image', 24, ' ') || ': ' || g, rpad('channel', 24, ' ') || ': ' || CASE WHEN g LIKE 'line-%' THEN 'line' ELSE 'event' END, rpad('pixel size', 24, ' ') || ': 0.5', rpad('method', 24, ' ') || ': mixture', rpad('objects measured', 24, ' ') || ': ' || n, rpad('marker-positive', 24, ' ') || ': ' || p,
+ rpad('percent positive', 24, ' ') || ': ' || printf('%.2f%%', 100.0 * p / n), rpad('threshold (0-255)', 24, ' ') || ': ' || CASE WHEN threshold IS NULL THEN 'inf' ELSE printf('%.3f', threshold) END, rpad('distinct populations', 24, ' ') || ': ' || CASE WHEN bimodal THEN 'yes' ELSE 'no' END,
+ rpad('bimodality ΔBIC', 24, ' ') || ': ' || printf('%.2f', delta_bic), rpad('negative component', 24, ' ') || ': ' || printf('mean %.2f, sd %.2f, weight %.3f', m0, s0, w0), rpad('positive component', 24, ' ') || ': ' || printf('mean %.2f, sd %.2f, weight %.3f', m1, s1, w1)) AS lines FROM r""")
 def repro_report(spark, sf_dir):
-    """The report's fixed head; its fitted figures are compared by the mixture queries."""
-    r = positivity.report(positivity.mixture_calls(population(spark, sf_dir), "grp", "value"), "mixture")
-    return r.select("g", F.array_join(F.slice(F.split("report", "\n"), 1, 9), "\n").alias("head"))
+    """The whole report but its note, with two lines of context."""
+    calls = positivity.mixture_calls(population(spark, sf_dir), "grp", "value")
+    r = positivity.report(calls, "mixture", context={"channel": F.when(F.col("g").startswith("line-"), "line").otherwise("event"), "pixel size": 0.5})
+    lines = F.filter(F.split("report", "\n"), lambda x: ~F.startswith(x, F.lit("note: ")))
+    return r.select("g", F.array_join(lines, "\n").alias("lines"))
 
 
 DOSE = "dose AS (SELECT label, avg(CASE WHEN e.v >= 0.1 THEN 100.0 ELSE 0 END) AS pct FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) e GROUP BY label)"

@@ -50,16 +50,23 @@ def score_by_threshold(spark, sf_dir):
     return scoring.by_threshold(scoring.matched(scoring.ious(px)), scoring.object_counts(px))
 
 
+@query(f"WITH {TWO}, {COUNTS} SELECT image, n_pred - n_true AS count_error FROM cnt")
+def count_error(spark, sf_dir):
+    """Objects too many (positive) or too few (negative) per image."""
+    return scoring.count_errors(scoring.object_counts(_planes(spark, sf_dir))).select("image", "count_error")
+
+
 @query(f"""WITH {SOLVED}, t AS (SELECT percent, sum(tp) AS tp, sum(n_pred - tp) AS fp, sum(n_true - tp) AS fn FROM sc GROUP BY percent)
 SELECT (SELECT count(*) FROM cnt) AS images, (SELECT CAST(sum(n_pred) AS BIGINT) FROM cnt) AS predicted, (SELECT CAST(sum(n_true) AS BIGINT) FROM cnt) AS true_objects, (SELECT round(avg(abs(n_pred - n_true) / n_true) FILTER (n_true > 0), 6) FROM cnt) AS count_mape,
 round(max(2.0 * tp / (2 * tp + fp + fn)) FILTER (percent = 50), 6) AS f1_50, round(max(CAST(tp AS DOUBLE) / (tp + fp)) FILTER (percent = 50), 6) AS precision_50, round(max(CAST(tp AS DOUBLE) / (tp + fn)) FILTER (percent = 50), 6) AS recall_50, round(max(2.0 * tp / (2 * tp + fp + fn)) FILTER (percent = 75), 6) AS f1_75, round(avg(CAST(tp AS DOUBLE) / (tp + fp + fn)), 6) AS average_precision, round(avg(2.0 * tp / (2 * tp + fp + fn)), 6) AS mean_f1,
-(SELECT round(avg(iou), 6) FROM ma WHERE iou > 0) AS mean_matched_iou FROM t""")
+(SELECT round(avg(iou), 6) FROM ma WHERE iou > 0) AS mean_matched_iou, (SELECT CAST(sum(n_pred - n_true) AS BIGINT) FROM cnt) AS count_error,
+(SELECT count(*) FROM (SELECT image, tru FROM iou WHERE n >= 0.25 * t GROUP BY ALL HAVING count(*) >= 2)) AS split_errors, (SELECT count(*) FROM (SELECT image, pred FROM iou WHERE n >= 0.25 * t GROUP BY ALL HAVING count(*) >= 2)) AS merge_errors FROM t""")
 def dataset_score(spark, sf_dir):
     px = _planes(spark, sf_dir)
     pairs, counts = scoring.ious(px), scoring.object_counts(px)
     matches = scoring.matched(pairs)
     out = scoring.dataset(scoring.by_threshold(matches, counts), matches, scoring.split_merge(pairs, counts), counts)
-    return out.select("images", "predicted", "true_objects", *map(R, ("count_mape", "f1_50", "precision_50", "recall_50", "f1_75", "average_precision", "mean_f1", "mean_matched_iou")))
+    return out.select("images", "predicted", "true_objects", "count_error", "split_errors", "merge_errors", *map(R, ("count_mape", "f1_50", "precision_50", "recall_50", "f1_75", "average_precision", "mean_f1", "mean_matched_iou")))
 
 
 @query("""WITH g AS (SELECT a.i AS low, b.i AS high FROM (SELECT CAST(unnest(range(4)) AS INT) AS i) a, (SELECT CAST(unnest(range(4)) AS INT) AS i) b), s AS (SELECT low, high, low * 4 + high AS place, avg(abs(n - 12)) AS score FROM (SELECT low, high, vec_id, (SELECT count(*) FROM (SELECT unnest(embedding) AS v) WHERE v > 0.05 * low AND v <= 0.2 + 0.05 * high) AS n FROM embeddings, g) GROUP BY ALL)

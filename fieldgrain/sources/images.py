@@ -64,9 +64,21 @@ SAMPLES = (
     ("Synthetic, moderate", "synthetic_moderate.png", "clusters"),
     ("Synthetic, difficult", "synthetic_difficult.png", "uneven light, debris: counts fall short"),
     ("Synthetic, two channels", "synthetic_marker_pair.png", "blue nuclei, green marker"),
+    ("Immunohistochemistry, brightfield", "public_immunohistochemistry.png", "stained tissue on a light background"),
 )
+#: Parameters that differ from the defaults for a file, and files whose numbers must not be taken for measurements.
+OVERRIDES = {"public_immunohistochemistry.png": {"channel": "blue", "background": "light"}}
+CAVEATS = {"public_immunohistochemistry.png": "not valid measurements: brightfield tissue needs its stains separated first, a threshold outlines whole regions"}
 
 
 def samples(spark: SparkSession) -> DataFrame:
-    """The registry of generated samples, in order: left-join it on the file name."""
-    return spark.createDataFrame([(i, *s) for i, s in enumerate(SAMPLES)], "place int, label string, file string, note string")
+    """The registry of samples, in order: place, label, file, note, override (null: the default), caveat (null: none)."""
+    rows = [(i, *s, OVERRIDES.get(s[1], {}).get("channel"), OVERRIDES.get(s[1], {}).get("background"), CAVEATS.get(s[1])) for i, s in enumerate(SAMPLES)]
+    return spark.createDataFrame(rows, "place int, label string, file string, note string, channel string, background string, caveat string")
+
+
+def with_overrides(files: DataFrame, registry: DataFrame, channel: str = "grayscale", background: str = "dark") -> DataFrame:
+    """files (path, ...) with the channel and background to analyse them by and a caveat: the registry's where it has the file, else the defaults. The registry is a few rows."""
+    known = registry.select(F.col("file").alias("_file"), F.col("channel").alias("_channel"), F.col("background").alias("_background"), "caveat")
+    found = files.withColumn("_file", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(known), "_file", "left")
+    return found.withColumns({"channel": F.coalesce("_channel", F.lit(channel)), "background": F.coalesce("_background", F.lit(background))}).drop("_file", "_channel", "_background")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,10 +52,27 @@ def report_text(df: DataFrame, by: str, lines: list[tuple[str, str]]) -> DataFra
 
 
 def save_outputs(analyzed: DataFrame, folder: str, keep: str = "path") -> None:
-    """Of each analysed image (with planes) three files named after it: measurements, annotated picture, mask."""
-    name = F.regexp_extract(keep, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    """Of each analysed image (with planes) three files named after it and, but for the default, its parameter set: measurements, annotated picture, mask. Two images of one name are an error, before anything is written."""
+    stem = F.regexp_extract(keep, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    name = F.when(F.col("params") == "default", stem).otherwise(F.concat(stem, F.lit("_"), F.regexp_replace("params", r"[^A-Za-z0-9.=,-]", "_")))
     good = analyzed.where("error is null and mask_png is not null")
+    if twice := good.groupBy(name.alias("name")).count().where("count > 1").head():
+        raise ValueError(f"{twice['count']} analyses would write files of the name {twice['name']}")
     objects = good.select(name.alias("stem"), F.explode("objects").alias("o")).select("stem", "o.*")
     parts = [csv_text(objects, "stem").select(F.concat("stem", F.lit("_measurements.csv")).alias("name"), F.encode("csv", "UTF-8").alias("content"))]
     parts += [good.select(F.concat(name, F.lit(f"_{kind}.png")).alias("name"), F.col(f"{kind}_png").alias("content")) for kind in ("annotated", "mask")]
     write_files(parts[0].union(parts[1]).union(parts[2]), folder, "name", "content")
+
+
+def save_marker_outputs(objects: DataFrame, summary: DataFrame, folder: str, by: str = "path") -> None:
+    """Of each two-channel image a CSV of its objects' marker values, and one CSV of all images' summaries. summary: a row per image."""
+    stem = F.regexp_extract(by, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    each = csv_text(objects.withColumn("_stem", stem).drop(by), "_stem").select(F.concat("_stem", F.lit("_markers.csv")).alias("name"), F.encode("csv", "UTF-8").alias("content"))
+    whole = csv_text(summary.select(F.row_number().over(Window.orderBy(by)).alias("row"), "*", F.lit("all").alias("_all")), "_all").select(F.lit("marker_summary.csv").alias("name"), F.encode("csv", "UTF-8").alias("content"))
+    write_files(each.union(whole), folder, "name", "content")
+
+
+def report_json(df: DataFrame, by: str) -> DataFrame:
+    """(by, json): all further columns as one JSON object a row, missing and infinite values left out."""
+    shown = [F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes if c != by]
+    return df.select(by, F.to_json(F.struct(*shown)).alias("json"))
