@@ -147,6 +147,94 @@ def test_counts_of_generated_fields(spark):
     files = spark.createDataFrame([(p, bytearray(c)) for p, c, *_ in synthetic.rows(("easy", "moderate", "difficult"))], "path string, content binary")
     n = {r.path: r.n_objects for r in segment.analyze(files, segment.SegmentParams(channel="blue")).collect()}
     assert n["easy.png"] == 32 and n["moderate.png"] == 34 and 0.4 * 110 <= n["difficult.png"] <= 0.9 * 110
+    whole = {r.path: r.n_objects for r in segment.analyze(files, segment.SegmentParams(channel="blue", watershed=False)).collect()}
+    assert whole["easy.png"] == 32 and whole["moderate.png"] <= 24  # touching objects merge without it
+
+
+def test_touching_objects_touch():
+    from fieldgrain.sources import synthetic
+
+    _, at = synthetic.draw(synthetic.FIELDS["moderate"])
+    apart = np.hypot(at[:, None, 0] - at[:, 0], at[:, None, 1] - at[:, 1]) / (at[:, None, 2] + at[:, 2])
+    np.fill_diagonal(apart, 9)
+    close = apart[apart < 1]
+    assert len(close) // 2 >= 9 and 0.82 <= close.min() and close.max() <= 0.95
+
+
+def test_marker_methods_by_name(spark):
+    from fieldgrain.operators import markers
+    from fieldgrain.sources import synthetic
+
+    objects = spark.createDataFrame([("a", v) for v in (1.0, 1.1, 1.2, 9.0, 9.1, 9.2)] + [("b", 5.0), ("b", 5.0)], "image string, marker_mean double")
+    got = lambda *a, **k: {r.image: r.threshold for r in markers.choose_thresholds(objects, "image", "marker_mean", *a, **k).collect()}
+    assert got("otsu") == {"a": pytest.approx(5.1), "b": float("inf")} and got("manual", manual=7) == {"a": 7.0, "b": 7.0} and got("mixture")["b"] == float("inf")
+    with pytest.raises(ValueError, match="needs a value"):
+        got("manual")
+    with pytest.raises(ValueError, match="method must be"):
+        got("median")
+    tiny = objects.where("image = 'a'").withColumn("marker_mean", F.col("marker_mean") * 1e-6)
+    assert markers.exact_otsu(tiny, "image", "marker_mean").head().threshold == pytest.approx(5.1e-6)
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c, *_ in synthetic.rows(("marker_pair",))], "path string, content binary")
+    assert [segment.percent_positive(files, method=m, manual=v).head().n_positive for m, v in (("otsu", None), ("manual", 100), ("manual", 256))] == [13, 13, 0]
+
+
+def test_registered_engine(spark):
+    def halves(plane, p):
+        labels = np.ones(plane.shape, np.int32)
+        labels[:, plane.shape[1] // 2 :] = 2
+        return segment.Segmentation(labels, None, "halves", False)
+
+    with pytest.raises(ValueError, match="either"):
+        segment.register_engine("both", halves, "no")
+    plane = np.zeros((4, 6), np.float32)
+    segment.register_engine("halves", halves)
+    try:
+        assert segment.engine_reason("halves") is None and segment.segment(plane, segment.SegmentParams(engine="halves")).n_objects == 2
+    finally:
+        del segment.ENGINES["halves"]
+    assert "not installed" in segment.engine_reason("learned") and "unknown" in segment.engine_reason("halves")
+    with pytest.raises(ValueError, match="not installed"):
+        segment.segment(plane, segment.SegmentParams(engine="learned"))
+
+
+def test_kernels_agree_with_relations(spark):
+    """Thresholds, stretch and object measures by numpy and by DataFrame over the same planes."""
+    from fieldgrain.functions import kernels
+    from fieldgrain.operators import measure, planes
+
+    rng = np.random.default_rng(2)
+    stack = rng.random((6, 8, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, p.ravel().tolist()) for i, p in enumerate(stack)], "vec_id long, embedding array<float>")
+    px = planes.pixels(df, "vec_id", "embedding", 8)
+    for f, g in ((planes.otsu, kernels.otsu), (planes.yen, kernels.yen), (planes.triangle, kernels.triangle)):
+        assert {r.image: r.threshold for r in f(px).collect()} == {i: pytest.approx(g(p.astype(float)), abs=1e-9) for i, p in enumerate(stack)}
+    by_kernel = [kernels.stretch(p) for p in stack]
+    assert all(r.v == pytest.approx(float(by_kernel[r.image][r.y, r.x]), abs=1e-5) for r in planes.stretch(px).collect())
+    labels = [kernels.components(p > 0.5) for p in stack]
+    lab = spark.createDataFrame([(i, int(y), int(x), float(p[y, x]), int(n[y, x])) for i, (p, n) in enumerate(zip(stack, labels, strict=True)) for y, x in np.ndindex(8, 8)], "image int, y int, x int, v double, label int")
+    got = {(r.image, r.object_id): r for r in measure.regions(lab).withColumn("touches_border", measure.touches_border(8, 8)).collect()}
+    want = {(i, o[0]): dict(zip(segment.OBJECT_COLUMNS, o, strict=True)) for i, (p, n) in enumerate(zip(stack, labels, strict=True)) for o in segment.measure(n, p)}
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert all(got[k][c] == pytest.approx(w[c], abs=1e-3) for c in ("centroid_x", "centroid_y", "area_pixels", "equivalent_diameter_pixels", "eccentricity", "major_axis_pixels", "minor_axis_pixels", "mean_intensity", "maximum_intensity", "minimum_intensity", "touches_border"))
+
+
+def test_masks_pair_by_stem(spark):
+    a = spark.createDataFrame([("x/one.tif", b"1"), ("x/two.png", b"2"), ("x/three.png", b"3")], "path string, content binary")
+    b = spark.createDataFrame([("m/one.png", b"m1"), ("m/three.tiff", b"m3"), ("m/other.png", b"m4")], "path string, content binary")
+    assert {(r.stem, bytes(r.content), bytes(r.mask)) for r in images.pair_with_masks(a, b).collect()} == {("one", b"1", b"m1"), ("three", b"3", b"m3")}
+
+
+def test_overrides_and_report(spark):
+    from fieldgrain.operators import positivity
+
+    files = spark.createDataFrame([("a/public_immunohistochemistry.png",), ("b/x.png",)], "path string")
+    got = {r.path: (r.channel, r.background, bool(r.caveat)) for r in images.with_overrides(files, images.samples(spark)).collect()}
+    assert got == {"a/public_immunohistochemistry.png": ("blue", "light", True), "b/x.png": ("grayscale", "dark", False)}
+    objects = spark.createDataFrame([("a", float(v)) for v in (1, 2, 1, 2, 1, 2, 90, 91, 92, 90)], "image string, v double")
+    text = positivity.report(positivity.mixture_calls(objects, "image", "v"), "mixture", control="none", context={"stain": "green", "pixel size": 0.5}).head().report.split("\n")
+    assert text[3:5] == ["stain".ljust(24) + ": green", "pixel size".ljust(24) + ": 0.5"] and text[-2] == "negative control".ljust(24) + ": none" and text[-1].startswith("note: two populations")
+    assert any(x.startswith("positive component") for x in text)
 
 
 def test_pictures():
@@ -155,6 +243,7 @@ def test_pictures():
     labels = np.zeros((20, 20), int)
     labels[3:8, 3:8], labels[10:16, 10:16] = 1, 2
     plane = labels.astype(np.float32) / 2
+    assert render.display_rgb(np.array([[0, 50], [100, 200]], np.uint16))[..., 0].tolist() == [[0, 63], [127, 255]] and render.display_rgb(np.full((2, 2, 4), 7, np.uint8)).tolist() == [[[7] * 3] * 2] * 2
     assert render.display_rgb(plane).shape == (20, 20, 3) and render.mask_picture(labels).sum() == 255 * 61
     assert tuple(render.outlined(plane, labels)[2, 4]) == render.OUTLINE
     picture = render.marker_picture(plane, labels, [2])
@@ -169,3 +258,19 @@ def test_saved_outputs(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one_annotated.png", "one_mask.png", "one_measurements.csv"]
     lines = (tmp_path / "out" / "one_measurements.csv").read_text().split("\n")
     assert lines[0].startswith("object_id,centroid_x") and len(lines) == 3 and lines[1].split(",")[1] == "30.000"
+    grid = segment.grid(watershed=[True, False])
+    writers.save_outputs(segment.analyze(files, grid, planes=True), str(tmp_path / "grid"))
+    assert sorted(p.name for p in (tmp_path / "grid").iterdir()) == sorted(f"one_watershed={w}_{k}" for w in (True, False) for k in ("annotated.png", "mask.png", "measurements.csv"))
+    with pytest.raises(ValueError, match="would write files"):
+        writers.save_outputs(segment.analyze(files.union(files), planes=True), str(tmp_path / "no"))
+    assert not (tmp_path / "no").exists()
+
+
+def test_saved_marker_outputs(spark, tmp_path):
+    objects = spark.createDataFrame([("f/a.png", 1, 10.0, True), ("f/a.png", 2, 1.5, False), ("f/b.png", 1, 2.0, False)], "path string, object_id long, marker_mean double, marker_positive boolean")
+    summary = spark.createDataFrame([("f/a.png", 2, 1, 50.0), ("f/b.png", 1, 0, float("inf"))], "path string, total long, positive long, percent_positive double")
+    writers.save_marker_outputs(objects, summary, str(tmp_path / "m"))
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["a_markers.csv", "b_markers.csv", "marker_summary.csv"]
+    assert (tmp_path / "m" / "a_markers.csv").read_text().split("\n") == ["object_id,marker_mean,marker_positive", "1,10.000,true", "2,1.500,false"]
+    assert (tmp_path / "m" / "marker_summary.csv").read_text().split("\n")[1] == "1,f/a.png,2,1,50.000"
+    assert {r.path: r.json for r in writers.report_json(summary, "path").collect()} == {"f/a.png": '{"total":2,"positive":1,"percent_positive":50.0}', "f/b.png": '{"total":1,"positive":0}'}
