@@ -1,15 +1,18 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 8).
 
-Confirmed toxic documents and unlabelled ones (documents without that confirmation, from the whole corpus) are enough to
-learn from: the risk of calling a document clean is estimated from the unlabelled ones and corrected for the share of
-toxic ones among them, and held at zero from below so that the classifier can't gain by it:
+Confirmed toxic documents and unlabelled ones (documents of the whole corpus, toxic ones among them) are enough to learn
+from: the risk of calling a document clean is estimated from the unlabelled ones and corrected for the share of toxic
+ones among them, and held at zero from below so that the classifier can't gain by it:
     prior * E+[loss(x, 1)] + max(0, E_u[loss(x, 0)] - prior * E+[loss(x, 0)]).
-The prior follows from the share of toxic documents among the labels of the training folds, less the confirmed ones. Features are words and word
-beginnings, by how many distinct words of the text show them, up to MOST; those that tell most are chosen by counts over the bounded sample, on the executors, and weights are fitted in
-numpy. Only the text is an input of a score.
-
-null text: as the empty text, whose score is that of no feature. Without confirmed documents every score is 0. Repeated
-rows are scored each. Empty table: no rows. A null doc_id is in no fold: scored, not held out.
+The prior is the share of toxic documents among the labels of the training folds, however many documents these cover.
+Features are words and word beginnings, by how many distinct words of the text show them, up to MOST; those that tell
+most are chosen by counts over the bounded sample, on the executors, and weights are fitted in numpy. Only the text is an
+input of a score, and the whole of it.
+
+null text: as the empty text, whose score is that of no feature. Without confirmed documents every score is 0. An id that
+any row confirms is confirmed. Exact copies are learnt from once; of rows that repeat an id one is, the same each time.
+Repeated rows are scored each. Ties of features: the smaller hash. Columns named score or predicted are replaced by
+rate(), further ones stay. Empty table: no rows. A null doc_id is in no fold: scored, not held out.
 """
 
 from __future__ import annotations
@@ -86,37 +89,42 @@ class NonNegativePU:
         return float(1 / (1 + np.exp(-np.clip((self.w[at] * np.minimum(n, MOST)).sum() + self.b, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000, chosen: int = 256, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2) -> tuple[dict[int, int], NonNegativePU] | None:
-    """Learns from at most `most` confirmed and `most` other documents outside the held-out fold, on at most `chosen` features."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000, chosen: int = 256, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, least_documents: int = 5, least_share: float = 0.005, least_score: float = 6.0, most_lift: float = 30.0) -> tuple[dict[int, int], NonNegativePU] | None:
+    """Learns from at most `most` confirmed and `most` unlabelled documents outside the held-out fold, on at most `chosen` features.
+
+    A feature must occur in least_documents and least_share of the confirmed documents, stand out by least_score standard
+    deviations from chance, and be more frequent in confirmed documents than in others by a third of what is possible: an
+    unlabelled sample holds toxic documents too, so it is 1 / prior at most (most_lift where that is more).
+    """
     train = (fold("id", folds) != held) & F.col("id").isNotNull()
-    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(train & F.col("y").isin(0, 1)).distinct()
+    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(train & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
     toxic, all_known = known.agg(F.sum("y"), F.count("*")).first()
     if not toxic:
         return None
-    total = docs.select(F.col(key).alias("id")).where(train).count()
-    # Among the unlabelled: the expected toxic documents but those that are confirmed.
-    prior = min(0.5, max(1e-3, (toxic / all_known * total - toxic) / max(1, total - toxic)))
+    prior = min(0.5, max(1e-3, toxic / all_known))
     confirmed = some_ids(known.where("y = 1").select("id"), most, "id").withColumn("confirmed", F.lit(True))
-    others = docs.select(F.col(key).alias("id")).where(train).join(F.broadcast(confirmed.select("id")), "id", "left_anti")
-    others = some_ids(others, most, "id").distinct().withColumn("confirmed", F.lit(False))
-    wanted = F.broadcast(cut(confirmed.union(others), "sample"))  # at most 2 x most ids
+    others = some_ids(docs.select(F.col(key).alias("id")).where(train), most, "id").distinct().withColumn("confirmed", F.lit(False))
+    sample = cut(confirmed.union(others), "sample")
+    wanted = F.broadcast(sample)  # at most 2 x most ids
 
     def featurize(batches):
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "confirmed": b["confirmed"], "found": [[f for w in set((t or "").lower().split()) for f in features_of_word(w)] for t in b["text"]]})
 
-    # Exact copies count once.
     kind = docs.schema[key].dataType.simpleString()
-    rows = cut(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").dropDuplicates(["text", "confirmed"]).limit(2 * most).mapInPandas(featurize, f"id {kind}, confirmed boolean, found array<long>"), "features")
+    joined = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id")
+    one = joined.groupBy("id", "confirmed").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    distinct = one.groupBy("text", "confirmed").agg(F.min("id").alias("id"))  # exact copies count once
+    rows = cut(distinct.mapInPandas(featurize, f"id {kind}, confirmed boolean, found array<long>"), "features")
+    drop(sample)
     n_pos, n_all = rows.agg(F.count_if("confirmed"), F.count("*")).first()
     counts = rows.select("confirmed", F.explode(F.array_distinct("found")).alias("f")).groupBy("f").agg(F.count_if("confirmed").alias("pos"), F.count("*").alias("all"))
     # How much more often in confirmed documents than in others, for features that are not chance finds.
     others_share = (F.col("all") - F.col("pos") + 1) / F.lit(n_all - n_pos + 2)
-    # Unlabelled documents hold toxic ones too, so a telling feature is at most 1 / prior as frequent in confirmed ones;
-    # what chance may bring among so many features is kept out by its standard score.
     expected = others_share * n_pos
     score, lift = (F.col("pos") - expected) / F.sqrt(expected), F.col("pos") / expected
-    places = {r.f: i for i, r in enumerate(counts.where((F.col("pos") >= max(5, n_pos // 200)) & (lift >= 1 + (1 / prior - 1) / 3) & (score >= 6)).orderBy(score.desc(), "f").limit(chosen).collect())}
+    telling = (F.col("pos") >= max(least_documents, int(n_pos * least_share))) & (lift >= 1 + (min(1 / prior, most_lift) - 1) / 3) & (score >= least_score)
+    places = {r.f: i for i, r in enumerate(counts.where(telling).orderBy(score.desc(), "f").limit(chosen).collect())}
 
     def reduced(batches):
         for b in batches:
