@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import shingle_links
-from .common import cut, drop, table
+from .common import cut, drop, join_hot, table
 from .components import components
 from .shingles import fingerprint_of
 
@@ -112,10 +112,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         drop(classes, first, wide)
         classes = wider
     first = _first(classes).select("root", F.col("key").alias("component_id"), F.col("fp").alias("first"))
-    by_print = cut(classes.join(first, "root").select("fp", "component_id", (F.col("fp") == F.col("first")).alias("first")), "by-print")
+    by_print = cut(join_hot(classes, first, "root").select("fp", "component_id", (F.col("fp") == F.col("first")).alias("first")), "by-print")
     drop(classes)
     kept = F.coalesce(F.col("first") & (F.col("key") == F.col("component_id")), F.lit(False))
-    return own.select("key", "fp").join(by_print, "fp").select(F.col("key").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"))
+    return join_hot(own.select("key", "fp"), by_print, "fp").select(F.col("key").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"))
 
 
 def _first(classes: DataFrame) -> DataFrame:
