@@ -37,8 +37,8 @@ def halves(v: np.ndarray, n: np.ndarray) -> np.ndarray | None:
     return None
 
 
-def two_normals(v: np.ndarray, n: np.ndarray) -> dict | None:
-    """Two weighted normals by expectation maximisation from a median split; the likelihood is that of the round before the last update."""
+def two_normals(v: np.ndarray, n: np.ndarray, trace: list | None = None) -> dict | None:
+    """Two weighted normals by expectation maximisation from a median split; the likelihood is that of the round before the last update. trace: gets (likelihood, means after it) of each round."""
     low = halves(v, n)
     if low is None:
         return None
@@ -58,6 +58,8 @@ def two_normals(v: np.ndarray, n: np.ndarray) -> dict | None:
         both = np.logaddexp(*parts)
         now = float((n * both).sum())
         weight, mean, sigma = update(np.exp(parts - both))
+        if trace is not None:
+            trace.append((now, *mean.tolist()))
         if abs(now - before) < TOLERANCE * max(1.0, abs(before)):
             break
         before = now
@@ -86,6 +88,22 @@ def fits(df: DataFrame, by: str, value: str) -> DataFrame:
     return each.groupBy("g").applyInPandas(fit, f"g {kind}, n long, lo double, hi double, mean double, sigma double, ll1 double, " + ", ".join(f"{k} double" for k in FIT))
 
 
+def fit_rounds(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(g, round, ll, m0, m1): how each group's fit went, a row per round from 1."""
+    each = counted(df, by, value)
+    kind = each.schema["g"].dataType.simpleString()
+
+    def rounds(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, trace = frame.sort_values("v"), []
+        v, n = frame["v"].to_numpy(), frame["n"].to_numpy().astype(float)
+        if n.sum() >= 3 and v[0] < v[-1]:
+            two_normals(v, n, trace)
+        out = pd.DataFrame(trace, columns=["ll", "m0", "m1"]).astype(float)
+        return out.assign(g=frame["g"].iloc[0], round=range(1, len(out) + 1))[["g", "round", "ll", "m0", "m1"]]
+
+    return each.groupBy("g").applyInPandas(rounds, f"g {kind}, round int, ll double, m0 double, m1 double")
+
+
 def mixture_calls(df: DataFrame, by: str, value: str) -> DataFrame:
     """A row per group: g, n_total, n_positive, percent_positive, threshold (infinite if there is no positive population), bimodal, delta_bic, ashman_d, note and the fit."""
     f = fits(df, by, value)

@@ -8,12 +8,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import kernels
+from ..functions import codecs, kernels
 
 #: Thresholds in percent; the share of a true object that an overlap must have to claim it.
 PERCENTS, CLAIM = tuple(range(50, 100, 5)), 0.25
 
 
+def decode_colours(a: np.ndarray) -> np.ndarray:
+    """Objects of a coloured mask: components within each non-zero colour, numbered colour after colour."""
+    a = a[..., 0] if a.ndim == 3 else a
+    parts = kernels.components(a)
+    names = [parts[a == c] for c in np.unique(a[a != 0])]
+    order = [n for x in names for n in np.unique(x)]
+    lut = np.zeros(int(parts.max(initial=0)) + 1, np.int32)
+    lut[order] = np.arange(1, len(order) + 1)
+    return lut[parts]
+
+
+def held_against(analyzed: DataFrame, masks: DataFrame, keep: str = "path", mask: str = "mask", least: int = 0) -> DataFrame:
+    """Analysed images (with planes) and coloured masks of the same key to a row per image and parameter set: image, params, n_pred, n_true, pairs. Images without a mask, with an error or a mask of another size drop out. least: smaller true objects are left out."""
+    kind = analyzed.schema[keep].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, params, width, height, plane, raw in zip(b["image"], b["params"], b["width"], b["height"], b["plane"], b["mask"], strict=True):
+                true = kernels.relabel(kernels.drop_small(decode_colours(codecs.read(bytes(raw))[0]), least))
+                if true.shape != (height, width):
+                    continue
+                pred = np.frombuffer(plane, "<i4").reshape(height, width)
+                both, n = np.unique(np.stack([pred[(pred > 0) & (true > 0)], true[(pred > 0) & (true > 0)]]), axis=1, return_counts=True)
+                areas = np.bincount(pred.ravel()), np.bincount(true.ravel())
+                pairs = [{"pred": p, "truth": t, "n": k, "iou": k / (areas[0][p] + areas[1][t] - k), "truth_area": areas[1][t]} for p, t, k in zip(*both.tolist(), n.tolist(), strict=True)]
+                rows.append((key, params, int(pred.max(initial=0)), int(true.max(initial=0)), pairs))
+            if rows:
+                yield pd.DataFrame(rows, columns=["image", "params", "n_pred", "n_true", "pairs"])
+
+    both = analyzed.where("label_plane is not null").join(masks.select(keep, F.col(mask).alias("mask")), keep)
+    return both.select(F.col(keep).alias("image"), "params", "width", "height", F.col("label_plane").alias("plane"), "mask").mapInPandas(run, f"image {kind}, params string, n_pred int, n_true int, pairs array<struct<pred:int,truth:int,n:long,iou:double,truth_area:long>>")
+
+
+def score_sets(held: DataFrame) -> DataFrame:
+    """What held_against() makes to a row of figures per parameter set: images, counts and their error, F1 at 50 percent, mean F1, splits and merges. Totals over images come first, ratios after."""
+    one = held.withColumn("image", F.concat_ws("#", "params", "image"))
+    counts, pairs = one.select("image", "params", "n_pred", "n_true"), one.select("image", F.explode("pairs").alias("p")).select("image", "p.*")
+    wrong, by = split_merge(pairs, counts), by_threshold(matched(pairs), counts)
+    f1 = by.join(counts.select("image", "params"), "image").groupBy("params", "percent").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    f1 = f1.withColumn("f1", C.f1(F.col("tp"), F.col("fp"), F.col("fn"))).groupBy("params").agg(F.max(F.when(F.col("percent") == 50, F.col("f1"))).alias("f1_50"), F.avg("f1").alias("mean_f1"))
+    n = counts.join(wrong, "image").groupBy("params").agg(F.count("*").alias("images"), F.sum("n_pred").alias("predicted"), F.sum("n_true").alias("true_objects"), F.sum(F.col("n_pred") - F.col("n_true")).alias("count_error"), F.sum("split").alias("split_errors"), F.sum("merge").alias("merge_errors"))
+    return n.join(f1, "params")
+
+
 def overlaps(px: DataFrame) -> DataFrame:
     """(image, pred, truth) labels per pixel to (image, pred, truth, n), background left out: sparse, however many objects."""
     return px.where("pred > 0 and truth > 0").groupBy("image", "pred", "truth").agg(F.count("*").alias("n"))

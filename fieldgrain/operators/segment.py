@@ -30,6 +30,7 @@ class SegmentParams:
     seeding: str = "h_maxima"
     seed_depth: float = 1.0
     peak_min_distance: float = 9
+    refine_band: int = 0  # kept for comparison, like seeding "adaptive"
     engine: str = "classical"
 
 
@@ -94,6 +95,8 @@ def classical(plane: np.ndarray, p: SegmentParams) -> Segmentation:
         return Segmentation(np.zeros(plane.shape, np.int32), None, p.method, False)
     mask = build_mask(work, t, p.cleanup_radius, p.min_size)
     labels = kernels.separate(mask, p.seeding, p.seed_depth, p.peak_min_distance) if p.watershed else kernels.components(mask)
+    if p.refine_band > 0:
+        labels = kernels.refine(labels, work, p.refine_band)
     return Segmentation(kernels.relabel(kernels.drop_small(labels, p.min_size)), t, p.method, p.watershed)
 
 

@@ -63,6 +63,43 @@ def _drawn(spark, names):
     return spark.createDataFrame([(p, bytearray(c), n, k) for p, c, n, k in synthetic.rows(names)], "path string, content binary, drawn int, drawn_positive int").repartition(spark.sparkContext.defaultParallelism, "path")
 
 
+def _held(spark, names, params):
+    """Drawn fields from PNG bytes through segmentation, against their coloured masks."""
+    masks = spark.createDataFrame([(p, bytearray(m)) for p, m in synthetic.masks(names)], "path string, mask binary")
+    return scoring.held_against(segment.analyze(_drawn(spark, names), params, planes=True), masks)
+
+
+@query(_truth_sql(("easy", "moderate", "marker_pair"), "CAST(count(*) AS BIGINT) AS images, CAST(sum(n) AS BIGINT) AS predicted, CAST(sum(n) AS BIGINT) AS true_objects, 0 AS count_error, 0 AS split_errors, 0 AS merge_errors, 1.0 AS f1_50"))
+def segmented_score(spark, sf_dir):
+    """Image and coloured mask to scores: 512 x 512 fields, touching objects among them, have all their objects found."""
+    return scoring.score_sets(_held(spark, ("easy", "moderate", "marker_pair"), segment.SegmentParams(channel="blue"))).select("images", "predicted", "true_objects", "count_error", "split_errors", "merge_errors", R("f1_50"))
+
+
+@query()
+def grid_search_f1(spark, sf_dir):
+    """Parameter sets by F1 on drawn fields, the best first, each image decoded once: all sets in one job."""
+    grid = segment.grid(channel=["blue"], watershed=[True, False], seed_depth=[0.5, 1.0, 2.0], smoothing_sigma=[0.6, 1.5])
+    found = scoring.score_sets(_held(spark, ("moderate", "difficult"), grid))
+    return found.orderBy(F.desc(F.round("mean_f1", 6)), "params").limit(5).select("params", R("f1_50"), R("mean_f1"), "count_error", "split_errors", "merge_errors")
+
+
+ABLATIONS = {"as it is": {}, "no watershed": {"watershed": False}, "peaks": {"seeding": "peaks"}, "adaptive seeds": {"seeding": "adaptive"}, "refined borders": {"refine_band": 2}, "no smoothing": {"smoothing_sigma": 0.0}, "no stretch": {"normalize": False}}
+
+
+@query()
+def ablation(spark, sf_dir):
+    """Each step left out or replaced: what it does to F1 and counts on touching and on difficult fields."""
+    found = scoring.score_sets(_held(spark, ("moderate", "difficult"), {n: segment.SegmentParams(channel="blue", **p) for n, p in ABLATIONS.items()}))
+    return found.select(F.col("params").alias("variant"), "images", R("f1_50"), R("mean_f1"), "count_error", "split_errors", "merge_errors")
+
+
+@query(_truth_sql(("easy", "moderate"), "path, CAST(10 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS thresholds, CAST(1 AS BIGINT) AS masks, CAST(n AS BIGINT) AS objects"))
+def determinism(spark, sf_dir):
+    """Ten analyses of each image: one threshold, one label plane, the drawn count."""
+    found = segment.analyze(_drawn(spark, ("easy", "moderate")), {f"run {n}": segment.SegmentParams(channel="blue") for n in range(10)}, planes=True)
+    return found.groupBy("path").agg(F.count("*").alias("runs"), F.count_distinct("threshold").alias("thresholds"), F.count_distinct(F.sha2("label_plane", 256)).alias("masks"), F.max("n_objects").alias("objects"))
+
+
 @query()
 def count_error_grid(spark, sf_dir):
     """Parameter sets by mean relative count error on drawn images, the best first: all sets in one job, each image decoded once."""

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import measure, planes, segment
+from ..operators import measure, planes, scoring, segment
 from ..sources import images as sources
 from .catalog import PX, patches, query, quadrant, quadrant_sql, table
 
@@ -107,20 +107,9 @@ def connected_components(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda a: kernels.components(a > CUT), "int").where("v > 0").withColumnRenamed("v", "label")
 
 
-def decode_colours(a: np.ndarray) -> np.ndarray:
-    """Objects of a coloured mask: components within each non-zero colour, numbered colour after colour."""
-    a = a[..., 0] if a.ndim == 3 else a
-    parts = kernels.components(a)
-    names = [parts[a == c] for c in np.unique(a[a != 0])]
-    order = [n for x in names for n in np.unique(x)]
-    lut = np.zeros(int(parts.max(initial=0)) + 1, np.int32)
-    lut[order] = np.arange(1, len(order) + 1)
-    return lut[parts]
-
-
 @query(f"WITH RECURSIVE {CC.format(value=COLOURS)} SELECT roots.image, CAST(roots.i // 8 AS INT) AS y, CAST(roots.i % 8 AS INT) AS x, CAST(dense_rank() OVER (PARTITION BY roots.image ORDER BY c, root) AS INT) AS label FROM roots JOIN on_ ON roots.image = on_.image AND roots.i = on_.i")
 def decode_colored_mask(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda a: decode_colours((a > 0.12).astype(int) + (a > 0.02)), "int").where("v > 0").withColumnRenamed("v", "label")
+    return _kernel(spark, sf_dir, lambda a: scoring.decode_colours((a > 0.12).astype(int) + (a > 0.02)), "int").where("v > 0").withColumnRenamed("v", "label")
 
 
 @query(f"WITH RECURSIVE {CC.format(value=ON)}, sized AS (SELECT *, count(*) OVER (PARTITION BY image, root) AS n FROM roots) SELECT image, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, CAST(dense_rank() OVER (PARTITION BY image ORDER BY root) AS INT) AS label FROM sized WHERE n >= 3")

@@ -60,6 +60,12 @@ def one_component_fit(spark, sf_dir):
     return g.select("g", "n", R("mean", 4), F.round(F.greatest("sd", F.lit(C.LEAST_SIGMA)), 4).alias("sigma"), F.round(C.bic(F.col("n"), C.one_normal_loglik(F.col("n"), F.col("sd"), F.col("var")), 1), 2).alias("bic"))
 
 
+@query(f"WITH RECURSIVE {em_sql()} SELECT g, k AS round, round(ll, 2) AS ll, round(m0, 3) AS m0, round(m1, 3) AS m1 FROM em WHERE k > 0")
+def fit_rounds(spark, sf_dir):
+    """Likelihood and means of every round of each group's fit."""
+    return positivity.fit_rounds(population(spark, sf_dir), "grp", "value").select("g", "round", R("ll", 2), R("m0", 3), R("m1", 3))
+
+
 OTSU = """each AS (SELECT event_type, value AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
 run AS (SELECT event_type, v, lead(v) OVER w AS nx, sum(n) OVER u AS b, sum(n * v) OVER u AS s, sum(n) OVER (PARTITION BY event_type) AS t, sum(n * v) OVER (PARTITION BY event_type) AS a, max(v) OVER (PARTITION BY event_type) - min(v) OVER (PARTITION BY event_type) AS r FROM each WINDOW w AS (PARTITION BY event_type ORDER BY v), u AS (PARTITION BY event_type ORDER BY v ROWS UNBOUNDED PRECEDING)),
 best AS (SELECT event_type, (v + nx) / 2 AS threshold FROM run WHERE nx IS NOT NULL AND t >= 3 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(CAST(b AS DOUBLE) / t * (CAST(t - b AS DOUBLE) / t) * pow((s / b - (a - s) / (t - b)) / r, 2), 9) DESC, v) = 1)"""

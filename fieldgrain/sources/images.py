@@ -24,6 +24,14 @@ def split_stems(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(stem(F.trim("value")).alias("stem")).where("stem <> ''")
 
 
+def listed_stems(spark: SparkSession, path: str, files: DataFrame, ending: str = ".tif") -> DataFrame:
+    """Stems of a listing, or of all files (path) of that ending, in order, where there is no listing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return split_stems(spark, path)
+    return files.where(F.endswith(F.lower("path"), F.lit(ending))).select(stem(F.col("path")).alias("stem")).orderBy("stem")
+
+
 def pair_with_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
     """stem, content, mask: images with a mask of the same stem; others drop out."""
     return images.select(stem(F.col("path")).alias("stem"), "content").join(masks.select(stem(F.col("path")).alias("stem"), F.col("content").alias("mask")), "stem")

@@ -123,6 +123,9 @@ def test_readers(spark, tmp_path):
     assert len(p) == 96 and p["A", 1] == 0 and p["A", 12] == 11 and p["B", 1] == 12 and p["H", 12] == 95
     (tmp_path / "split.txt").write_text("a.tif\n\nfolder/b.png\n")
     assert sorted(r.stem for r in images.split_stems(spark, str(tmp_path / "split.txt")).collect()) == ["a", "b"]
+    files = spark.createDataFrame([("f/b.tif",), ("f/a.TIF",), ("f/c.png",)], "path string")
+    assert [r.stem for r in images.listed_stems(spark, str(tmp_path / "none.txt"), files).collect()] == ["a", "b"]
+    assert sorted(r.stem for r in images.listed_stems(spark, str(tmp_path / "split.txt"), files).collect()) == ["a", "b"]
     (tmp_path / "truth.json").write_text('{"x.png": 3, "y.png": {"n": 1}}')
     assert {r.file: r.truth for r in images.truth_counts(spark, str(tmp_path / "truth.json")).collect()} == {"x.png": "3", "y.png": '{"n":1}'}
     wells = spark.createDataFrame([("f/Channel1-01-A-03.BMP", b"1"), ("f/Channel2-01-A-03.BMP", b"2"), ("f/other.BMP", b"3")], "path string, content binary")
