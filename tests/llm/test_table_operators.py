@@ -143,6 +143,7 @@ def test_links_in_crowded_blocks(spark):
 
 def test_no_vectors(spark):
     check_links(spark, [None, [0.0, 0.0]])
+    assert embedding_links.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
 # ---- the pipeline
@@ -175,6 +176,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert again.columns == packed.columns and again.count() > 0
 
 
+def test_pipeline_on_no_rows(spark):
+    import corpus_pipeline as p
+    from fieldgrain.llm import common
+
+    docs = common.table(spark, DATA, "documents").where("false")
+    for _, step in p.STAGES:
+        docs = common.cut(step(spark, docs, DATA), "test")
+        assert docs.count() == 0
+
+
 def stay(texts):
     """Ids that the second stage keeps: the least of each component of all pairs with equal or similar sets of five-word shingles (0.8)."""
     ids = sorted(texts)

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fieldgrain.llm import common, decontaminate, language, packing, quality, secrets_scan, simhash, token_counts, toxicity
 
@@ -303,6 +304,74 @@ def test_language(spark, corpus, empty):
     assert model.labels[int(whole.argmax())] == "en" and whole.sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_batches_of_windows_are_a_plain_loop():
+    """label() against a GRU that reads each window byte by byte, a text at a time."""
+    rng = np.random.default_rng(1)
+    m = language.ByteGru(["a", "b", "c"], 4)
+    squash = lambda a: a / (1 + np.abs(a))
+
+    def states(raw, d):
+        h, out = np.zeros(m.h), []
+        for c in raw:
+            gates = 0.5 + 0.5 * squash(m.p["xg" + d][c] + h @ m.p["ug" + d])
+            new = squash(m.p["xn" + d][c] + (gates[: m.h] * h) @ m.p["un" + d])
+            h = gates[m.h :] * h + (1 - gates[m.h :]) * new
+            out.append(h)
+        return out
+
+    def slow(text):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), 64):
+            w = raw[at : at + 64]
+            for f, b in zip(states(w, "f"), states(w[::-1], "b")[::-1], strict=True):
+                e = np.exp(np.concatenate([f, b]) @ m.p["o"] + m.p["b"])
+                total += e / e.sum()
+        return total / max(1, len(raw))
+
+    texts = [prose(rng, 40), "", "é", "x" * 64, "y" * 65, prose(rng, 200, "de")]
+    assert np.allclose(m.label(texts), [slow(t) for t in texts], atol=1e-4)
+
+
+def test_ranker_against_plain_gradient():
+    """The fitted weights are where the pairwise loss, written out, has no slope; scores order what it was taught."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(300, 3)), np.zeros(300, int)
+    x[:, 0] = np.abs(x[:, 0]) + 2
+    y[x[:, 1] - 0.5 * x[:, 2] + rng.normal(scale=0.5, size=300) > 0] = 1
+    m = quality.PairwiseRanker(x, y, 0.3, pairs=300, l2=1e-2, seed=5)
+    z, draw = quality.expand(x, m.middle, m.spread), np.random.default_rng(5)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = z[draw.choice(good, 300)] - z[draw.choice(bad, 300)]
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(row @ w))) for row in d) / len(d) + 0.5 * 1e-2 * (w @ w)
+
+    slope = [(loss(m.w + e) - loss(m.w - e)) / 2e-4 for e in np.eye(len(m.w)) * 1e-4]
+    assert np.abs(slope).max() < 1e-4
+    s = m.score(x)
+    assert np.mean([s[a] > s[b] for a in good[:60] for b in bad[:60]]) > 0.9
+
+
+def test_positive_unlabelled_risk_by_finite_differences(monkeypatch):
+    """One step of the fit goes against the slope of the risk as the method defines it, on either side of zero."""
+    rows, confirmed = [[0], [0, 1], [0, 0, 1], [1], [], [1, 1], [0], []], np.array([True, True, True] + [False] * 5)
+    x = np.array([[min(r.count(i), toxicity.MOST) for i in range(2)] for r in rows], float)
+
+    def risk(w, b, prior):
+        p, u = (1 / (1 + np.exp(-(x[own] @ w + b))) for own in (confirmed, ~confirmed))
+        clean = -np.log(1 - u).mean() + prior * np.log(1 - p).mean()
+        return (prior * -np.log(p).mean() + clean) if clean >= 0 else -clean
+
+    for prior in (0.1, 0.49):
+        b0 = np.log(prior / (1 - prior))
+        slope = [(risk(np.array(e[:2]), b0 + e[2], prior) - risk(-np.array(e[:2]), b0 - e[2], prior)) / 2e-5 for e in np.eye(3) * 1e-5]
+        m = toxicity.NonNegativePU(rows, confirmed, 2, prior, steps=1, rate=1e-3, l2=0)
+        moved = np.array([*m.w, m.b - b0])
+        for got, g in zip(moved, slope, strict=True):
+            assert abs(g) < 1e-7 or abs(got) < 1e-9 or np.sign(got) == -np.sign(g)
+        assert moved[2] != 0 and all(w >= 0 for w in m.w)
+
+
 # ---- 7: secrets
 
 
@@ -402,6 +471,25 @@ def test_random_token_without_keyword_is_added(spark):
     assert clean[900] == "the [secret] of" and clean[901] == "[secret]" and clean[902] == dict(rows)[902] and clean[None].endswith(" [secret]") and len(clean) == len(rows)
 
 
-@pytest.mark.parametrize("run", [lambda e: simhash.near_duplicates(e), lambda e: packing.pack(e), lambda e: token_counts.count_tokens(e)])
+@pytest.mark.parametrize("run", [lambda e: simhash.near_duplicates(e), lambda e: simhash.near_duplicates(e, words=5, similarity=0.8), lambda e: packing.pack(e), lambda e: token_counts.count_tokens(e)])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+def test_labels_that_conflict_or_repeat(spark, corpus):
+    """Repeated ids with other texts and conflicting labels: the same scores each time."""
+    rows, df, labels = corpus
+    more = df.union(df.where("doc_id < 40").withColumn("text", F.lit("### other text |||")))
+    conflicting = labels.union(labels.where("doc_id < 20").withColumn("quality", 1 - F.col("quality")))
+    runs = [sorted((r.doc_id or -1, r.score) for r in quality.rate(d.repartition(n), conflicting).select("doc_id", "score").collect()) for d, n in ((more, 2), (more, 5))]
+    assert [k for k, _ in runs[0]] == [k for k, _ in runs[1]] and np.allclose([v for _, v in runs[0]], [v for _, v in runs[1]])
+    short = {r.text: r.score for r in quality.rate(spark.createDataFrame([(i, t) for i, t in enumerate(["###", "word", "", None])], "doc_id long, text string").union(df.select("doc_id", "text")), labels).select("text", "score").collect()}
+    assert short["###"] < 0.3 and short["###"] < short["word"] and short[""] == short[None]
+
+
+def test_tables_are_dropped(spark, corpus):
+    """Of what a run writes only what its lazy result reads is left, and sweep() takes that."""
+    rows, df, _ = corpus
+    common.sweep(spark)
+    simhash.near_duplicates(df).count()
+    assert common.sweep(spark) <= 4 and common.sweep(spark) == 0
