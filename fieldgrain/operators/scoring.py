@@ -59,16 +59,21 @@ def score_sets(held: DataFrame) -> DataFrame:
     return n.join(f1, "params")
 
 
+def joint(px: DataFrame) -> DataFrame:
+    """(image, pred, truth) labels per pixel to (image, pred, truth, n), background with them: the only pass over the pixels, sparse however many objects. An image's rows are in one partition, so that all that follows needs no further shuffle."""
+    return px.groupBy("image", "pred", "truth").agg(F.count("*").alias("n")).repartition("image")
+
+
 def overlaps(px: DataFrame) -> DataFrame:
-    """(image, pred, truth) labels per pixel to (image, pred, truth, n), background left out: sparse, however many objects."""
-    return px.where("pred > 0 and truth > 0").groupBy("image", "pred", "truth").agg(F.count("*").alias("n"))
+    """joint() without background."""
+    return joint(px).where("pred > 0 and truth > 0")
 
 
 def ious(px: DataFrame) -> DataFrame:
     """(image, pred, truth, n, pred_area, truth_area, iou) of every overlapping pair."""
-    area = lambda c: px.where(F.col(c) > 0).groupBy("image", c).agg(F.count("*").alias(f"{c}_area"))
-    joined = overlaps(px).join(area("pred"), ["image", "pred"]).join(area("truth"), ["image", "truth"])
-    return joined.withColumn("iou", F.col("n") / (F.col("pred_area") + F.col("truth_area") - F.col("n")))
+    area = lambda c: F.sum("n").over(Window.partitionBy("image", c))
+    whole = joint(px).withColumns({"pred_area": area("pred"), "truth_area": area("truth")}).where("pred > 0 and truth > 0")
+    return whole.withColumn("iou", F.col("n") / (F.col("pred_area") + F.col("truth_area") - F.col("n")))
 
 
 def matched(pairs: DataFrame, image: str = "image") -> DataFrame:
@@ -103,7 +108,8 @@ def matched(pairs: DataFrame, image: str = "image") -> DataFrame:
 
 def object_counts(px: DataFrame) -> DataFrame:
     """(image, n_pred, n_true), also of images without objects."""
-    return px.groupBy("image").agg(F.count_distinct(F.when(F.col("pred") > 0, F.col("pred"))).alias("n_pred"), F.count_distinct(F.when(F.col("truth") > 0, F.col("truth"))).alias("n_true"))
+    there = lambda c: F.size(F.collect_set(F.when(F.col(c) > 0, F.col(c))))
+    return joint(px).groupBy("image").agg(there("pred").cast("long").alias("n_pred"), there("truth").cast("long").alias("n_true"))
 
 
 def count_errors(counts: DataFrame) -> DataFrame:
@@ -125,17 +131,21 @@ def by_threshold(matches: DataFrame, counts: DataFrame, image: str = "image") ->
     return long.select(image, "s.percent", "s.tp", (F.col("n_pred") - F.col("s.tp")).alias("fp"), (F.col("n_true") - F.col("s.tp")).alias("fn"))
 
 
-def dataset(scores: DataFrame, matches: DataFrame, errors: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row of figures: totals over all images at each threshold first, ratios after."""
-    tot = scores.groupBy("percent").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
-    tot = tot.select("percent", C.f1(tp, fp, fn).alias("f1"), F.coalesce(C.ratio(tp, tp + fp), F.lit(0.0)).alias("precision"), F.coalesce(C.ratio(tp, tp + fn), F.lit(0.0)).alias("recall"), F.coalesce(C.ratio(tp, tp + fp + fn), F.lit(0.0)).alias("ap"))
-    at = lambda c, p: F.max(F.when(F.col("percent") == p, F.col(c)))
-    one = tot.agg(at("f1", 50).alias("f1_50"), at("precision", 50).alias("precision_50"), at("recall", 50).alias("recall_50"), at("f1", 75).alias("f1_75"), F.avg("ap").alias("average_precision"), F.avg("f1").alias("mean_f1"))
-    iou = matches.agg(F.avg("iou").alias("mean_matched_iou"))
-    wrong = errors.agg(F.sum("split").alias("split_errors"), F.sum("merge").alias("merge_errors"))
-    n = counts.agg(F.count("*").alias("images"), F.sum("n_pred").alias("predicted"), F.sum("n_true").alias("true_objects"), F.sum(F.col("n_pred") - F.col("n_true")).alias("count_error"), F.avg(F.when(F.col("n_true") > 0, F.abs(F.col("n_pred") - F.col("n_true")) / F.col("n_true"))).alias("count_mape"))
-    return n.join(one).join(iou).join(wrong)  # one row each
+def dataset(matches: DataFrame, errors: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row of figures: totals over all images at each threshold first, ratios after. matches, errors (split, merge) and counts meet once, per image."""
+    hits = matches.groupBy("image").agg(F.count("*").alias("n"), F.sum("iou").alias("iou"), *[F.count_if(F.col("iou") >= p / 100).alias(f"t{p}") for p in PERCENTS])
+    each = counts.join(hits, "image", "left").join(errors, "image", "left")
+    total = each.agg(
+        F.count("*").alias("images"), F.sum("n_pred").alias("predicted"), F.sum("n_true").alias("true_objects"), F.sum(F.col("n_pred") - F.col("n_true")).alias("count_error"),
+        F.avg(F.when(F.col("n_true") > 0, F.abs(F.col("n_pred") - F.col("n_true")) / F.col("n_true"))).alias("count_mape"), C.ratio(F.sum("iou"), F.sum("n")).alias("mean_matched_iou"),
+        F.sum("split").alias("split_errors"), F.sum("merge").alias("merge_errors"), *[F.coalesce(F.sum(f"t{p}"), F.lit(0)).alias(f"t{p}") for p in PERCENTS],
+    )
+    at = {p: (F.col(f"t{p}"), F.col("predicted") - F.col(f"t{p}"), F.col("true_objects") - F.col(f"t{p}")) for p in PERCENTS}
+    share = lambda part, *rest: F.coalesce(C.ratio(part, sum(rest, part)), F.lit(0.0))
+    mean = lambda of: sum(of(*v) for v in at.values()) / len(at)
+    tp, fp, fn = at[50]
+    figures = {"f1_50": C.f1(tp, fp, fn), "precision_50": share(tp, fp), "recall_50": share(tp, fn), "f1_75": C.f1(*at[75]), "average_precision": mean(share), "mean_f1": mean(C.f1)}
+    return total.withColumns(figures).drop(*[f"t{p}" for p in PERCENTS])
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:

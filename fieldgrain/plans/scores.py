@@ -64,9 +64,7 @@ round(max(2.0 * tp / (2 * tp + fp + fn)) FILTER (percent = 50), 6) AS f1_50, rou
 def dataset_score(spark, sf_dir):
     px = _planes(spark, sf_dir)
     pairs, counts = scoring.ious(px), scoring.object_counts(px)
-    matches = scoring.matched(pairs)
-    out = scoring.dataset(scoring.by_threshold(matches, counts), matches, scoring.split_merge(pairs, counts), counts)
-    return out.select("images", "predicted", "true_objects", "count_error", "split_errors", "merge_errors", *map(R, ("count_mape", "f1_50", "precision_50", "recall_50", "f1_75", "average_precision", "mean_f1", "mean_matched_iou")))
+    return scoring.dataset(scoring.matched(pairs), scoring.split_merge(pairs, counts), counts).select("images", "predicted", "true_objects", "count_error", "split_errors", "merge_errors", *map(R, ("count_mape", "f1_50", "precision_50", "recall_50", "f1_75", "average_precision", "mean_f1", "mean_matched_iou")))
 
 
 @query("""WITH g AS (SELECT a.i AS low, b.i AS high FROM (SELECT CAST(unnest(range(4)) AS INT) AS i) a, (SELECT CAST(unnest(range(4)) AS INT) AS i) b), s AS (SELECT low, high, low * 4 + high AS place, avg(abs(n - 12)) AS score FROM (SELECT low, high, vec_id, (SELECT count(*) FROM (SELECT unnest(embedding) AS v) WHERE v > 0.05 * low AND v <= 0.2 + 0.05 * high) AS n FROM embeddings, g) GROUP BY ALL)
