@@ -1,16 +1,19 @@
 """Links by the Jaccard similarity of word shingles, decided exactly: the wide part of operator 1 (see simhash.near_duplicates).
 
 Fingerprints of documents with a similarity of 0.8 are some ten bits apart, too far for grids over them. So what the
-fingerprints leave apart meets by prefix filtering: shingles are put in one order for all documents, the ones that a
-bounded sample holds often last. Two sets of the wanted similarity share a shingle among the first
-n - ceil(similarity x n) + 1 of either, so an equi-join of these prefixes meets every pair that links, whatever the order;
-the sample only keeps common shingles out of prefixes. A pair that is tried passes a bound first: shingles are dealt to
+fingerprints leave apart meets by prefix filtering: shingles are put in one order for all documents. Two sets of the
+wanted similarity share a shingle among the first n - ceil(similarity x n) + 1 of either, so an equi-join of these
+prefixes meets every pair that links, whatever the order. The order keeps shingles that many documents hold out of the
+prefixes: those that a bounded sample holds often come last, and before them those whose hash falls into a crowded slot.
+Slots (CROWDED of them, whatever the size of the corpus) are marked from counts over all prefixes, and prefixes that
+held crowded shingles are made anew, a few times. So passages that unlike documents share make no pairs, unless a
+document holds little else. A pair that is tried passes a bound first: shingles are dealt to
 as many classes as the set has shingles (the next power of two), and the parities of their counts differ in no more
 classes than the sets differ in shingles. What passes is decided on the whole sets, read again from the texts, so links
 are neither missed nor made up (64-bit hashes stand for shingles).
 
 A cell is a shingle with the documents whose prefix holds it. Cells of shingles that the sample holds often may be of any
-size: their counts and centres are aggregated before their shuffle, and are few enough to be broadcast (bound: `most`).
+size: their counts and centres are aggregated before their shuffle, and are few enough to be broadcast (bound: MOST).
 In a crowded cell not all pairs are made: each member is tried against two members, others in each cell, and the
 components of those links are taken; afterwards only pairs from different components are tried, and none where a cell
 holds one component only. A pair's sets share what their prefixes share and at most one set's rest, so these pairs are
@@ -23,6 +26,8 @@ by their fingerprints only. Repeated rows are one node. Empty table: no rows. Te
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,8 +37,8 @@ from .common import cut, drop, may_hold, some_ids, without
 from .components import components
 from .shingles import digests, print_of
 
-#: Classes of a sketch at least.
-SKETCH = 256
+#: Classes of a sketch at least. Slots for crowded shingles, and the documents that crowd one. Shingles that the sample ranks.
+SKETCH, CROWDED, CROWD, MOST = 256, 1 << 22, 8, 100_000
 
 
 def shingles_of(hashes: np.ndarray) -> np.ndarray:
@@ -41,13 +46,30 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes.reshape(-1).view(np.int64))
 
 
-def in_order(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, int]:
-    """By (count in the sample, hash), and how many of them the sample does not hold often. common: sorted hashes, often: their counts."""
-    if not len(common):
-        return shingles, len(shingles)
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    count = np.where(common[at] == shingles, often[at], 0)
-    return shingles[np.argsort(count, kind="stable")], int((count == 0).sum())
+@dataclass
+class Order:
+    """The order of shingles: by their count in the sample (common: sorted hashes, often: their counts), then whether their slot is crowded, then by hash."""
+
+    common: np.ndarray
+    often: np.ndarray
+    crowded: np.ndarray  # a bit a slot
+
+    def is_crowded(self, shingles: np.ndarray) -> np.ndarray:
+        slot = shingles & (CROWDED - 1)
+        return (self.crowded[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+
+    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
+        """Sorted shingles in this order, and how many of them the sample does not rank."""
+        rank = self.is_crowded(shingles).astype(np.int64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+            rank = np.where(self.common[at] == shingles, self.often[at] + 1, rank)
+        return shingles[np.argsort(rank, kind="stable")], int((rank < 2).sum())
+
+    def prefix(self, shingles: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+        order, rare = self.of(shingles)
+        size = prefix_size(len(shingles), similarity)
+        return order[:size], min(rare, size)
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
@@ -67,8 +89,8 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(n * similarity - 1e-9)) + 1 if n else 0
 
 
-def common_shingles(docs: DataFrame, key: str, text: str, words: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that at least three documents of a bounded sample hold, at most `most`, the most frequent ones."""
+def sampled_order(docs: DataFrame, key: str, text: str, words: int, sample: int) -> Order:
+    """Ranks the shingles that at least three documents of a bounded sample hold, at most MOST, the most frequent ones."""
     ids = F.broadcast(some_ids(docs.select(F.col(key).alias("id")), sample, "id").distinct())
 
     def each(batches):
@@ -77,13 +99,12 @@ def common_shingles(docs: DataFrame, key: str, text: str, words: int, sample: in
                 yield pd.DataFrame({"s": shingles_of(digests(t, words))})
 
     some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id").select("text").mapInPandas(each, "s long")
-    found = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(most).toPandas().sort_values("s")
-    return found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+    found = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(MOST).toPandas().sort_values("s")
+    return Order(found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64), np.zeros(CROWDED // 8, np.uint8))
 
 
-def described(docs: DataFrame, key: str, text: str, words: int, similarity: float, sample: int = 10_000, most: int = 100_000) -> DataFrame:
-    """(row, key, fp, n, sketch, prefix, rare): a row per document, from one pass over the texts. sample: documents that order the shingles."""
-    common, often = common_shingles(docs, key, text, words, sample, most)
+def described(docs: DataFrame, key: str, text: str, words: int, similarity: float, order: Order) -> DataFrame:
+    """(row, key, fp, n, sketch, prefix, rare): a row per document, from one pass over the texts."""
     kind = docs.schema[key].dataType.simpleString()
 
     def each(batches):
@@ -93,14 +114,50 @@ def described(docs: DataFrame, key: str, text: str, words: int, similarity: floa
                 for t in few["text"]:
                     hashes = digests(t, words)
                     found = shingles_of(hashes)
-                    order, rare = in_order(found, common, often)
-                    size = prefix_size(len(found), similarity)
-                    rows.append((print_of(hashes), len(found), sketch_of(found), order[:size], min(rare, size)))
+                    rows.append((print_of(hashes), len(found), sketch_of(found), *order.prefix(found, similarity)))
                 yield pd.DataFrame(rows, columns=["fp", "n", "sketch", "prefix", "rare"]).assign(key=few["key"].to_numpy())
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(each, f"fp long, n int, sketch array<long>, prefix array<long>, rare int, key {kind}").withColumn("row", F.monotonically_increasing_id())
 
 
+def uncrowded(base: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float, order: Order, rounds: int = 3) -> tuple[DataFrame, list[DataFrame]]:
+    """base (fp, key, n, prefix, rare) with prefixes that avoid crowded shingles where the documents have others; and the tables that it reads."""
+    kind, crowded, moved, tables = docs.schema[key].dataType.simpleString(), order.crowded.copy(), None, []
+    for _ in range(rounds):
+        counts = (base if moved is None else moved).select(F.explode("prefix").alias("cell")).groupBy("cell").count().where(F.col("count") >= CROWD)
+        slot = F.col("cell").bitwiseAND(F.lit(CROWDED - 1))
+        words_of = counts.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(cell & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # CROWDED / 64 rows at most
+        found = np.zeros(CROWDED // 64, np.int64)
+        found[words_of["word"].to_numpy(np.int64)] = words_of["bits"].to_numpy(np.int64)
+        found = found.view(np.uint8)
+        if not (found & ~crowded).any():
+            break
+        crowded |= found
+        drop(*tables)
+        now = Order(order.common, order.often, crowded.copy())
+
+        def hit(batches, now=now):
+            for b in batches:
+                yield b.loc[[bool(now.is_crowded(np.asarray(p, np.int64)).any()) for p in b["prefix"]], ["fp", "key"]]
+
+        def again(batches, now=now):
+            for b in batches:
+                for f, k, t in zip(b["fp"], b["key"], b["text"], strict=True):
+                    hashes = digests(t, words)
+                    if print_of(hashes) == f:  # not another text under the same id
+                        found = shingles_of(hashes)
+                        prefix, rare = now.prefix(found, similarity)
+                        yield pd.DataFrame({"fp": [f], "key": [k], "n": [len(found)], "prefix": [prefix], "rare": [rare]})
+
+        affected = cut(base.select("fp", "key", "prefix").mapInPandas(hit, f"fp long, key {kind}"), "affected")
+        texts = may_hold(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), affected, "key").join(affected, "key")
+        moved = cut(texts.select("fp", "key", "text").mapInPandas(again, f"fp long, key {kind}, n int, prefix array<long>, rare int").dropDuplicates(["fp"]), "moved")
+        tables = [affected, moved]
+    if moved is None:
+        return base, []
+    return without(base, tables[0], "fp").unionByName(moved.select(base.columns)), tables
+
+
 def _long_enough(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - 1e-9
 
@@ -154,12 +211,15 @@ def _members(own: DataFrame) -> DataFrame:
     return rows.select("cell", "fp", size(F.col("place")).alias("n"), at(F.col("place")).alias("at"), "members", tried.alias("tried"))
 
 
-def link(own: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+def link(own: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float, order: Order) -> DataFrame:
     """Links among the given rows of what described() makes, whose prints are distinct: (node, component), the prints that have one."""
     others = cut(own.select("row").join(rows, "row", "left_anti"), "others")
     nodes = cut(without(own.drop("prefix"), others, "row"), "nodes")
     sets = lambda need: _sets(need, nodes, docs, key, text, words)
-    rows = cut(_members(without(own, others, "row")), "cells")
+    base = without(own, others, "row").select("fp", "key", "n", "prefix", "rare")
+    base, tables = uncrowded(base, docs, key, text, words, similarity, order)
+    rows = cut(_members(base), "cells")
+    drop(*tables)
     # What sets of that similarity share at least; it can't come after the first shared shingle if that one is further back.
     # In cells of up to three members all pairs are tried so; those of larger cells that it leaves out are made below.
     least = (F.col("n") + F.col("t.n")) * F.lit(similarity / (1 + similarity)) - 1e-6

@@ -88,17 +88,18 @@ def link(prints: DataFrame, distance: int = 4) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, similarity: float | None = None, **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, similarity: float | None = None, sample: int = 10_000) -> DataFrame:
     """A row per document: key, fp (signed), fingerprint (16 hex digits), component_id (the least key reachable), kept (it stands for its
     class: it has that key and, of texts under it, the least fingerprint; repeated rows alike).
 
     With a similarity also documents link whose sets of shingles are that similar (shingle_links), however far apart their
-    fingerprints are; one document stands there for all that the fingerprints have linked.
+    fingerprints are; one document stands there for all that the fingerprints have linked. sample: documents that rank shingles.
     """
     if similarity is None:
         own = cut(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), words).alias("fp")), "prints")
     else:
-        own = cut(shingle_links.described(docs, key, text, words, similarity, **how), "prints")
+        order = shingle_links.sampled_order(docs, key, text, words, sample)
+        own = cut(shingle_links.described(docs, key, text, words, similarity, order), "prints")
     prints = cut(own.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     roots = link(prints, distance)
     classes = cut(prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
@@ -106,7 +107,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     if similarity is not None:
         first = cut(_first(classes.where("least is not null")), "first")
         rows = own.join(first.select("key", "fp"), ["key", "fp"], "left_semi").groupBy("key", "fp").agg(F.min("row").alias("row")).select("row")
-        wide = shingle_links.link(own, rows, docs, key, text, words, similarity)
+        wide = shingle_links.link(own, rows, docs, key, text, words, similarity, order)
         joined = first.join(wide.withColumnRenamed("node", "fp"), "fp").select("root", "component")
         wider = cut(classes.join(joined, "root", "left").select("fp", "least", F.coalesce("component", "root").alias("root")), "classes")
         drop(classes, first, wide)

@@ -207,6 +207,31 @@ def test_dedup_step_and_repeated_ids(spark):
     assert p.dedup_step(spark, frame(spark, rows).where("false"), DATA).count() == 0
 
 
+def test_shared_passages_make_no_pairs(spark):
+    """Unlike documents that share a passage no sample ranks: their prefixes avoid it, and links stay those of all pairs."""
+    from fieldgrain.llm import shingle_links
+    from .conftest import frame, prose
+
+    rng = np.random.default_rng(12)
+    passage, texts = prose(rng, 50), []
+    for k in range(60):
+        own = prose(rng, 60)
+        texts += [f"{own} {passage}", f"{passage} {own} more"] if k % 6 == 0 else [f"{own} {passage}"]
+    texts += [passage, passage + " end", passage + " stop here"] + [f"{prose(rng, 4)} {passage}" for _ in range(12)]
+    docs = frame(spark, list(enumerate(texts))).select("doc_id", "text")
+    order = shingle_links.sampled_order(docs, "doc_id", "text", 5, 0)
+    own = shingle_links.described(docs, "doc_id", "text", 5, 0.8, order).cache()
+    pairs = lambda t: t.select(F.explode("prefix").alias("c")).groupBy("c").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).head()[0]
+    better, _ = shingle_links.uncrowded(own.select("fp", "key", "n", "prefix", "rare"), docs, "doc_id", "text", 5, 0.8, order)
+    assert better.count() == len(texts) and pairs(better) < pairs(own) / 10
+    found = shingle_links.link(own, own.select("row"), docs, "doc_id", "text", 5, 0.8, order)
+    root = {r.node: r.component for r in found.collect()}
+    groups: dict = {}
+    for r in own.select("key", "fp").collect():
+        groups.setdefault(root.get(r.fp, r.fp), []).append(r.key)
+    assert sorted(min(g) for g in groups.values()) == stay(dict(enumerate(texts)))
+
+
 def test_dedup_step_by_brute_force(spark):
     """Chains of edited copies, crowded cells, a common line, short and empty texts: components of all pairs of similarity 0.8."""
     import corpus_pipeline as p
