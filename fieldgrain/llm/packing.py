@@ -9,7 +9,10 @@ where they are made, and a prefix sum over (partition, length) counts makes the
 frequent ever, is gathered in one task.
 
 null text: as the empty text, one token (the end id). A document of more than `capacity` tokens is cut, the first piece
-takes the remainder. Repeated rows are packed each. An empty table gives no rows.
+takes the remainder. Repeated rows are packed each. An empty table gives no rows. Ties: pieces of one length are
+interchangeable and placed by their number. Texts of any length are read whole, one at a time. Columns beside the key and
+the text are not read, whatever their names. Triples beyond `most_triples` (those of the rarest lengths) are not tried as
+patterns; their lengths are packed with the residuals.
 """
 
 from __future__ import annotations

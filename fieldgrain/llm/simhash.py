@@ -12,7 +12,8 @@ same components as all pairs would. Candidates pass the Manhattan bound, then th
 
 null text: as the empty text. No words: fingerprint zero, linked like any other. Fewer words than a shingle has: the
 whole sequence is one shingle. A null doc_id stays a row; it belongs to its fingerprint's component, and the component
-id is the smallest non-null id. Empty table: no rows. Repeated rows stay, each with the same component.
+id is the smallest non-null id. Empty table: no rows. Repeated rows stay, each with the same component. Ties: a bit that
+is set in exactly half the shingles is 0. Texts of any length are read whole. Further columns stay out of the result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ string alone and keep those that come out as one token: these are counted by loo
 library and remembered in a table of bounded size.
 
 null text: as the empty text, 0 tokens. Empty text: 0. Runs of spaces, leading and trailing spaces and literal U+2581
-take the segment path; the result is the library's in all cases. Repeated rows are counted each.
+take the segment path; the result is the library's in all cases. Repeated rows are counted each. Texts of any length are
+counted whole. Columns named n_bytes, n_tokens or over_limit are replaced, further ones stay. Empty table: no rows.
 """
 
 from __future__ import annotations
