@@ -211,32 +211,34 @@ def threshold_of(plane: np.ndarray, method: str = "otsu", manual: float | None =
 
 
 def components(values: np.ndarray) -> np.ndarray:
-    """4-connected regions of equal, non-zero value, numbered by their first pixel in raster order."""
+    """4-connected regions of equal, non-zero value, numbered by their first pixel in raster order: runs of rows that meet are joined."""
     values = np.asarray(values)
-    h, w = values.shape
-    index = np.arange(h * w).reshape(h, w)
-    root = np.where(values != 0, index, -1).ravel()
-    across = (values[:, 1:] == values[:, :-1]) & (values[:, 1:] != 0)
-    down = (values[1:] == values[:-1]) & (values[1:] != 0)
-    a = np.concatenate([index[:, 1:][across], index[1:][down]])
-    b = np.concatenate([index[:, :-1][across], index[:-1][down]])
-    while True:  # lower each end to the least root of the two, then jump to the root's root
+    if not values.size:
+        return np.zeros(values.shape, np.int32)
+    begins = np.ones(values.shape, bool)
+    begins[:, 1:] = values[:, 1:] != values[:, :-1]
+    run = np.cumsum(begins.ravel()).reshape(values.shape) - 1
+    on = values[begins] != 0
+    meet = (values[1:] == values[:-1]) & (values[1:] != 0)
+    a, b = run[:-1][meet], run[1:][meet]
+    if len(a):
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b = a[new], b[new]
+    root = np.arange(len(on))
+    while len(a):  # lower each end to the least root of the two, then jump to the root's root
         ra, rb = root[a], root[b]
-        low = np.minimum(ra, rb)
-        if (ra == rb).all():
+        apart = ra != rb
+        if not apart.any():
             break
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        low = np.minimum(ra, rb)
         np.minimum.at(root, ra, low)
         np.minimum.at(root, rb, low)
-        inside = root >= 0
-        while True:
-            new = root[root[inside]]
-            if (new == root[inside]).all():
-                break
-            root[inside] = new
-    out = np.zeros(h * w, np.int32)
-    inside = root >= 0
-    out[inside] = np.searchsorted(np.unique(root[inside]), root[inside]) + 1
-    return out.reshape(h, w)
+        while (jumped := root[root]).tobytes() != root.tobytes():
+            root = jumped
+    names = np.zeros(len(on), np.int32)
+    names[on] = np.searchsorted(np.unique(root[on]), root[on]) + 1
+    return names[run]
 
 
 def relabel(labels: np.ndarray) -> np.ndarray:
@@ -291,7 +293,7 @@ def reconstruct(seed: np.ndarray, under: np.ndarray) -> np.ndarray:
     h, w = seed.shape
     now, roof = (np.pad(a.astype(np.float64), 1, constant_values=-np.inf).ravel() for a in (np.minimum(seed, under), under))
     steps = np.array([dy * (w + 2) + dx for dy, dx in product((-1, 0, 1), repeat=2) if dy or dx])
-    marked, rose = np.zeros(len(now), bool), np.flatnonzero(now > -np.inf)
+    marked, rose = np.zeros(len(now), bool), np.flatnonzero(roof > -np.inf)
     while len(rose):
         before = now[rose]
         for s in steps:  # a value that was lifted by one step may be lifted further by the next
@@ -305,10 +307,14 @@ def reconstruct(seed: np.ndarray, under: np.ndarray) -> np.ndarray:
     return now.reshape(h + 2, w + 2)[1:-1, 1:-1]
 
 
-def prominent_maxima(plane: np.ndarray, depth: float) -> np.ndarray:
-    """Pixels of maxima that rise at least `depth` above the pass to a higher one."""
+def prominent_maxima(plane: np.ndarray, depth: float, above: float | None = None) -> np.ndarray:
+    """Pixels of maxima that rise at least `depth` above the pass to a higher one. above: the plane's floor, where all higher parts meet; only what rises from it is looked at."""
     plane = plane.astype(np.float64)
-    left = plane - reconstruct(plane - depth, plane)
+    high = None if above is None or not (plane - above >= depth).any() else plane > above
+    roof = plane if high is None else np.where(high, plane, -np.inf)
+    left = plane - reconstruct(roof - depth, roof)
+    if high is not None:
+        left[~high | (plane - above < depth)] = -np.inf  # a way over the floor leads from there to a higher one
     return left >= depth - 4 * np.finfo(np.float32).eps * max(1.0, float(np.abs(plane).max()))
 
 
@@ -382,7 +388,7 @@ def separate(mask: np.ndarray, seeding: str = "h_maxima", seed_depth: float = 1.
         return np.zeros(mask.shape, np.int32)
     far = gaussian(distance(mask), smoothing, np.float64)
     if seeding == "h_maxima":
-        seeds = components(prominent_maxima(far, seed_depth) & mask)
+        seeds = components(prominent_maxima(far, seed_depth, 0.0) & mask)
     else:
         seeds = np.zeros(mask.shape, np.int32)
         for n, at in enumerate(peaks(far, mask, peak_min_distance) if seeding == "peaks" else adaptive_seeds(far, mask), 1):
