@@ -4,9 +4,9 @@ Fingerprints of documents with a similarity of 0.8 are some ten bits apart, too
 fingerprints leave apart meets by prefix filtering: shingles are put in one order for all documents. Two sets of the
 wanted similarity share a shingle among the first n - ceil(similarity x n) + 1 of either, so an equi-join of these
 prefixes meets every pair that links, whatever the order. The order keeps shingles that many documents hold out of the
-prefixes: those that a bounded sample holds often come last, and before them those whose hash falls into a crowded slot.
-Slots (CROWDED of them, whatever the size of the corpus) are marked from counts over all prefixes, and prefixes that
-held crowded shingles are made anew, a few times. So passages that unlike documents share make no pairs, unless a
+prefixes: those that a bounded sample holds often come last, and before them the crowded ones. These are marked in a
+Bloom filter (CROWDED bits, whatever the size of the corpus) from counts over all prefixes, and prefixes that held
+crowded shingles are made anew, twice. What the filter takes for crowded by chance changes the order, not the links. So passages that unlike documents share make no pairs, unless a
 document holds little else. A pair that is tried passes a bound first: shingles are dealt to
 as many classes as the set has shingles (the next power of two), and the parities of their counts differ in no more
 classes than the sets differ in shingles. What passes is decided on the whole sets, read again from the texts, so links
@@ -37,8 +37,10 @@ from .common import cut, drop, may_hold, some_ids, without
 from .components import components
 from .shingles import digests, print_of
 
-#: Classes of a sketch at least. Slots for crowded shingles, and the documents that crowd one. Shingles that the sample ranks.
-SKETCH, CROWDED, CROWD, MOST = 256, 1 << 22, 8, 100_000
+#: Classes of a sketch at least. Bits of the filter of crowded shingles, and the documents that crowd one. Shingles that the sample ranks.
+SKETCH, CROWDED, CROWD, MOST = 256, 1 << 24, 8, 100_000
+#: The filter's bits of a shingle are the numbers from these places on.
+PLACES = (0, 20, 40)
 
 
 def shingles_of(hashes: np.ndarray) -> np.ndarray:
@@ -48,15 +50,18 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Order:
-    """The order of shingles: by their count in the sample (common: sorted hashes, often: their counts), then whether their slot is crowded, then by hash."""
+    """The order of shingles: by their count in the sample (common: sorted hashes, often: their counts), then whether they are crowded, then by hash."""
 
     common: np.ndarray
     often: np.ndarray
-    crowded: np.ndarray  # a bit a slot
+    crowded: np.ndarray  # the filter, eight bits a number
 
     def is_crowded(self, shingles: np.ndarray) -> np.ndarray:
-        slot = shingles & (CROWDED - 1)
-        return (self.crowded[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+        out = np.ones(len(shingles), np.uint8)
+        for place in PLACES:
+            bit = (shingles.view(np.uint64) >> np.uint64(place)) & np.uint64(CROWDED - 1)
+            out &= self.crowded[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)
+        return out & 1
 
     def of(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
         """Sorted shingles in this order, and how many of them the sample does not rank."""
@@ -120,13 +125,14 @@ def described(docs: DataFrame, key: str, text: str, words: int, similarity: floa
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(each, f"fp long, n int, sketch array<long>, prefix array<long>, rare int, key {kind}").withColumn("row", F.monotonically_increasing_id())
 
 
-def uncrowded(base: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float, order: Order, rounds: int = 3) -> tuple[DataFrame, list[DataFrame]]:
+def uncrowded(base: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float, order: Order, rounds: int = 2) -> tuple[DataFrame, list[DataFrame]]:
     """base (fp, key, n, prefix, rare) with prefixes that avoid crowded shingles where the documents have others; and the tables that it reads."""
     kind, crowded, moved, tables = docs.schema[key].dataType.simpleString(), order.crowded.copy(), None, []
     for _ in range(rounds):
         counts = (base if moved is None else moved).select(F.explode("prefix").alias("cell")).groupBy("cell").count().where(F.col("count") >= CROWD)
-        slot = F.col("cell").bitwiseAND(F.lit(CROWDED - 1))
-        words_of = counts.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(cell & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # CROWDED / 64 rows at most
+        bits = F.explode(F.array(*[F.shiftrightunsigned("cell", place).bitwiseAND(F.lit(CROWDED - 1)) for place in PLACES])).alias("at")
+        marked = counts.select(bits).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+        words_of = marked.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # CROWDED / 64 rows at most
         found = np.zeros(CROWDED // 64, np.int64)
         found[words_of["word"].to_numpy(np.int64)] = words_of["bits"].to_numpy(np.int64)
         found = found.view(np.uint8)
@@ -140,18 +146,10 @@ def uncrowded(base: DataFrame, docs: DataFrame, key: str, text: str, words: int,
             for b in batches:
                 yield b.loc[[bool(now.is_crowded(np.asarray(p, np.int64)).any()) for p in b["prefix"]], ["fp", "key"]]
 
-        def again(batches, now=now):
-            for b in batches:
-                for f, k, t in zip(b["fp"], b["key"], b["text"], strict=True):
-                    hashes = digests(t, words)
-                    if print_of(hashes) == f:  # not another text under the same id
-                        found = shingles_of(hashes)
-                        prefix, rare = now.prefix(found, similarity)
-                        yield pd.DataFrame({"fp": [f], "key": [k], "n": [len(found)], "prefix": [prefix], "rare": [rare]})
-
         affected = cut(base.select("fp", "key", "prefix").mapInPandas(hit, f"fp long, key {kind}"), "affected")
-        texts = may_hold(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), affected, "key").join(affected, "key")
-        moved = cut(texts.select("fp", "key", "text").mapInPandas(again, f"fp long, key {kind}, n int, prefix array<long>, rare int").dropDuplicates(["fp"]), "moved")
+        anew = described(may_hold(docs.select(key, text), affected.withColumnRenamed("key", key), key), key, text, words, similarity, now)
+        # The texts stay where they are; other texts of an id have another print.
+        moved = cut(anew.select("fp", "key", "n", "prefix", "rare").join(affected, ["fp", "key"], "left_semi").dropDuplicates(["fp"]), "moved")
         tables = [affected, moved]
     if moved is None:
         return base, []
