@@ -15,10 +15,9 @@ are neither missed nor made up (64-bit hashes stand for shingles).
 A cell is a shingle with the documents whose prefix holds it. Cells of shingles that the sample holds often may be of any
 size: their counts and centres are aggregated before their shuffle, and are few enough to be broadcast (bound: MOST).
 In a crowded cell not all pairs are made: each member is tried against two members, others in each cell, and the
-components of those links are taken; afterwards only pairs from different components are tried, and none where a cell
-holds one component only. A pair's sets share what their prefixes share and at most one set's rest, so these pairs are
-counted over their cells, and only those whose count leaves the similarity possible are decided. This finds the same
-components as all pairs would.
+components of those links are taken; afterwards only pairs from different components are tried, none where a cell holds
+one component only, and only in cells that come so early in both prefixes that what follows can make up the similarity:
+the first shingle that a pair shares does if it links. This finds the same components as all pairs would.
 
 null text: as the empty text. Fewer words than a shingle has: the whole sequence is one shingle. Rows with a null id link
 by their fingerprints only. Repeated rows are one node. Empty table: no rows. Texts of any length are read whole.
@@ -225,18 +224,16 @@ def link(own: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text: str,
     stars = rows.select("fp", "n", "at", F.explode("tried").alias("t")).where((F.col("fp") != F.col("t.fp")) & _long_enough(F.col("n"), F.col("t.n"), similarity) & early)
     edges = _verified(stars.select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b")), nodes, similarity, sets)
     near = components(edges)
-    owned = rows.select("cell", "fp", "n").join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    owned = rows.select("cell", "fp", "n", "at").join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     groups = owned.groupBy("cell", "component").agg(F.count("*").alias("k")).groupBy("cell").agg(F.count("*").alias("groups"), F.max_by("component", "k").alias("main")).where("groups > 1")
     left = cut(owned.join(groups.drop("groups"), "cell"), "mixed")
     drop(rows)
-    x = left.where("component <> main").select("cell", F.col("fp").alias("xf"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    y = left.select("cell", F.col("fp").alias("yf"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("of_main"))
-    pairs = x.join(y, (x.cell == y.cell) & (x.xc != y.yc) & (y.of_main | (x.xf < y.yf)) & _long_enough(x.xn, y.yn, similarity))
-    # Every cell that holds both makes the pair once.
-    shared = pairs.groupBy(F.least("xf", "yf").alias("a"), F.greatest("xf", "yf").alias("b"), F.least("xn", "yn").alias("s"), F.greatest("xn", "yn").alias("l")).agg(F.count("*").alias("shared"))
-    rest = F.ceil(F.col("l") * F.lit(similarity) - 1e-9) - 1  # the longer set's, the greater one
-    possible = (F.col("shared") + rest) * (1 + similarity) >= (F.col("s") + F.col("l")) * similarity - 1e-9
-    more = _verified(shared.where(possible).select("a", "b"), nodes, similarity, sets)
+    x = left.where("component <> main").select("cell", F.col("fp").alias("xf"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("component").alias("xc"))
+    y = left.select("cell", F.col("fp").alias("yf"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("of_main"))
+    # As above: the first cell that a pair which links shares is early in both; crowded ones come late.
+    shares = (x.xn + y.yn) * F.lit(similarity / (1 + similarity)) - 1e-6
+    pairs = x.join(y, (x.cell == y.cell) & (x.xc != y.yc) & (y.of_main | (x.xf < y.yf)) & _long_enough(x.xn, y.yn, similarity) & (x.xn - x.xat >= shares) & (y.yn - y.yat >= shares))
+    more = _verified(pairs.select(F.least("xf", "yf").alias("a"), F.greatest("xf", "yf").alias("b")), nodes, similarity, sets)
     if not more.isEmpty():
         drop(near)
         near = components(edges.union(more))
