@@ -493,3 +493,18 @@ def test_tables_are_dropped(spark, corpus):
     common.sweep(spark)
     simhash.near_duplicates(df).count()
     assert common.sweep(spark) <= 4 and common.sweep(spark) == 0
+
+
+def test_quality_is_learnt_from_all_pairs(spark, corpus):
+    """The loss over every pair of the labelled rows, written out by brute force, has no slope at the fitted weights, however tasks are dealt."""
+    rows, df, labels = corpus
+    known = {r.doc_id: r.quality for r in labels.where(common.fold("doc_id", 5) != 0).collect()}
+    models = [quality.fit(df.repartition(n), labels) for n in (2, 7)]
+    assert all(np.array_equal(getattr(models[0], k), getattr(models[1], k)) for k in ("w", "middle", "spread", "cut", "scale"))
+    m, slopes = models[0], []
+    for part in (False, True):
+        own = {y: [t for i, text, *_ in rows if known.get(i) == y for t in (quality.excerpts(text) if part else [text])] for y in (0, 1)}
+        good, bad = (quality.expand(np.array([quality.features_of(t) for t in own[y]]), m.middle, m.spread) for y in (1, 0))
+        p = 1 / (1 + np.exp((good @ m.w)[:, None] - bad @ m.w))
+        slopes.append((p.sum(axis=1) @ good - p.sum(axis=0) @ bad) / p.size)
+    assert np.abs(np.mean(slopes, axis=0) - 1e-3 * m.w).max() < 2e-4
