@@ -508,3 +508,24 @@ def test_quality_is_learnt_from_all_pairs(spark, corpus):
         p = 1 / (1 + np.exp((good @ m.w)[:, None] - bad @ m.w))
         slopes.append((p.sum(axis=1) @ good - p.sum(axis=0) @ bad) / p.size)
     assert np.abs(np.mean(slopes, axis=0) - 1e-3 * m.w).max() < 2e-4
+
+
+def test_secrets_are_learnt_from_every_candidate(spark, monkeypatch):
+    """More findings of a kind than the 3 000 of old all reach training and calibration, in one piece or dealt into shards, which find the same."""
+    from .conftest import frame
+
+    rng = np.random.default_rng(9)
+    make = lambda chars, k: "".join(rng.choice(list(chars), k))
+    rows = [(i, " ".join(f"{prose(rng, 2)} {make('0123456789abcdef', 24)} {prose(rng, 2)} mail{i}x{k}.example.com" for k in range(40))) for i in range(85)]
+    rows.append((900, f"the {make('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', 36)} of"))
+    scanned = common.cut(secrets_scan.scan(frame(spark, rows), "doc_id", "text"))
+    seen, learn = [], secrets_scan.learn
+    monkeypatch.setattr(secrets_scan, "learn", lambda w, k, r: seen.append(k) or learn(w, k, r))
+    whole = secrets_scan.fit(scanned)
+    assert (seen[0] == 3).sum() == 3400 and (seen[0] == 0).sum() >= 3401
+    dealt = secrets_scan.fit(scanned, shard=2000)
+    assert len(seen) == 1
+    for model in (whole, dealt):
+        got = {r.id: [s.kind for s in r.spans] for r in secrets_scan._judged(scanned, model).collect()}
+        assert got[900] == [3] and sum(k == 3 for i in range(85) for k in got[i]) < 0.03 * 3400
+    common.drop(scanned)
