@@ -10,17 +10,37 @@ are near-duplicates; texts unlike each other all stay.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldgrain.llm import common, decontaminate, packing, quality, secrets_scan, simhash
 
+#: Rows of whole texts that a Python worker holds at once. Workers and their executor's buffers keep what the largest batch took, all stages long.
+BATCH = 1000
+
+
+def in_small_batches(step):
+    """The step, with Arrow batches of BATCH rows at most; as its result is lazy, the session keeps that."""
+
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH:
+            spark.conf.set(name, str(BATCH))
+        return step(spark, docs, sf_dir)
+
+    return run_step
+
 
+@in_small_batches
 def quality_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
     return docs.where(quality.score(F.col("text"), model) >= 0.3)
 
 
+@in_small_batches
 def dedup_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group: operator 1 on five-word shingles, with all links of similarity 0.8 or more.
 
@@ -38,16 +58,19 @@ def dedup_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return single.union(again.select(docs.columns))
 
 
+@in_small_batches
 def decontamination_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(docs, common.table(spark, sf_dir, "benchmark"), item_key="item_id").select("doc_id")
     return common.without(docs, common.cut(leaks.distinct(), "leaks"))
 
 
+@in_small_batches
 def secrets_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secrets_scan.redact_documents(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
+@in_small_batches
 def packing_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 

@@ -255,3 +255,18 @@ def test_dedup_step_by_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_run(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0 or name.startswith("op5_")
+
+
+def test_pipeline_steps_hold_few_texts_at_once(spark):
+    """No Python worker gets more than BATCH whole texts in one piece, whichever step runs first."""
+    import corpus_pipeline
+
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("en").alias("lang"), F.lit("x").alias("source"), F.lit(10).cast("long").alias("n_chars")).coalesce(1)
+    for _, step in corpus_pipeline.STAGES[2:4]:
+        spark.conf.unset(name)
+        try:
+            step(spark, docs, "/root/testdata/sf0.001")
+            sizes = docs.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n int").collect()
+        finally:
+            spark.conf.unset(name)
+        assert max(r.n for r in sizes) <= corpus_pipeline.BATCH
