@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,6 +54,12 @@ def drop(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished plans deleted now: Spark does so when the driver's JVM finds that nothing refers to them, which on a roomy heap is late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sweep(spark: SparkSession) -> int:
     """Delete all tables of this application that are left, once its results have been written: results are lazy and read the last of them."""
     paths = list(_LIVE.get(spark.sparkContext.applicationId, ()))

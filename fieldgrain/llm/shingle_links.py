@@ -14,10 +14,13 @@ are neither missed nor made up (64-bit hashes stand for shingles).
 
 A cell is a shingle with the documents whose prefix holds it. Cells of shingles that the sample holds often may be of any
 size: their counts and centres are aggregated before their shuffle, and are few enough to be broadcast (bound: MOST).
-In a crowded cell not all pairs are made: each member is tried against two members, others in each cell, and the
-components of those links are taken; afterwards only pairs from different components are tried, none where a cell holds
-one component only, and only in cells that come so early in both prefixes that what follows can make up the similarity:
-the first shingle that a pair shares does if it links. This finds the same components as all pairs would.
+In a crowded cell not all pairs are made: each member is tried against two members, others in each cell, which are all
+pairs in cells of up to three, and the components of those links are taken. In larger cells of several components each
+member is then tried against hubs, the members that have most links: edited copies of a text are often too far from each
+other, but not from the text. Afterwards only pairs from different components are made, none where a cell holds one
+component only, and only where the sketches allow the link and the cell comes so early in both prefixes that what follows
+can make up the similarity: the first shingle that a pair shares does if it links. This finds the same components as all
+pairs would. Unlike documents that share a cell are still compared by their sketches, pair by pair.
 
 null text: as the empty text. Fewer words than a shingle has: the whole sequence is one shingle. Rows with a null id link
 by their fingerprints only. Repeated rows are one node. Empty table: no rows. Texts of any length are read whole.
@@ -32,12 +35,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, may_hold, some_ids, without
+from .common import cut, drop, may_hold, release, some_ids, without
 from .components import components
 from .shingles import digests, print_of
 
 #: Classes of a sketch at least. Bits of the filter of crowded shingles, and the documents that crowd one. Shingles that the sample ranks.
 SKETCH, CROWDED, CROWD, MOST = 256, 1 << 24, 8, 100_000
+#: Rounds at most in which members of crowded cells are tried against hubs of their cells.
+HUB_ROUNDS = 2
 #: The filter's bits of a shingle are the numbers from these places on.
 PLACES = (0, 20, 40)
 
@@ -89,6 +94,11 @@ def apart(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), differ(a, b)).when(F.size(a) == 2 * F.size(b), differ(half(a), b)).when(2 * F.size(a) == F.size(b), differ(a, half(b))).otherwise(0)
 
 
+def _near_enough(a: Column, na: Column, b: Column, nb: Column, similarity: float) -> Column:
+    """Whether the sketches of sets of these sizes allow that similarity."""
+    return apart(a, b) * (1 + similarity) <= (na + nb) * F.lit(1 - similarity) + 1e-6
+
+
 def prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(n * similarity - 1e-9)) + 1 if n else 0
 
@@ -150,6 +160,7 @@ def uncrowded(base: DataFrame, docs: DataFrame, key: str, text: str, words: int,
         # The texts stay where they are; other texts of an id have another print.
         moved = cut(anew.select("fp", "key", "n", "prefix", "rare").join(affected, ["fp", "key"], "left_semi").dropDuplicates(["fp"]), "moved")
         tables = [affected, moved]
+        release(docs.sparkSession)
     if moved is None:
         return base, []
     return without(base, tables[0], "fp").unionByName(moved.select(base.columns)), tables
@@ -179,13 +190,14 @@ def _sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: st
 def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float, sets) -> DataFrame:
     """Of the pairs (a, b) of prints, those whose sets are that similar. sets: looks up those of given prints."""
     side = lambda x: nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
-    may = apart(F.col("ka"), F.col("kb")) * (1 + similarity) <= (F.col("na") + F.col("nb")) * F.lit(1 - similarity) + 1e-6
+    may = _near_enough(F.col("ka"), F.col("na"), F.col("kb"), F.col("nb"), similarity)
     pairs = cut(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"), "tried")
     found = sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     both = pairs.join(found.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(found.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     met = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("met"), (F.size("sa") + F.size("sb")).alias("sum"))
     out = cut(met.where(F.col("met") >= (F.col("sum") - F.col("met")) * F.lit(similarity) - 1e-9).select("a", "b"), "alike")
     drop(pairs, found)
+    release(pairs.sparkSession)
     return out
 
 
@@ -208,6 +220,40 @@ def _members(own: DataFrame) -> DataFrame:
     return rows.select("cell", "fp", size(F.col("place")).alias("n"), at(F.col("place")).alias("at"), "members", tried.alias("tried"))
 
 
+def _may_link(xn: Column, xat: Column, yn: Column, yat: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be that similar if what they share comes at these places first: what they share at least can't come later."""
+    shares = (xn + yn) * F.lit(similarity / (1 + similarity)) - 1e-6
+    return _long_enough(xn, yn, similarity) & (xn - xat >= shares) & (yn - yat >= shares)
+
+
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _mixed(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(cell, fp, n, at, component, main): of cells of more than three members, those of several components; main is the one with most members."""
+    owned = rows.where("members > 3").select("cell", "fp", "n", "at").join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    groups = owned.groupBy("cell", "component").agg(F.count("*").alias("k")).groupBy("cell").agg(F.count("*").alias("groups"), F.max_by("component", "k").alias("main")).where("groups > 1")
+    return cut(owned.join(groups.drop("groups"), "cell"), "mixed")
+
+
+def _against_hubs(left: DataFrame, edges: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Members of mixed cells with members t of other components: the ones with most links, in the main component or not, and one of either by chance."""
+    degree = edges.select(F.col("a").alias("fp")).union(edges.select("b")).groupBy("fp").agg(F.count("*").alias("degree"))
+    one, chance, main = F.struct("fp", "n", "at", "component"), F.xxhash64("fp", "cell", F.lit(turn)), F.col("component") == F.col("main")
+    hub = [F.max_by(one, F.struct(side, by, chance)) for side in (main, ~main) for by in (F.coalesce("degree", F.lit(0)), F.lit(0))]
+    hubs = left.join(degree, "fp", "left").groupBy("cell").agg(F.array_distinct(F.array(*hub)).alias("hubs"))
+    return left.join(hubs, "cell").select("fp", "n", "at", "component", F.explode("hubs").alias("t")).where((F.col("component") != F.col("t.component")) & _may_link(F.col("n"), F.col("at"), F.col("t.n"), F.col("t.at"), similarity))
+
+
+def _others(left: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (xf, yf) from different components of a cell which their places, sizes and sketches allow."""
+    left = left.join(nodes.select("fp", "sketch"), "fp")
+    x = left.where("component <> main").select("cell", F.col("fp").alias("xf"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("component").alias("xc"), F.col("sketch").alias("xk"))
+    y = left.select("cell", F.col("fp").alias("yf"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("of_main"), F.col("sketch").alias("yk"))
+    return x.join(y, (x.cell == y.cell) & (x.xc != y.yc) & (y.of_main | (x.xf < y.yf)) & _may_link(x.xn, x.xat, y.yn, y.yat, similarity) & _near_enough(x.xk, x.xn, y.yk, y.yn, similarity))
+
+
 def link(own: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float, order: Order) -> DataFrame:
     """Links among the given rows of what described() makes, whose prints are distinct: (node, component), the prints that have one."""
     others = cut(own.select("row").join(rows, "row", "left_anti"), "others")
@@ -215,25 +261,27 @@ def link(own: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text: str,
     sets = lambda need: _sets(need, nodes, docs, key, text, words)
     base = without(own, others, "row").select("fp", "key", "n", "prefix", "rare")
     base, tables = uncrowded(base, docs, key, text, words, similarity, order)
+    release(docs.sparkSession)
     rows = cut(_members(base), "cells")
     drop(*tables)
-    # What sets of that similarity share at least; it can't come after the first shared shingle if that one is further back.
-    # In cells of up to three members all pairs are tried so; those of larger cells that it leaves out are made below.
-    least = (F.col("n") + F.col("t.n")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    early = (F.col("n") - F.col("at") >= least) & (F.col("t.n") - F.col("t.at") >= least)
-    stars = rows.select("fp", "n", "at", F.explode("tried").alias("t")).where((F.col("fp") != F.col("t.fp")) & _long_enough(F.col("n"), F.col("t.n"), similarity) & early)
-    edges = _verified(stars.select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b")), nodes, similarity, sets)
+    release(docs.sparkSession)
+    # In cells of up to three members all pairs are tried so.
+    stars = rows.select("fp", "n", "at", F.explode("tried").alias("t")).where((F.col("fp") != F.col("t.fp")) & _may_link(F.col("n"), F.col("at"), F.col("t.n"), F.col("t.at"), similarity))
+    edges = _verified(_pairs(stars, "fp", "t.fp"), nodes, similarity, sets)
     near = components(edges)
-    owned = rows.select("cell", "fp", "n", "at").join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    groups = owned.groupBy("cell", "component").agg(F.count("*").alias("k")).groupBy("cell").agg(F.count("*").alias("groups"), F.max_by("component", "k").alias("main")).where("groups > 1")
-    left = cut(owned.join(groups.drop("groups"), "cell"), "mixed")
+    left = _mixed(rows, near)
+    for turn in range(HUB_ROUNDS):
+        more = _verified(_pairs(_against_hubs(left, edges, similarity, turn), "fp", "t.fp"), nodes, similarity, sets)
+        if more.isEmpty():
+            drop(more)
+            break
+        links = cut(edges.union(more), "links")
+        drop(near, left, edges, more)
+        edges, near = links, components(links)
+        left = _mixed(rows, near)
     drop(rows)
-    x = left.where("component <> main").select("cell", F.col("fp").alias("xf"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("component").alias("xc"))
-    y = left.select("cell", F.col("fp").alias("yf"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("of_main"))
-    # As above: the first cell that a pair which links shares is early in both; crowded ones come late.
-    shares = (x.xn + y.yn) * F.lit(similarity / (1 + similarity)) - 1e-6
-    pairs = x.join(y, (x.cell == y.cell) & (x.xc != y.yc) & (y.of_main | (x.xf < y.yf)) & _long_enough(x.xn, y.yn, similarity) & (x.xn - x.xat >= shares) & (y.yn - y.yat >= shares))
-    more = _verified(pairs.select(F.least("xf", "yf").alias("a"), F.greatest("xf", "yf").alias("b")), nodes, similarity, sets)
+    release(docs.sparkSession)
+    more = _verified(_pairs(_others(left, nodes, similarity), "xf", "yf"), nodes, similarity, sets)
     if not more.isEmpty():
         drop(near)
         near = components(edges.union(more))

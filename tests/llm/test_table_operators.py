@@ -232,6 +232,36 @@ def test_shared_passages_make_no_pairs(spark):
     assert sorted(min(g) for g in groups.values()) == stay(dict(enumerate(texts)))
 
 
+def test_edited_copies_meet_their_text(spark, monkeypatch):
+    """Copies of a text with one edit each, too far from each other, link by the text; their pairs among each other are not made."""
+    from fieldgrain.llm import shingle_links
+    from .conftest import frame, prose
+
+    rng = np.random.default_rng(13)
+    base, made, verified = prose(rng, 60).split(), [], shingle_links._verified
+    texts = [" ".join(base)]
+    for k in range(150):
+        words = list(base)
+        words[5 + k % 50] = f"w{k}"
+        texts.append(" ".join(words))
+    texts += [f"{' '.join(base[:9])} {prose(rng, 12)}" for _ in range(30)]
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingle_links, "_verified", counted)
+    docs = frame(spark, list(enumerate(texts))).select("doc_id", "text")
+    order = shingle_links.sampled_order(docs, "doc_id", "text", 5, 0)
+    own = shingle_links.described(docs, "doc_id", "text", 5, 0.8, order).cache()
+    root = {r.node: r.component for r in shingle_links.link(own, own.select("row"), docs, "doc_id", "text", 5, 0.8, order).collect()}
+    groups: dict = {}
+    for r in own.select("key", "fp").collect():
+        groups.setdefault(root.get(r.fp, r.fp), []).append(r.key)
+    assert sorted(min(g) for g in groups.values()) == stay(dict(enumerate(texts)))
+    assert made[-1] < 200 and sum(made) < 60 * len(texts), made
+
+
 def test_dedup_step_by_brute_force(spark):
     """Chains of edited copies, crowded cells, a common line, short and empty texts: components of all pairs of similarity 0.8."""
     import corpus_pipeline as p
