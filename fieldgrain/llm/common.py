@@ -108,12 +108,17 @@ def without(df: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     return may_hold(df, keys, key, "left_anti").union(may_hold(df, keys, key).join(keys.select(key), key, "left_anti").select(df.columns))
 
 
+def dealt(side: DataFrame) -> DataFrame:
+    """A side of a join of two tables of any size: both are dealt out by key. Left to itself Spark broadcasts a side by its estimate, which takes no account of an explode and of what parquet packs."""
+    return side.hint("merge")
+
+
 def join_hot(many: DataFrame, one: DataFrame, key: str, share: int = 1000) -> DataFrame:
     """many joined to one, which has a row a key: keys that hold a `share`-th of many's rows or more, so at most `share` of them, are joined by broadcast, and no task gets a whole group of them."""
     total = many.count()
     hot = cut(many.groupBy(key).count().where(F.col("count") >= max(2, total // share)).select(key), "hot")
     crowd = many.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(one.join(F.broadcast(hot), key, "left_semi")), key)
-    return crowd.union(many.join(F.broadcast(hot), key, "left_anti").join(one, key).select(crowd.columns))
+    return crowd.union(many.join(F.broadcast(hot), key, "left_anti").join(dealt(one), key).select(crowd.columns))
 
 
 def locate(model: str) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, dealt, drop
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -25,11 +25,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not _settled(now):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.join(dealt(least), "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = cut(large, "large")
         drop(now)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi")
+        joined = large.join(dealt(least), "hi")
         small = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", "m")).distinct()
         now = cut(small, "small")
         drop(large)

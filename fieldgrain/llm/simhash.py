@@ -8,7 +8,7 @@ equi-join over the C(d + k, k) grids spanned by k blocks each. It is exact: ever
 Only distinct fingerprints enter the grid, so exact copies cost one row. In a crowded cell not all pairs are made:
 first each fingerprint is tried against the cell's least one, and the components of those links are taken; afterwards
 only pairs from different components are tried, and none at all where a cell holds one component only. This finds the
-same components as all pairs would. Candidates pass the Manhattan bound, then the exact Hamming distance.
+same components as all pairs would. Joins of such tables are dealt out by key. Candidates pass the Manhattan bound, then the exact Hamming distance.
 
 null text: as the empty text. No words: fingerprint zero, linked like any other. Fewer words than a shingle has: the
 whole sequence is one shingle. A null doc_id stays a row; it belongs to its fingerprint's component, and the component
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import shingle_links
-from .common import cut, drop, join_hot, table
+from .common import cut, dealt, drop, join_hot, table
 from .components import components
 from .shingles import fingerprint_of
 
@@ -72,19 +72,19 @@ def link(prints: DataFrame, distance: int = 4) -> DataFrame:
     # In a cell of two the least one is tried against the only other: such a row is needed no more unless they link.
     c, w = cells.alias("c"), crowded.alias("w")
     linked = (F.col("fp") != F.col("least")) & (_apart("fp", "least") <= distance)
-    rows = cut(c.join(w, (F.col("c.grid") == F.col("w.grid")) & (F.col("c.cell") == F.col("w.cell")) & ((F.col("n") > 2) | linked)).select("fp", "u", "c.grid", "c.cell", "n", "least"), "cells")
+    rows = cut(c.join(dealt(w), (F.col("c.grid") == F.col("w.grid")) & (F.col("c.cell") == F.col("w.cell")) & ((F.col("n") > 2) | linked)).select("fp", "u", "c.grid", "c.cell", "n", "least"), "cells")
     first = components(rows.where(linked).select(F.col("fp").alias("a"), F.col("least").alias("b")))
-    owned = rows.where("n > 2").drop("least", "n").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    owned = rows.where("n > 2").drop("least", "n").join(dealt(first.withColumnRenamed("node", "fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     groups = owned.groupBy("grid", "cell", "component").agg(F.count("*").alias("n")).groupBy("grid", "cell").agg(F.count("*").alias("groups"), F.max_by("component", "n").alias("main")).where("groups > 1")
-    mixed = cut(owned.join(groups.drop("groups"), ["grid", "cell"]), "mixed")
+    mixed = cut(owned.join(dealt(groups.drop("groups")), ["grid", "cell"]), "mixed")
     x = mixed.where("component <> main").select("grid", "cell", F.col("fp").alias("xf"), F.col("u").alias("xu"), F.col("component").alias("a"))
     y = mixed.select("grid", "cell", F.col("fp").alias("yf"), F.col("u").alias("yu"), F.col("component").alias("b"), (F.col("component") == F.col("main")).alias("of_main"))
-    pairs = x.join(y, (x.grid == y.grid) & (x.cell == y.cell) & (x.a != y.b) & (y.of_main | (x.xf < y.yf)) & (_apart("xu", "yu") <= distance) & (_apart("xf", "yf") <= distance))
+    pairs = x.join(dealt(y), (x.grid == y.grid) & (x.cell == y.cell) & (x.a != y.b) & (y.of_main | (x.xf < y.yf)) & (_apart("xu", "yu") <= distance) & (_apart("xf", "yf") <= distance))
     second = components(pairs.select("a", "b"))
     drop(rows, mixed)
     # Every fingerprint of either round, with the root of its root.
-    alone = second.select(F.col("node").alias("fp"), F.col("node").alias("root")).join(first.select(F.col("node").alias("fp")), "fp", "left_anti")
-    out = cut(first.select(F.col("node").alias("fp"), F.col("component").alias("root")).union(alone).join(second.withColumnRenamed("node", "root"), "root", "left").select("fp", F.coalesce("component", "root").alias("root")), "roots")
+    alone = second.select(F.col("node").alias("fp"), F.col("node").alias("root")).join(dealt(first.select(F.col("node").alias("fp"))), "fp", "left_anti")
+    out = cut(first.select(F.col("node").alias("fp"), F.col("component").alias("root")).union(alone).join(dealt(second.withColumnRenamed("node", "root")), "root", "left").select("fp", F.coalesce("component", "root").alias("root")), "roots")
     drop(first, second)
     return out
 
@@ -103,14 +103,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         own = cut(shingle_links.described(docs, key, text, words, similarity, order), "prints")
     prints = cut(own.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     roots = link(prints, distance)
-    classes = cut(prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    classes = cut(prints.join(dealt(roots), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
     drop(prints, roots)
     if similarity is not None:
         first = cut(_first(classes.where("least is not null")), "first")
-        rows = own.join(first.select("key", "fp"), ["key", "fp"], "left_semi").groupBy("key", "fp").agg(F.min("row").alias("row")).select("row")
+        rows = own.join(dealt(first.select("key", "fp")), ["key", "fp"], "left_semi").groupBy("key", "fp").agg(F.min("row").alias("row")).select("row")
         wide = shingle_links.link(own, rows, docs, key, text, words, similarity, order)
-        joined = first.join(wide.withColumnRenamed("node", "fp"), "fp").select("root", "component")
-        wider = cut(classes.join(joined, "root", "left").select("fp", "least", F.coalesce("component", "root").alias("root")), "classes")
+        joined = first.join(dealt(wide.withColumnRenamed("node", "fp")), "fp").select("root", "component")
+        wider = cut(classes.join(dealt(joined), "root", "left").select("fp", "least", F.coalesce("component", "root").alias("root")), "classes")
         drop(classes, first, wide)
         classes = wider
     first = _first(classes).select("root", F.col("key").alias("component_id"), F.col("fp").alias("first"))

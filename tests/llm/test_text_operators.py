@@ -11,7 +11,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fieldgrain.llm import common, decontaminate, language, packing, quality, secrets_scan, simhash, token_counts, toxicity
+from fieldgrain.llm import common, components, decontaminate, language, packing, quality, secrets_scan, simhash, token_counts, toxicity
 
 from .conftest import prose
 
@@ -66,6 +66,24 @@ def check_components(got):
     assert all(r.component_id == least.get(find(int(r.fingerprint, 16))) for r in got)
 
 
+def test_links_leave_no_table_of_any_size_to_a_broadcast_by_estimate(spark, monkeypatch):
+    plans, limit = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def seen(df, name="stage"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.cut(df, name)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    monkeypatch.setattr(components, "cut", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        simhash.link(spark.createDataFrame([(v,) for v in (0, 1, 3, 7, 1 << 40, 5 << 40)], "fp long")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_links_of_crowded_fingerprints(spark):
     """Chains and balls of near fingerprints, whose pairs are not all within the distance."""
     rng = np.random.default_rng(2)
