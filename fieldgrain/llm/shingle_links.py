@@ -6,7 +6,7 @@ wanted similarity share a shingle among the first n - ceil(similarity x n) + 1 o
 prefixes meets every pair that links, whatever the order. The order keeps shingles that many documents hold out of the
 prefixes: those that a bounded sample holds often come last, and before them the crowded ones. These are marked in a
 Bloom filter (CROWDED bits, whatever the size of the corpus) from counts over all prefixes, and prefixes that held
-crowded shingles are made anew, twice. What the filter takes for crowded by chance changes the order, not the links. So passages that unlike documents share make no pairs, unless a
+crowded shingles are made anew, twice, each shuffled once for it. What the filter takes for crowded by chance changes the order, not the links. So passages that unlike documents share make no pairs, unless a
 document holds little else. A pair that is tried passes a bound first: shingles are dealt to
 as many classes as the set has shingles (the next power of two), and the parities of their counts differ in no more
 classes than the sets differ in shingles. What passes is decided on the whole sets, read again from the texts, so links
@@ -34,8 +34,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .common import cut, drop, may_hold, release, some_ids, without
+from .common import cut, dealt, drop, may_hold, release, some_ids, without
 from .components import components
 from .shingles import digests, print_of
 
@@ -136,7 +137,7 @@ def described(docs: DataFrame, key: str, text: str, words: int, similarity: floa
 
 def uncrowded(base: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float, order: Order, rounds: int = 2) -> tuple[DataFrame, list[DataFrame]]:
     """base (fp, key, n, prefix, rare) with prefixes that avoid crowded shingles where the documents have others; and the tables that it reads."""
-    kind, crowded, moved, tables = docs.schema[key].dataType.simpleString(), order.crowded.copy(), None, []
+    crowded, moved, tables = order.crowded.copy(), None, []
     for _ in range(rounds):
         counts = (base if moved is None else moved).select(F.explode("prefix").alias("cell")).groupBy("cell").count().where(F.col("count") >= CROWD)
         bits = F.explode(F.array(*[F.shiftrightunsigned("cell", place).bitwiseAND(F.lit(CROWDED - 1)) for place in PLACES])).alias("at")
@@ -150,20 +151,34 @@ def uncrowded(base: DataFrame, docs: DataFrame, key: str, text: str, words: int,
         crowded |= found
         drop(*tables)
         now = Order(order.common, order.often, crowded.copy())
-
-        def hit(batches, now=now):
-            for b in batches:
-                yield b.loc[[bool(now.is_crowded(np.asarray(p, np.int64)).any()) for p in b["prefix"]], ["fp", "key"]]
-
-        affected = cut(base.select("fp", "key", "prefix").mapInPandas(hit, f"fp long, key {kind}"), "affected")
+        hit = _holds_crowded(now)
+        affected = cut(base.where(hit("prefix")).select("fp", "key"), "affected")
         anew = described(may_hold(docs.select(key, text), affected.withColumnRenamed("key", key), key), key, text, words, similarity, now)
         # The texts stay where they are; other texts of an id have another print.
-        moved = cut(anew.select("fp", "key", "n", "prefix", "rare").join(affected, ["fp", "key"], "left_semi").dropDuplicates(["fp"]), "moved")
-        tables = [affected, moved]
+        moved = cut(_of(anew.select("fp", "key", "n", "prefix", "rare"), affected), "moved")
+        drop(affected)
+        tables = [moved]
         release(docs.sparkSession)
     if moved is None:
         return base, []
-    return without(base, tables[0], "fp").unionByName(moved.select(base.columns)), tables
+    # What was made anew is told by the same test again, so that no prefix is shuffled to be left out.
+    return base.where(~hit("prefix")).unionByName(moved.select(base.columns)), tables
+
+
+def _holds_crowded(order: Order):
+    @pandas_udf("boolean")
+    def hit(prefixes: pd.Series) -> pd.Series:
+        ends = np.cumsum([0, *(len(p) for p in prefixes)])
+        found = np.concatenate([[0], np.cumsum(order.is_crowded(np.concatenate([np.zeros(0, np.int64), *prefixes])), dtype=np.int64)])
+        return pd.Series(found[ends[1:]] > found[ends[:-1]])
+
+    return hit
+
+
+def _of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A row for each wanted (fp, key), prints being distinct there. Equal keys are asked for as no less and no more, so that rows are dealt out by print, once, for the join and for leaving out repeats."""
+    w = wanted.select(F.col("fp").alias("wfp"), F.col("key").alias("wkey"))
+    return rows.join(dealt(w), (F.col("fp") == F.col("wfp")) & (F.col("key") <= F.col("wkey")) & (F.col("key") >= F.col("wkey")), "left_semi").dropDuplicates(["fp"])
 
 
 def _long_enough(a: Column, b: Column, similarity: float) -> Column:

@@ -232,6 +232,33 @@ def test_shared_passages_make_no_pairs(spark):
     assert sorted(min(g) for g in groups.values()) == stay(dict(enumerate(texts)))
 
 
+def test_prefixes_are_shuffled_once_where_made_anew_and_else_not(spark, monkeypatch):
+    """A row a print comes back, from the document that stands for it, beside other texts and repeats under its id."""
+    from fieldgrain.llm import shingle_links
+    from .conftest import frame, prose
+
+    rng, cut, plans, limit = np.random.default_rng(14), shingle_links.cut, [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    passage = prose(rng, 30)
+    texts = [f"{prose(rng, 60)} {passage}" for _ in range(20)] + [prose(rng, 60) for _ in range(10)] + [None, ""]
+    docs = frame(spark, [*enumerate(texts), (3, texts[3]), (3, texts[4] + " x"), (40, texts[5]), (None, texts[6])]).select("doc_id", "text")
+    order = shingle_links.sampled_order(docs, "doc_id", "text", 5, 0)
+    own = cut(shingle_links.described(docs, "doc_id", "text", 5, 0.8, order).where("key < 40").groupBy("fp").agg(F.min(F.struct("key", "n", "prefix", "rare")).alias("r")).select("fp", "r.*"), "own")
+    shuffles = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(fp" in x]
+    monkeypatch.setattr(shingle_links, "cut", lambda df, name: plans.append((name, len(shuffles(df)))) or cut(df, name))
+    expected = own.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        better, _ = shingle_links.uncrowded(own, docs, "doc_id", "text", 5, 0.8, order)
+        assert not shuffles(better)
+        rows = better.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {n for name, n in plans if name == "moved"} == {1}  # the other side holds prints and keys only
+    before = {r.fp: r for r in own.collect()}
+    assert len(rows) == expected == len(before) and {(r.fp, r.key, r.n, len(r.prefix)) for r in rows} == {(r.fp, r.key, r.n, len(r.prefix)) for r in before.values()}
+    assert any(list(r.prefix) != list(before[r.fp].prefix) for r in rows)
+
+
 def test_edited_copies_meet_their_text(spark, monkeypatch):
     """Copies of a text with one edit each, too far from each other, link by the text; their pairs among each other are not made."""
     from fieldgrain.llm import shingle_links
