@@ -31,10 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
+#: Bytes that a file is worth, and tasks that have to share one before a small table is dealt out again to have fewer files.
+FILE_BYTES, FILE_TASKS = 4 << 20, 16
+
+
+def _fewer_files(df: DataFrame, of: DataFrame, times: int) -> DataFrame:
+    """df, dealt out evenly to a few tasks that write it if it can't be large: not larger than `of`, a table that cut() wrote, so many times."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(of._fieldgrain_path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    files = max(spark.sparkContext.defaultParallelism, -(-size * times // FILE_BYTES))
+    return df.repartition(files) if files * FILE_TASKS <= int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def cut(df: DataFrame, name: str = "stage", of: DataFrame | None = None, times: int = 1) -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends here and lost executors cost no recomputation.
+
+    of: a table from here that df is not larger than (`times` as large at most). So a small one gets few files: for each file on a local
+    file system the executor starts two processes (chmod), which share its memory until they run and so seem to double it.
+    """
     path = f"{shared_dir(df.sparkSession)}/fieldgrain-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if of is None else _fewer_files(df, of, times)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fieldgrain_path = path
     _LIVE.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
@@ -116,7 +133,7 @@ def dealt(side: DataFrame) -> DataFrame:
 def join_hot(many: DataFrame, one: DataFrame, key: str, share: int = 1000) -> DataFrame:
     """many joined to one, which has a row a key: keys that hold a `share`-th of many's rows or more, so at most `share` of them, are joined by broadcast, and no task gets a whole group of them."""
     total = many.count()
-    hot = cut(many.groupBy(key).count().where(F.col("count") >= max(2, total // share)).select(key), "hot")
+    hot = cut(many.groupBy(key).count().where(F.col("count") >= max(2, total // share)).select(key).repartition(1), "hot")
     crowd = many.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(one.join(F.broadcast(hot), key, "left_semi")), key)
     return crowd.union(many.join(F.broadcast(hot), key, "left_anti").join(dealt(one), key).select(crowd.columns))
 

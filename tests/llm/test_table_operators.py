@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgrain.llm import components, embedding_links, registry, url_filters
+from fieldgrain.llm import common, components, embedding_links, registry, url_filters
 
 from ..conftest import DATA
 
@@ -40,6 +40,31 @@ def page(i, url, link=None, refresh=None):
     return (i, url, html, "x")
 
 
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """However many tasks make a table, a small one is dealt out to few that write it, and a large one is not."""
+    cores, written, real = spark.sparkContext.defaultParallelism, [], components.cut
+
+    def counted(*args):
+        out = real(*args)
+        written.append((args[1], len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(components, "cut", counted)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores * common.FILE_TASKS))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chain = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        got = components.components(chain)
+        assert [r.component for r in got.collect()] == [0] * 401
+        assert [n for n, _ in written][0] == "edges" and len(written) > 3 and max(n for name, n in written if name != "edges") <= cores
+        monkeypatch.setattr(common, "FILE_BYTES", 1)
+        assert len(real(got.repartition(2 * cores), "stage", got).inputFiles()) == 2 * cores
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_rules_and_aliases(spark):
     rows = [
         page(1, "http://Shop.COM/en/1?x=1"), page(2, "https://a.example.com/en/77"), page(3, "https://b.net/de/1"), page(4, "https://example.net/de/88#t"), page(5, "http://x.org/es/"), page(6, "http://notcom/en/1"), page(7, None), page(8, "no scheme"), page(9, "http://host"),
