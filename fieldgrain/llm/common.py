@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from functools import wraps
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +80,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def thrifty(each):
+    """The function over batches, after which a Python worker gives back what it has freed: workers live on, and would hold it all stages long."""
+
+    @wraps(each)
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+                trim(0)
+
+    return run
+
+
 def sweep(spark: SparkSession) -> int:
     """Delete all tables of this application that are left, once its results have been written: results are lazy and read the last of them."""
     paths = list(_LIVE.get(spark.sparkContext.applicationId, ()))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, thrifty
 
 EDGE = re.compile(r"^\W+|\W+$")
 MARKS = ".,;:!?"
@@ -308,7 +308,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     if rows:
                         yield pd.DataFrame(rows, columns=[key, shown, "distance", "similarity", "first_word", "end_word"])
 
-        found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(scan, schema)
+        found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(thrifty(scan), schema)
         out = found if out is None else out.union(found)
     return out
 

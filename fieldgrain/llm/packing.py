@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, locate, table
+from .common import cut, drop, locate, table, thrifty
 
 MARKS, LATIN_END = tuple(".,;:!?)]}\"|#$%&*"), "\u0250"
 PACK = {n: struct.Struct(f"<{n}I").pack for n in range(1, 9)}
@@ -137,7 +137,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
             if row:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)).cast(key_type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.spark_partition_id().alias("part")).mapInArrow(cut_up, f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.spark_partition_id().alias("part")).mapInArrow(thrifty(cut_up), f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def enumerate_patterns(hist: np.ndarray, capacity: int, most_triples: int = 6000) -> list[tuple[int, ...]]:

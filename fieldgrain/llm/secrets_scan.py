@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, drop, may_hold, table
+from .common import cut, drop, may_hold, table, thrifty
 
 #: Fixed values of the contract: kinds in their order, patterns, least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -243,7 +243,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                 cand = [candidates(t, s) if t else [] for t, s in zip(few["text"], base, strict=True)]
                 yield pd.DataFrame({"id": few["id"], "base": [[dict(zip(("start", "kind", "end"), s, strict=True)) for s in x] for x in base], "cand": [[dict(zip(("start", "end", "label", "raw", "a", "b"), c, strict=True)) for c in x] for x in cand]})
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(found, f"id {kind}, base array<struct<start:int,kind:int,end:int>>, cand {CAND}")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(thrifty(found), f"id {kind}, base array<struct<start:int,kind:int,end:int>>, cand {CAND}")
 
 
 def distinct_candidates(scanned: DataFrame) -> DataFrame:

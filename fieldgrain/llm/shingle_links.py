@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, dealt, drop, may_hold, release, some_ids, without
+from .common import cut, dealt, drop, may_hold, release, some_ids, thrifty, without
 from .components import components
 from .shingles import digests, print_of
 
@@ -113,7 +113,7 @@ def sampled_order(docs: DataFrame, key: str, text: str, words: int, sample: int)
             for t in b["text"]:
                 yield pd.DataFrame({"s": shingles_of(digests(t, words))})
 
-    some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id").select("text").mapInPandas(each, "s long")
+    some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id").select("text").mapInPandas(thrifty(each), "s long")
     found = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(MOST).toPandas().sort_values("s")
     return Order(found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64), np.zeros(CROWDED // 8, np.uint8))
 
@@ -132,7 +132,7 @@ def described(docs: DataFrame, key: str, text: str, words: int, similarity: floa
                     rows.append((print_of(hashes), len(found), sketch_of(found), *order.prefix(found, similarity)))
                 yield pd.DataFrame(rows, columns=["fp", "n", "sketch", "prefix", "rare"]).assign(key=few["key"].to_numpy())
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(each, f"fp long, n int, sketch array<long>, prefix array<long>, rare int, key {kind}").withColumn("row", F.monotonically_increasing_id())
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(thrifty(each), f"fp long, n int, sketch array<long>, prefix array<long>, rare int, key {kind}").withColumn("row", F.monotonically_increasing_id())
 
 
 def uncrowded(base: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float, order: Order, rounds: int = 2) -> tuple[DataFrame, list[DataFrame]]:
@@ -197,7 +197,7 @@ def _sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: st
                 if print_of(hashes) == f:  # not another text under the same id
                     yield pd.DataFrame({"fp": [f], "shingles": [shingles_of(hashes)]})
 
-    out = cut(some.join(wanted, "key").select("fp", "text").mapInPandas(each, "fp long, shingles array<long>"), "sets")
+    out = cut(some.join(wanted, "key").select("fp", "text").mapInPandas(thrifty(each), "fp long, shingles array<long>"), "sets")
     drop(wanted)
     return out
 

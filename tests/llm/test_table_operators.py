@@ -352,3 +352,27 @@ def test_pipeline_steps_hold_few_texts_at_once(spark):
         finally:
             spark.conf.unset(name)
         assert max(r.n for r in sizes) <= corpus_pipeline.BATCH
+
+
+def test_workers_give_back_what_they_freed(spark):
+    """What one function over batches has freed below memory in use is not held by its Python worker when the next one runs there."""
+
+    def fill(batches):
+        for b in batches:
+            kept = [bytes(50_000) for _ in range(4000)]
+            top = kept[-1]
+            del kept
+            yield b
+        import builtins
+
+        builtins.held_by_test = top
+
+    def held(batches):
+        for b in batches:
+            text = open("/proc/self/smaps_rollup").read()
+            yield pd.DataFrame({"mb": [int(text.split("Anonymous:")[1].split()[0]) / 1024]})
+
+    rows = spark.range(1, numPartitions=1)
+    before = rows.mapInPandas(held, "mb double").first().mb
+    rows.mapInPandas(common.thrifty(fill), "id long").collect()
+    assert rows.mapInPandas(held, "mb double").first().mb < before + 100
