@@ -40,8 +40,10 @@ FILE_BYTES, FILE_TASKS = 4 << 20, 16
 
 def _fewer_files(df: DataFrame, of: DataFrame, times: int) -> DataFrame:
     """df, dealt out evenly to a few tasks that write it if it can't be large: not larger than `of`, a table that cut() wrote, so many times."""
-    spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(of._fieldgrain_path)
+    spark, path = df.sparkSession, getattr(of, "_fieldgrain_path", None)
+    if not path:
+        return df
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
     files = max(spark.sparkContext.defaultParallelism, -(-size * times // FILE_BYTES))
     return df.repartition(files) if files * FILE_TASKS <= int(spark.conf.get("spark.sql.shuffle.partitions")) else df
