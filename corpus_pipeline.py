@@ -49,7 +49,7 @@ def dedup_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = common.cut(simhash.near_duplicates(docs.where("doc_id is not null"), words=5, distance=2, similarity=0.8).select("doc_id", "fp", "kept"), "found")
     keys = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")).where("n > 1 or not kept")
-    touched = common.cut(keys.select("doc_id", "n"), "touched", found)
+    touched = common.cut(common.few_files(keys.select("doc_id", "n"), found), "touched")
     single = common.without(docs, touched)
     repeated = touched.where("n > 1").select("doc_id")
     again = common.may_hold(docs, repeated, "doc_id").join(repeated, "doc_id", "left_semi").withColumn("__fp", simhash.fingerprint(F.col("text"), 5))

@@ -38,8 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 FILE_BYTES, FILE_TASKS = 4 << 20, 16
 
 
-def _fewer_files(df: DataFrame, of: DataFrame, times: int) -> DataFrame:
-    """df, dealt out evenly to a few tasks that write it if it can't be large: not larger than `of`, a table that cut() wrote, so many times."""
+def few_files(df: DataFrame, of: DataFrame | None, times: int = 1) -> DataFrame:
+    """df, dealt out evenly to a few tasks that write it if it can't be large: not larger than `of`, a table that cut() wrote, so many times.
+
+    For each file on a local file system an executor starts two processes (chmod), which share its memory until they run and so seem to double it.
+    """
     spark, path = df.sparkSession, getattr(of, "_fieldgrain_path", None)
     if not path:
         return df
@@ -49,14 +52,10 @@ def _fewer_files(df: DataFrame, of: DataFrame, times: int) -> DataFrame:
     return df.repartition(files) if files * FILE_TASKS <= int(spark.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def cut(df: DataFrame, name: str = "stage", of: DataFrame | None = None, times: int = 1) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here and lost executors cost no recomputation.
-
-    of: a table from here that df is not larger than (`times` as large at most). So a small one gets few files: for each file on a local
-    file system the executor starts two processes (chmod), which share its memory until they run and so seem to double it.
-    """
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/fieldgrain-{name}-{uuid.uuid4().hex}"
-    (df if of is None else _fewer_files(df, of, times)).write.parquet(path)
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fieldgrain_path = path
     _LIVE.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, drop
+from .common import cut, dealt, drop, few_files
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -20,19 +20,19 @@ def _settled(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", of: DataFrame | None = None) -> DataFrame:
-    """(node, component) for every node with an edge to another node: the smallest node reachable; a written table. Nulls and loops are ignored, repeats allowed. Empty edges give no rows. of: see cut()."""
-    now = cut(edges.where((F.col(a) != F.col(b))).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges", of)
+    """(node, component) for every node with an edge to another node: the smallest node reachable; a written table. Nulls and loops are ignored, repeats allowed. Empty edges give no rows. of: see few_files()."""
+    now = cut(few_files(edges.where((F.col(a) != F.col(b))).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), of), "edges")
     while not _settled(now):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(dealt(least), "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = cut(large, "large", now)
+        large = cut(few_files(large, now), "large")
         drop(now)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(dealt(least), "hi")
         small = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", "m")).distinct()
-        now = cut(small, "small", large, 2)
+        now = cut(few_files(small, large, 2), "small")
         drop(large)
-    out = cut(now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct()), "components", now, 2)
+    out = cut(few_files(now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct()), now, 2), "components")
     drop(now)
     return out

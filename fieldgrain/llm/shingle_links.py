@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, dealt, drop, may_hold, release, some_ids, thrifty, without
+from .common import cut, dealt, drop, few_files, may_hold, release, some_ids, thrifty, without
 from .components import components
 from .shingles import digests, print_of
 
@@ -187,7 +187,7 @@ def _long_enough(a: Column, b: Column, similarity: float) -> Column:
 
 def _sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(fp, shingles) of the prints in `need`, from the texts of the documents that stand for them; repeated rows may repeat."""
-    wanted = cut(need.join(nodes.select("fp", "key"), "fp"), "need", nodes)
+    wanted = cut(few_files(need.join(nodes.select("fp", "key"), "fp"), nodes), "need")
     some = may_hold(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), wanted, "key")
 
     def each(batches):
@@ -210,7 +210,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float, sets) -> Da
     found = sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     both = pairs.join(found.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(found.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     met = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("met"), (F.size("sa") + F.size("sb")).alias("sum"))
-    out = cut(met.where(F.col("met") >= (F.col("sum") - F.col("met")) * F.lit(similarity) - 1e-9).select("a", "b"), "alike", pairs)
+    out = cut(few_files(met.where(F.col("met") >= (F.col("sum") - F.col("met")) * F.lit(similarity) - 1e-9).select("a", "b"), pairs), "alike")
     drop(pairs, found)
     release(pairs.sparkSession)
     return out
@@ -249,7 +249,7 @@ def _mixed(rows: DataFrame, near: DataFrame) -> DataFrame:
     """(cell, fp, n, at, component, main): of cells of more than three members, those of several components; main is the one with most members."""
     owned = rows.where("members > 3").select("cell", "fp", "n", "at").join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     groups = owned.groupBy("cell", "component").agg(F.count("*").alias("k")).groupBy("cell").agg(F.count("*").alias("groups"), F.max_by("component", "k").alias("main")).where("groups > 1")
-    return cut(owned.join(groups.drop("groups"), "cell"), "mixed", rows, 2)
+    return cut(few_files(owned.join(groups.drop("groups"), "cell"), rows, 2), "mixed")
 
 
 def _against_hubs(left: DataFrame, edges: DataFrame, similarity: float, turn: int) -> DataFrame:
@@ -271,8 +271,8 @@ def _others(left: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 def link(own: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float, order: Order) -> DataFrame:
     """Links among the given rows of what described() makes, whose prints are distinct: (node, component), the prints that have one."""
-    others = cut(own.select("row").join(rows, "row", "left_anti"), "others", own)
-    nodes = cut(without(own.drop("prefix"), others, "row"), "nodes", own)
+    others = cut(few_files(own.select("row").join(rows, "row", "left_anti"), own), "others")
+    nodes = cut(few_files(without(own.drop("prefix"), others, "row"), own), "nodes")
     sets = lambda need: _sets(need, nodes, docs, key, text, words)
     base = without(own, others, "row").select("fp", "key", "n", "prefix", "rare")
     base, tables = uncrowded(base, docs, key, text, words, similarity, order)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import shingle_links
-from .common import cut, dealt, drop, join_hot, table
+from .common import cut, dealt, drop, few_files, join_hot, table
 from .components import components
 from .shingles import fingerprint_of
 
@@ -76,7 +76,7 @@ def link(prints: DataFrame, distance: int = 4) -> DataFrame:
     first = components(rows.where(linked).select(F.col("fp").alias("a"), F.col("least").alias("b")), of=rows)
     owned = rows.where("n > 2").drop("least", "n").join(dealt(first.withColumnRenamed("node", "fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     groups = owned.groupBy("grid", "cell", "component").agg(F.count("*").alias("n")).groupBy("grid", "cell").agg(F.count("*").alias("groups"), F.max_by("component", "n").alias("main")).where("groups > 1")
-    mixed = cut(owned.join(dealt(groups.drop("groups")), ["grid", "cell"]), "mixed", rows)
+    mixed = cut(few_files(owned.join(dealt(groups.drop("groups")), ["grid", "cell"]), rows), "mixed")
     x = mixed.where("component <> main").select("grid", "cell", F.col("fp").alias("xf"), F.col("u").alias("xu"), F.col("component").alias("a"))
     y = mixed.select("grid", "cell", F.col("fp").alias("yf"), F.col("u").alias("yu"), F.col("component").alias("b"), (F.col("component") == F.col("main")).alias("of_main"))
     pairs = x.join(dealt(y), (x.grid == y.grid) & (x.cell == y.cell) & (x.a != y.b) & (y.of_main | (x.xf < y.yf)) & (_apart("xu", "yu") <= distance) & (_apart("xf", "yf") <= distance))
@@ -84,7 +84,7 @@ def link(prints: DataFrame, distance: int = 4) -> DataFrame:
     drop(rows, mixed)
     # Every fingerprint of either round, with the root of its root.
     alone = second.select(F.col("node").alias("fp"), F.col("node").alias("root")).join(dealt(first.select(F.col("node").alias("fp"))), "fp", "left_anti")
-    out = cut(first.select(F.col("node").alias("fp"), F.col("component").alias("root")).union(alone).join(dealt(second.withColumnRenamed("node", "root")), "root", "left").select("fp", F.coalesce("component", "root").alias("root")), "roots", prints)
+    out = cut(few_files(first.select(F.col("node").alias("fp"), F.col("component").alias("root")).union(alone).join(dealt(second.withColumnRenamed("node", "root")), "root", "left").select("fp", F.coalesce("component", "root").alias("root")), prints), "roots")
     drop(first, second)
     return out
 
@@ -101,20 +101,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     else:
         order = shingle_links.sampled_order(docs, key, text, words, sample)
         own = cut(shingle_links.described(docs, key, text, words, similarity, order), "prints")
-    prints = cut(own.groupBy("fp").agg(F.min("key").alias("least")), "distinct", own)
+    prints = cut(few_files(own.groupBy("fp").agg(F.min("key").alias("least")), own), "distinct")
     roots = link(prints, distance)
-    classes = cut(prints.join(dealt(roots), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes", prints, 2)
+    classes = cut(few_files(prints.join(dealt(roots), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), prints, 2), "classes")
     drop(prints, roots)
     if similarity is not None:
-        first = cut(_first(classes.where("least is not null")), "first", classes)
+        first = cut(few_files(_first(classes.where("least is not null")), classes), "first")
         rows = own.join(dealt(first.select("key", "fp")), ["key", "fp"], "left_semi").groupBy("key", "fp").agg(F.min("row").alias("row")).select("row")
         wide = shingle_links.link(own, rows, docs, key, text, words, similarity, order)
         joined = first.join(dealt(wide.withColumnRenamed("node", "fp")), "fp").select("root", "component")
-        wider = cut(classes.join(dealt(joined), "root", "left").select("fp", "least", F.coalesce("component", "root").alias("root")), "classes", classes)
+        wider = cut(few_files(classes.join(dealt(joined), "root", "left").select("fp", "least", F.coalesce("component", "root").alias("root")), classes), "classes")
         drop(classes, first, wide)
         classes = wider
     first = _first(classes).select("root", F.col("key").alias("component_id"), F.col("fp").alias("first"))
-    by_print = cut(join_hot(classes, first, "root").select("fp", "component_id", (F.col("fp") == F.col("first")).alias("first")), "by-print", classes)
+    by_print = cut(few_files(join_hot(classes, first, "root").select("fp", "component_id", (F.col("fp") == F.col("first")).alias("first")), classes), "by-print")
     drop(classes)
     kept = F.coalesce(F.col("first") & (F.col("key") == F.col("component_id")), F.lit(False))
     return join_hot(own.select("key", "fp"), by_print, "fp").select(F.col("key").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"))

@@ -59,7 +59,7 @@ def test_small_tables_have_few_files(spark, monkeypatch):
         assert [r.component for r in got.collect()] == [0] * 401
         assert [n for n, _ in written][0] == "edges" and len(written) > 3 and max(n for name, n in written if name != "edges") <= cores
         monkeypatch.setattr(common, "FILE_BYTES", 1)
-        assert len(real(got.repartition(2 * cores), "stage", got).inputFiles()) == 2 * cores
+        assert len(real(common.few_files(got.repartition(2 * cores), got), "stage").inputFiles()) == 2 * cores
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
